@@ -87,3 +87,23 @@ def grams(hashed: Column, n: int, of: Column | None = None) -> Column:
 def gram_at(array: Column, p: Column, n: int) -> Column:
     """Hash of the n elements from p on; null where fewer are left. In whole-stage code, unlike grams()."""
     return F.when((p >= 0) & (p + n <= F.size(array)), F.xxhash64(*[F.get(array, p + j) for j in range(n)]))
+
+
+_shipped: dict[str, bool] = {}
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once for each application: they may not have it installed."""
+    import zipfile
+    from pathlib import Path
+
+    sc = spark.sparkContext
+    if _shipped.setdefault(sc.applicationId, False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    to = Path(tempfile.mkdtemp(prefix="quire-package-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(to, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    sc.addPyFile(str(to))
+    _shipped[sc.applicationId] = True

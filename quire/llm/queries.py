@@ -6,7 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from . import decontaminate, licenses, quality
+from . import chat, decontaminate, licenses, packing, quality, sharding, tokenfile, urls
+
+
+def vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +21,28 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), "contaminated")
 
 
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = C.table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    tricky = r"\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string")
+    out = chat.format_records(chat.records(rows.unionByName(more)), id_col="conv_id")
+    out = C.let(out, _turns=chat.read_back(F.col("formatted")), _loss=chat.loss_text(F.col("formatted"), F.col("loss_spans")))
+    digest = F.array_join(F.transform("_turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return out.select(
+        "conv_id", F.size("_turns").cast("long").alias("n_turns"), F.sha2(digest, 256).alias("turns_sha256"),
+        F.length("_loss").cast("long").alias("loss_chars"), F.sha2("_loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(C.table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = packing.pack_documents(C.table(spark, sf_dir, "documents"), vocabulary())
+    return out.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = licenses.scan(C.table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["exact"])
@@ -33,5 +61,20 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = tokenfile.write_files(C.table(spark, sf_dir, "documents"), C.shared_path(spark, "tokens"), vocabulary())
+    read = tokenfile.read_files(files).select("doc_id", "within", "n_tokens", F.crc32("ids").alias("ids_crc32"), "file")
+    return tokenfile.positions(read, files).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op10_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.assign(C.table(spark, sf_dir, "documents"))
+    text = F.coalesce("text", F.lit(""))
+    return out.select(
+        "doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"),
+        "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontamination, op7_license_scan, op8_quality_rules)}
+    return {f.__name__: f for f in (op1_decontamination, op2_chat_formatting, op3_url_filters, op4_best_fit_packing, op7_license_scan, op8_quality_rules, op9_token_binary, op10_hilbert_sharding)}
