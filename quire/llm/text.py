@@ -28,10 +28,9 @@ def buffer_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def steps(batch: pa.RecordBatch, text: str):
     """Slices of a batch of STEP bytes of text or a single row."""
-    column = batch.column(batch.schema.get_field_index(text))
-    sizes = np.array([0 if x is None else x for x in pa.compute.binary_length(column).to_pylist()], dtype=np.int64)
+    sizes = np.diff(buffer_of(batch.column(batch.schema.get_field_index(text)))[1])
     begin = total = 0
-    for i, n in enumerate(sizes):
+    for i, n in enumerate(sizes.tolist()):
         if i > begin and total + n > STEP:
             yield batch.slice(begin, i - begin)
             begin, total = i, 0
