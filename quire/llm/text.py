@@ -48,7 +48,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-_POWERS = mix(np.arange(1, (1 << 16) + 1, dtype=U64)) | U64(1)
+_POWERS = mix(np.arange(1, (1 << 16) + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -65,7 +65,8 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         place = np.arange(int(n.sum())) - np.repeat(at, n)
         chars = data[place + np.repeat(starts[begin:end], n)]
         spread = (chars.astype(U64) + U64(1)) * _POWERS[place & 0xFFFF]
-        out[begin:end] = np.add.reduceat(spread, at) + mix(n.astype(U64)) + (place[-1] >> 16 and _blocks(chars, at, n))
+        part = np.add.reduceat(spread, at) + mix(n.astype(U64))
+        out[begin:end] = part + _blocks(chars, at, n) if n.max() > 1 << 16 else part
         begin = end
     return mix(out)
 
