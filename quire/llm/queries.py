@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from . import chat, decontaminate, licenses, packing, quality, sharding, tokenfile, urls
+from . import chat, decontaminate, licenses, neardup, packing, quality, sharding, tokenfile, urls
 
 
 def vocabulary() -> str:
@@ -43,6 +43,11 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = neardup.near_duplicates(C.table(spark, sf_dir, "documents"), shingle=4)
+    return out.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = licenses.scan(C.table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["exact"])
@@ -77,4 +82,4 @@ def op10_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontamination, op2_chat_formatting, op3_url_filters, op4_best_fit_packing, op7_license_scan, op8_quality_rules, op9_token_binary, op10_hilbert_sharding)}
+    return {f.__name__: f for f in (op1_decontamination, op2_chat_formatting, op3_url_filters, op4_best_fit_packing, op5_minhash_near_dedup, op7_license_scan, op8_quality_rules, op9_token_binary, op10_hilbert_sharding)}
