@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from . import chat, decontaminate, licenses, neardup, packing, quality, sharding, tokenfile, urls
+from . import chat, decontaminate, licenses, neardup, packing, quality, sharding, substrings, tokenfile, urls
 
 
 def vocabulary() -> str:
@@ -48,6 +48,12 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.remove_repeats(C.table(spark, sf_dir, "documents"))
+    removed = F.col("n_bytes") - F.octet_length("kept")
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = licenses.scan(C.table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["exact"])
@@ -82,4 +88,4 @@ def op10_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontamination, op2_chat_formatting, op3_url_filters, op4_best_fit_packing, op5_minhash_near_dedup, op7_license_scan, op8_quality_rules, op9_token_binary, op10_hilbert_sharding)}
+    return {f.__name__: f for f in (op1_decontamination, op2_chat_formatting, op3_url_filters, op4_best_fit_packing, op5_minhash_near_dedup, op6_suffix_dedup, op7_license_scan, op8_quality_rules, op9_token_binary, op10_hilbert_sharding)}
