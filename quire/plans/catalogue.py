@@ -1,15 +1,298 @@
-"""Catalogue of the engine's queries on stand-in tables."""
+"""The engine's queries on stand-in tables, and the DuckDB SQL that they are held against."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from quire.functions import geometry as G
+from quire.functions import naming as N
+from quire.operators import gestures, ordinals, sequence, stamps
+from quire.sources import files
+
+DELAY = 6 * 3600 * 1_000_000
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents split into pages, non-blank ones numbered and laid out on a grid, flattened to a row for each document."""
+    pages = files.pages_of_text(_t(spark, sf_dir, "documents"), "doc_id", "text").where(~N.is_blank(F.col("page")))
+    row, col, x, y = G.grid_cell(F.col("page_ord"))
+    placed = pages.select("doc_id", "page_ord", F.struct("page_ord", x.alias("x"), y.alias("y"), F.length("page").alias("n")).alias("cell"))
+    return placed.groupBy("doc_id").agg(F.count("*").alias("n_pages"), F.sort_array(F.collect_list("cell")).alias("cells"))
+
+
+def natural_order(spark, sf_dir):
+    names = _t(spark, sf_dir, "part").select("p_brand").distinct()
+    return ordinals.global_ordinal(names.withColumn("_key", N.natural_key(F.col("p_brand"))), "position", "_key", "p_brand").select("p_brand", "position")
+
+
+def ext_filter(spark, sf_dir):
+    lang = F.lower(F.regexp_extract("url", r"^[a-zA-Z]+://[^/]+/([a-zA-Z]{2})/", 1))
+    return _t(spark, sf_dir, "pages").where(lang.isin("en", "de")).select("page_id", lang.alias("kind"))
+
+
+def non_blank(spark, sf_dir):
+    lines = F.filter(F.split("text", "\n", -1), lambda x: ~N.is_blank(x))
+    return _t(spark, sf_dir, "documents").select("doc_id", F.size(lines).cast("long").alias("n_lines"))
+
+
+def route(spark, sf_dir):
+    events = _t(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
+    counted = events.groupBy("user_id", "day").agg(F.count_if(F.col("event_type") == "purchase").alias("pdfs"), F.count_if(F.col("event_type") == "click").alias("images"))
+    return counted.select("user_id", F.col("day").cast("string").alias("day"), "pdfs", "images", files.route_of(F.col("pdfs"), F.col("images")).alias("route"))
+
+
+def load_pages(spark, sf_dir):
+    pages = files.pages_of_text(_t(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", F.col("page_ord").cast("long"), F.length("page").cast("long").alias("n_chars"))
+    return ordinals.global_ordinal(pages, "position", "doc_id", "page_ord")
+
+
+def resize(spark, sf_dir):
+    w, h = F.floor(F.col("l_extendedprice") / 10).cast("int"), F.floor(F.col("l_quantity") * 60).cast("int")
+    sized = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", w.alias("w"), h.alias("h"))
+    new_w, new_h = G.resized(F.col("w"), F.col("h"))
+    return sized.select("l_orderkey", "l_linenumber", "l_partkey", new_w.alias("new_w"), new_h.alias("new_h"))
+
+
+def orient(spark, sf_dir):
+    w, h = G.turned(F.lit(400), F.lit(300), F.col("p_size") % 9)
+    return _t(spark, sf_dir, "part").select("p_partkey", w.alias("w"), h.alias("h"))
+
+
+def quarantine(spark, sf_dir):
+    number = F.regexp_extract("url", r"[?&]page=([^&#]*)", 1).try_cast("int")
+    read = _t(spark, sf_dir, "pages").select("page_id", F.when(number.isNotNull(), "ok").otherwise("skipped").alias("status"))
+    names = F.array_join(F.transform(F.sort_array(F.collect_list("page_id")), lambda x: x.cast("string")), ", ")
+    return read.groupBy("status").agg(F.count("*").alias("n"), names.alias("names"))
+
+
+def report(spark, sf_dir):
+    number = F.regexp_extract("url", r"[?&]page=([^&#]*)", 1).try_cast("int")
+    read = _t(spark, sf_dir, "pages").select((F.col("page_id") % 10).alias("batch"), "page_id", F.col("page_id").alias("name"), number.isNotNull().alias("ok"))
+    return files.report(read, ["batch"], F.col("ok"), "name", "page_id")
+
+
+def output_name(spark, sf_dir):
+    return _t(spark, sf_dir, "events").select("event_id", N.output_name("Photos_", F.col("ts")).alias("name"))
+
+
+def signed_name(spark, sf_dir):
+    url = F.regexp_replace("url", "[?#].*$", "")
+    return _t(spark, sf_dir, "pages").select("page_id", N.signed_name(url).alias("name"), N.parent(url).alias("folder"))
+
+
+def version_newer(spark, sf_dir):
+    new = F.concat(F.lit("v"), F.col("p_size"), F.lit("."), F.col("p_partkey") % 10)
+    return _t(spark, sf_dir, "part").select("p_partkey", N.version_newer(new, F.lit("25.3.0")).alias("newer"))
+
+
+def json_field(spark, sf_dir):
+    return _t(spark, sf_dir, "events").select("event_id", N.json_number(F.col("props"), "k").alias("k"), N.json_string(F.col("props"), "k").alias("k_string"))
+
+
+def latest_first(spark, sf_dir):
+    orders = _t(spark, sf_dir, "orders")
+    ranked = ordinals.local_ordinal(orders, "rank", ["o_custkey"], F.col("o_orderdate").desc_nulls_last(), F.col("o_orderkey"))
+    return ranked.select("o_custkey", "o_orderkey", "rank")
+
+
+SELECTED = (0, 2)
+
+
+def _documents(spark, sf_dir) -> DataFrame:
+    """Conversations as documents of (turn) pages."""
+    turns = _t(spark, sf_dir, "conversations").select("conv_id", "turn", (F.col("turn") * 90 % 360).alias("rotation"))
+    return sequence.gather(turns, "conv_id", ["turn"], ["turn", "rotation"])
+
+
+def _selection():
+    return F.array(*[F.lit(i) for i in SELECTED])
+
+
+def _edited(documents: DataFrame, pages) -> DataFrame:
+    out = sequence.spread(documents.select("conv_id", pages.alias("pages")), "conv_id")
+    return out.select("conv_id", F.col("page_ord").cast("long"), "turn")
+
+
+def append_pages(spark, sf_dir):
+    return _edited(_documents(spark, sf_dir), sequence.appended(F.col("pages"), sequence.indexed(F.col("pages"), _selection())))
+
+
+def insert_at(spark, sf_dir):
+    return _edited(_documents(spark, sf_dir), sequence.inserted(F.col("pages"), sequence.indexed(F.col("pages"), _selection()), F.lit(3)))
+
+
+def reorder(spark, sf_dir):
+    return _edited(_documents(spark, sf_dir), sequence.moved(F.col("pages"), _selection(), F.lit(4)))
+
+
+def remove_pages(spark, sf_dir):
+    return _edited(_documents(spark, sf_dir), sequence.removed(F.col("pages"), _selection()))
+
+
+def extract_pages(spark, sf_dir):
+    return _edited(_documents(spark, sf_dir), sequence.indexed(F.col("pages"), _selection()))
+
+
+def rotate_pages(spark, sf_dir):
+    even = F.filter(F.sequence(F.lit(0), F.size("pages") - 1), lambda i: i % 2 == 0)
+    out = sequence.spread(_documents(spark, sf_dir).select("conv_id", sequence.turned(F.col("pages"), even).alias("pages")), "conv_id")
+    return out.select("conv_id", "turn", "rotation")
+
+
+def flatten(spark, sf_dir):
+    pages = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("page"))
+    lines = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), "l_linenumber", "l_partkey")
+    value = F.concat_ws(":", F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string"))
+    out = stamps.flattened(pages, lines, ["page"], ["l_linenumber", "l_partkey"], value)
+    return out.select("page", F.size("stamps").cast("long").alias("n_stamps"), F.array_join("stamps", ",").alias("drawn"))
+
+
+def hit_test(spark, sf_dir):
+    key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice"]
+    points = _t(spark, sf_dir, "lineitem").select(*key, F.col("l_quantity").alias("px"), F.col("l_discount").alias("py"))
+    r = F.col("r_regionkey")
+    boxes = _t(spark, sf_dir, "region").select(r.alias("z"), (r * 10.0).alias("x"), (r * 0.01).alias("y"), F.lit(20.0).alias("w"), F.lit(0.05).alias("h"))
+    fits = G.contains(*map(F.col, ("px", "py", "x", "y", "w", "h")))
+    return stamps.under_point(points, boxes, fits, key, F.col("z")).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "hit")
+
+
+def last_stamp(spark, sf_dir):
+    return stamps.last_of(_t(spark, sf_dir, "lineitem"), ["l_orderkey"], ["l_linenumber", "l_partkey"], "l_partkey", "last_partkey")
+
+
+def _orders(spark, sf_dir):
+    return _t(spark, sf_dir, "orders").select("o_orderkey")
+
+
+def has_widget(spark, sf_dir):
+    lines = _t(spark, sf_dir, "lineitem").where(F.col("l_returnflag") == "R").select("l_orderkey")
+    return stamps.having(_orders(spark, sf_dir), lines, F.col("o_orderkey") == F.col("l_orderkey"))
+
+
+def remove_stamp(spark, sf_dir):
+    lines = _t(spark, sf_dir, "lineitem").select("l_orderkey")
+    return stamps.without(_orders(spark, sf_dir), lines, F.col("o_orderkey") == F.col("l_orderkey"))
+
+
+def place_stamp(spark, sf_dir):
+    w, h = G.stamp_size(F.col("p_size") * 20.0, F.col("p_retailprice") / 900)
+    x, y = G.centred(F.col("p_size") * 20.0, F.lit(1000.0), w, h)
+    return _t(spark, sf_dir, "part").select("p_partkey", *[F.round(v, 6).alias(n) for v, n in ((x, "x"), (y, "y"), (w, "w"), (h, "h"))])
+
+
+def thumb_fit(spark, sf_dir):
+    x, y, w, h = G.fitted(F.col("p_size") * 10.0, F.col("p_retailprice") / 10, 158.0, 68.0)
+    return _t(spark, sf_dir, "part").select("p_partkey", x.alias("x"), y.alias("y"), w.alias("w"), h.alias("h"))
+
+
+def grid(spark, sf_dir):
+    parts = ordinals.global_ordinal(_t(spark, sf_dir, "part").select("p_partkey"), "i", "p_partkey")
+    row, col, x, _ = G.grid_cell(F.col("i"))
+    return parts.select("p_partkey", (F.col("i") + 1).alias("label"), row.alias("row"), col.alias("col"), x.alias("x"))
+
+
+def bbox(spark, sf_dir):
+    points = _t(spark, sf_dir, "embeddings").select("label", F.get("embedding", F.lit(0)).cast("double").alias("x"), F.get("embedding", F.lit(1)).cast("double").alias("y"))
+    box = points.groupBy("label").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+    return box.select("label", (F.col("x0") - G.INK_PAD).alias("x"), (F.col("y0") - G.INK_PAD).alias("y"), G.padded_extent(F.col("x0"), F.col("x1")).alias("w"), G.padded_extent(F.col("y0"), F.col("y1")).alias("h"))
+
+
+def strokes(spark, sf_dir):
+    events = _t(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type")
+    marked = gestures.strokes(events, "user_id", ["ts", "event_id"], F.col("event_type") == "signup", F.col("event_type") == "error")
+    grouped = marked.where("stroke is not null").groupBy("user_id", "stroke").agg(F.count("*").alias("n"), F.min_by("event_id", F.struct("ts", "event_id")).alias("first_event"))
+    return grouped.where("n > 1")
+
+
+def drag_path(spark, sf_dir):
+    events = _t(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value")
+    out = gestures.path_sum(events, "user_id", ["ts", "event_id"], F.col("value").cast("decimal(18,2)"), "at")
+    return out.select("event_id", "user_id", F.col("at").cast("double").alias("at"))
+
+
+def anchored_batches(spark, sf_dir):
+    events = _t(spark, sf_dir, "events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    return gestures.anchored_batches(events, "user_id", F.col("t"), DELAY)
+
+
+QUERIES = (
+    natural_order, ext_filter, non_blank, route, load_pages, resize, orient, quarantine, report, output_name, signed_name, version_newer, json_field,
+    latest_first, append_pages, insert_at, reorder, remove_pages, extract_pages, rotate_pages, flatten, hit_test, last_stamp, has_widget,
+    remove_stamp, place_stamp, thumb_fit, grid, bbox, strokes, drag_path, anchored_batches,
+)
 
 
 def queries() -> dict:
-    return {}
+    return {f.__name__: f for f in QUERIES}
+
+
+_CONV = "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations"
+_NUMBERED = "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY {order}) - 1 AS page_ord, turn FROM ({rows})"
+
+
+def _edit(rows: str, order: str) -> str:
+    return f"WITH p AS ({_CONV}) " + _NUMBERED.format(rows=rows, order=order)
+
+
+SQL = {
+    "natural_order": "SELECT p_brand, row_number() OVER (ORDER BY upper(regexp_extract(p_brand, '^[^0-9]*')), regexp_extract(p_brand, '[0-9]+')::INT, p_brand) - 1 AS position FROM (SELECT DISTINCT p_brand FROM part)",
+    "ext_filter": "SELECT page_id, kind FROM (SELECT page_id, lower(regexp_extract(url, '^[a-zA-Z]+://[^/]+/([a-zA-Z]{2})/', 1)) AS kind FROM pages) WHERE kind IN ('en', 'de')",
+    "non_blank": r"SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\s]')))::BIGINT AS n_lines FROM documents",
+    "route": """SELECT user_id, day, pdfs, images, CASE WHEN pdfs = 1 AND images = 0 THEN 'sign' WHEN pdfs > 0 THEN 'organize' WHEN images > 0 THEN 'combine' ELSE 'home' END AS route
+        FROM (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, count(*) FILTER (event_type = 'purchase') AS pdfs, count(*) FILTER (event_type = 'click') AS images FROM events GROUP BY ALL)""",
+    "load_pages": """SELECT doc_id, page_ord, n_chars, row_number() OVER (ORDER BY doc_id, page_ord) - 1 AS position
+        FROM (SELECT doc_id, i - 1 AS page_ord, length(lines[i])::BIGINT AS n_chars FROM (SELECT doc_id, lines, unnest(generate_series(1, len(lines))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents)))""",
+    "resize": """SELECT l_orderkey, l_linenumber, l_partkey, greatest(1, round_even(w * s, 0)::INT) AS new_w, greatest(1, round_even(h * s, 0)::INT) AS new_h
+        FROM (SELECT *, least(1.0::DOUBLE, 1600.0::DOUBLE / greatest(w, h)) AS s FROM (SELECT *, floor(l_extendedprice / 10)::INT AS w, floor(l_quantity * 60)::INT AS h FROM lineitem))""",
+    "orient": "SELECT p_partkey, CASE WHEN p_size % 9 BETWEEN 5 AND 8 THEN 300 ELSE 400 END AS w, CASE WHEN p_size % 9 BETWEEN 5 AND 8 THEN 400 ELSE 300 END AS h FROM part",
+    "quarantine": """SELECT CASE WHEN n IS NULL THEN 'skipped' ELSE 'ok' END AS status, count(*) AS n, string_agg(page_id, ', ' ORDER BY page_id) AS names
+        FROM (SELECT page_id, try_cast(nullif(regexp_extract(url, '[?&]page=([^&#]*)', 1), '') AS INT) AS n FROM pages) GROUP BY 1""",
+    "report": """SELECT page_id % 10 AS batch, count(n) AS n_ok, count(*) - count(n) AS n_skipped, coalesce(string_agg(page_id, ', ' ORDER BY page_id) FILTER (n IS NULL), '') AS skipped
+        FROM (SELECT page_id, try_cast(nullif(regexp_extract(url, '[?&]page=([^&#]*)', 1), '') AS INT) AS n FROM pages) GROUP BY 1""",
+    "output_name": "SELECT event_id, 'Photos_' || strftime(ts, '%Y-%m-%d_%H%M%S') || '.pdf' AS name FROM events",
+    "signed_name": r"""SELECT page_id, regexp_replace(list_last(string_split(u, '/')), '\.[^.]+$', '') || '-signed.pdf' AS name, regexp_replace(u, '/[^/]*$', '') AS folder
+        FROM (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS u FROM pages)""",
+    "version_newer": "SELECT p_partkey, p_size > 25 OR (p_size = 25 AND p_partkey % 10 > 3) AS newer FROM part",
+    "json_field": "SELECT event_id, (props->>'k')::INT AS k, CASE WHEN json_type(props, '$.k') = 'VARCHAR' THEN props->>'k' END AS k_string FROM events",
+    "latest_first": "SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC NULLS LAST, o_orderkey) - 1 AS rank FROM orders",
+    "append_pages": _edit("SELECT conv_id, turn, 0 AS part, i FROM p UNION ALL SELECT conv_id, turn, 1, i FROM p WHERE i IN (0, 2)", "part, i"),
+    "insert_at": _edit("SELECT conv_id, turn, CASE WHEN i < 3 THEN 0 ELSE 2 END AS part, i FROM p UNION ALL SELECT conv_id, turn, 1, i FROM p WHERE i IN (0, 2)", "part, i"),
+    "reorder": _edit("SELECT conv_id, turn, CASE WHEN i IN (0, 2) THEN 1 WHEN i < 4 THEN 0 ELSE 2 END AS part, i FROM p", "part, i"),
+    "remove_pages": _edit("SELECT conv_id, turn, i FROM p WHERE i NOT IN (0, 2)", "i"),
+    "extract_pages": _edit("SELECT conv_id, turn, i FROM p WHERE i IN (0, 2)", "i"),
+    "rotate_pages": f"SELECT conv_id, turn, (turn * 90 % 360 + CASE WHEN i % 2 = 0 THEN 90 ELSE 0 END) % 360 AS rotation FROM ({_CONV})",
+    "flatten": """SELECT o_orderkey AS page, count(l_orderkey) AS n_stamps, coalesce(string_agg(l_linenumber || ':' || l_partkey, ',' ORDER BY l_linenumber, l_partkey) FILTER (l_orderkey IS NOT NULL), '') AS drawn
+        FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1""",
+    "hit_test": """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, max(r_regionkey) AS hit
+        FROM lineitem JOIN region ON l_quantity >= r_regionkey * 10.0::DOUBLE AND l_quantity < r_regionkey * 10.0::DOUBLE + 20.0::DOUBLE
+            AND l_discount >= r_regionkey * 0.01::DOUBLE AND l_discount < r_regionkey * 0.01::DOUBLE + 0.05::DOUBLE
+        GROUP BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice""",
+    "last_stamp": "SELECT l_orderkey, arg_max(l_partkey, (l_linenumber, l_partkey)) AS last_partkey FROM lineitem GROUP BY 1",
+    "has_widget": "SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')",
+    "remove_stamp": "SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)",
+    "place_stamp": """SELECT p_partkey, round((pw - w) / 2, 6) AS x, round((1000.0 - h) / 2, 6) AS y, round(w, 6) AS w, round(h, 6) AS h
+        FROM (SELECT *, w / greatest(0.01::DOUBLE, p_retailprice / 900) AS h FROM (SELECT *, p_size * 20.0::DOUBLE AS pw, least(220.0::DOUBLE, 0.4::DOUBLE * (p_size * 20.0::DOUBLE)) AS w FROM part))""",
+    "thumb_fit": """SELECT p_partkey, (158 - w * s) / 2 AS x, (68 - h * s) / 2 AS y, w * s AS w, h * s AS h
+        FROM (SELECT *, least(158.0::DOUBLE / greatest(w, 1), 68.0::DOUBLE / greatest(h, 1), 1.0::DOUBLE) AS s FROM (SELECT p_partkey, p_size * 10.0::DOUBLE AS w, p_retailprice / 10 AS h FROM part))""",
+    "grid": "SELECT p_partkey, i + 1 AS label, i // 3 AS row, i % 3 AS col, 12 + (i % 3) * 182 AS x FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS i FROM part)",
+    "bbox": """SELECT label, x0 - 10 AS x, y0 - 10 AS y, greatest(1.0::DOUBLE, x1 - x0 + 20) AS w, greatest(1.0::DOUBLE, y1 - y0 + 20) AS h
+        FROM (SELECT label, min(embedding[1]::DOUBLE) AS x0, max(embedding[1]::DOUBLE) AS x1, min(embedding[2]::DOUBLE) AS y0, max(embedding[2]::DOUBLE) AS y1 FROM embeddings GROUP BY 1)""",
+    "strokes": """WITH b AS (SELECT *, sum((event_type = 'signup')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS stroke FROM events),
+        e AS (SELECT *, coalesce(sum((event_type = 'error')::INT) OVER (PARTITION BY user_id, stroke ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended FROM b WHERE stroke > 0)
+        SELECT user_id, stroke::BIGINT AS stroke, count(*) AS n, arg_min(event_id, (ts, event_id)) AS first_event FROM e WHERE ended = 0 GROUP BY 1, 2 HAVING count(*) > 1""",
+    "drag_path": "SELECT event_id, user_id, sum(value::DECIMAL(18, 2)) OVER (PARTITION BY user_id ORDER BY ts, event_id)::DOUBLE AS at FROM events",
+    "anchored_batches": f"""WITH RECURSIVE t AS (SELECT user_id, epoch_us(ts) AS t FROM events),
+        a AS (SELECT user_id, min(t) AS anchor FROM t GROUP BY 1
+              UNION ALL SELECT a.user_id, (SELECT min(t.t) FROM t WHERE t.user_id = a.user_id AND t.t >= a.anchor + {DELAY}) FROM a
+              WHERE EXISTS (SELECT 1 FROM t WHERE t.user_id = a.user_id AND t.t >= a.anchor + {DELAY}))
+        SELECT a.user_id, anchor, count(*) AS n FROM a JOIN t ON t.user_id = a.user_id AND t.t >= anchor AND t.t < anchor + {DELAY} GROUP BY 1, 2""",
+}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(SQL)
