@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import licenses
+
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -56,5 +58,77 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
 
+
+OP2 = r"""
+WITH r AS (
+  SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
+t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM r),
+s AS (SELECT *, length(regexp_replace(role, '[\\#<:]', 'xx', 'g')) + length(regexp_replace(text, '[\\#<:]', 'xx', 'g')) + 15 AS n FROM t),
+g AS (
+  SELECT conv_id, count(*) AS n_turns, sum(n) AS formatted_chars,
+         string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
+         coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss
+  FROM s GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars::BIGINT AS formatted_chars FROM g
+"""
+
+OP3 = rf"""
+WITH u AS (
+  SELECT page_id, {LOWER.format("regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1)")} AS host,
+         regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1) AS path
+  FROM pages),
+r(i, verdict, h, p) AS (VALUES (1, 'block', 'com', '/en/'), (2, 'allow', 'example.com', '/en/7'), (3, 'allow', 'net', '/de/'), (4, 'block', 'example.net', '/de/8'), (5, 'block', 'org', '/es/')),
+m AS (
+  SELECT page_id, arg_min(h || p, (-length(h || p), i)) AS rule, arg_min(verdict, (-length(h || p), i)) AS verdict
+  FROM u JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
+SELECT u.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM u LEFT JOIN m USING (page_id)
+"""
+
+OP5 = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(ws, i, i + 3), ' ') AS s
+  FROM (SELECT doc_id, ws, unnest(generate_series(1, greatest(len(ws) - 3, 1))) AS i FROM w WHERE len(ws) > 0)),
+c AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM common m JOIN c x ON x.doc_id = a JOIN c y ON y.doc_id = b WHERE 100 * m.n >= 80 * (x.n + y.n - m.n)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT a, b FROM both_ways UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a),
+least_of AS (SELECT a, min(b) AS m FROM reach GROUP BY a)
+SELECT w.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(w.doc_id, coalesce(m, w.doc_id)) AS component_id, w.doc_id <= coalesce(m, w.doc_id) AS kept
+FROM w LEFT JOIN c USING (doc_id) LEFT JOIN least_of ON a = w.doc_id
+"""
+
+_TEMPLATES = [(i, text.split(), label, exact) for i, (text, label, exact) in enumerate([(*x, True) for x in licenses.PHRASES] + [(*x, False) for x in licenses.NOTICES])]
+
+OP7 = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '{WORD}') AS w FROM documents),
+tw(t, q, word, size, label, exact) AS (VALUES {", ".join(f"({i}, {q}, '{word}', {len(words)}, '{label}', {exact})" for i, words, label, exact in _TEMPLATES for q, word in enumerate(words))}),
+tg AS (SELECT a.*, b.word AS after FROM tw a JOIN tw b ON a.t = b.t AND b.q = a.q + 1),
+dw AS (SELECT doc_id, i - 1 AS p, w[i] AS word, w[i + 1] AS after FROM (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS i FROM d)),
+diagonals AS (SELECT DISTINCT doc_id, t, size, label, exact, p - q AS diagonal FROM dw JOIN tg USING (word, after)),
+agreed AS (
+  SELECT x.doc_id, x.t, x.size, x.label, x.exact, diagonal, count(*) AS agree
+  FROM diagonals x JOIN tw ON x.t = tw.t JOIN dw ON dw.doc_id = x.doc_id AND dw.p = diagonal + tw.q AND dw.word = tw.word GROUP BY ALL),
+parted AS (
+  SELECT *, CASE WHEN NOT exact AND diagonal - lag(diagonal) OVER (PARTITION BY doc_id, t ORDER BY diagonal) <= {licenses.DRIFT} THEN 0 ELSE 1 END AS new FROM agreed),
+numbered AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, t ORDER BY diagonal) AS grp FROM parted),
+spans AS (
+  SELECT doc_id, t, size, label, exact, min(diagonal) AS first, CASE WHEN exact THEN max(agree) ELSE sum(agree) END AS agree FROM numbered GROUP BY doc_id, t, size, label, exact, grp),
+held AS (SELECT *, least(agree / size, 1.0) AS share FROM spans WHERE CASE WHEN exact THEN agree = size ELSE least(agree / size, 1.0) >= {licenses.AGREE} END),
+g AS (
+  SELECT doc_id, count(*) FILTER (exact) AS n_base, min(first) FILTER (exact) AS first_word, max(first) FILTER (exact) AS last_word,
+         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (exact) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(round(share, 4)) AS score
+  FROM held GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
+FROM d LEFT JOIN g USING (doc_id)
+"""
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1, "op8_quality_rules": OP8}
+    """By query name. Token ids (op4, op9), bytes of UTF-8 texts (op6) and crc32 (op10) are beyond SQL; tests hold those against brute force."""
+    return {
+        "op1_decontamination": OP1, "op2_chat_formatting": OP2, "op3_url_filters": OP3, "op5_minhash_near_dedup": OP5,
+        "op7_license_scan": OP7, "op8_quality_rules": OP8,
+    }
