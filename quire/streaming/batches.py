@@ -26,7 +26,7 @@ class AnchoredBatches(StatefulProcessor):
                 self.pending.appendValue((path,))
         if first:
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.delay_ms)
-        yield pd.DataFrame({"key": [], "paths": []})
+        yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         paths = [x[0] for x in self.pending.get()]
