@@ -2,11 +2,12 @@
 
 Documents become sets of word shingles; equal sets are one vertex. In each of
 several independent trees a node branches on a few minwise tokens that its path
-chooses, so documents that share much take the same branches. Small nodes are
-compared exhaustively by signature, and every candidate link is confirmed on
-the full sets. Nodes that stay large at the last level hold documents much
-alike: those are compared in chunks with a few common pivots, and whatever is
-not in the node's largest component afterwards is compared with all chunks.
+chooses, so documents that share much take the same branches. Small nodes, and
+chunks of nodes that stay large at the last level, are compared exhaustively by
+signature; what the comparisons connect is a cluster. The full sets of each
+cluster meet once, in blocks, and only links confirmed on them count. Blocks of
+one cluster are then held against whatever its largest component has not taken
+in, so no pair of a cluster goes unseen.
 """
 
 from __future__ import annotations
@@ -30,11 +31,13 @@ SIGNATURE = 64
 AGREE = 36
 TREES = 6
 BRANCHES = 2
-LEVELS = 5
+LEVELS = 4
 #: Nodes of so many documents are compared, larger ones branch.
 SMALL = 48
-CHUNK = 192
-PIVOTS = 8
+CHUNK = 768
+PIVOTS = 24
+#: Documents of a cluster whose sets meet in one task.
+MEET = 1024
 
 _STEP = T.mix(np.arange(1, 65, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
 _FLIP = T.mix(np.arange(101, 165, dtype=U64) * U64(0x9E3779B97F4A7C15))
@@ -115,92 +118,122 @@ def nodes(vertices: DataFrame, trees: int = TREES) -> tuple[DataFrame, list[Data
     return found, steps
 
 
-def _pairs(groups: DataFrame, sparse: bool) -> DataFrame:
-    """Candidate pairs (a, b) within each group, rows (group, key, comp, pivot, sig), by signature.
+def _by_group(batches, solve):
+    """Run solve on slices of rows that hold whole groups (first column, sorted), with the places where they begin and end."""
+    rest = None
+    for batch in batches:
+        rows = batch if rest is None else pa.concat_batches([rest, batch])
+        group = rows.column(0).to_numpy()
+        cut = np.flatnonzero(group[1:] != group[:-1]) + 1
+        if len(cut):
+            yield from solve(rows.slice(0, int(cut[-1])), np.concatenate([[0], cut]))
+        rest = rows.slice(int(cut[-1]) if len(cut) else 0)
+    if rest is not None and rest.num_rows:
+        yield from solve(rest, np.array([0, rest.num_rows]))
 
-    sparse: for each document the most similar one before it and the most
-    similar pivot; else all pairs of different components. Groups are bounded.
-    """
 
-    def compare(batches):
-        rest = None
-        for batch in batches:
-            rows = batch if rest is None else pa.concat_batches([rest, batch])
-            group = rows.column(0).to_numpy()
-            cut = np.flatnonzero(group[1:] != group[:-1]) + 1
-            done = int(cut[-1]) if len(cut) else 0
-            if done:
-                yield from within(rows.slice(0, done), np.concatenate([[0], cut]))
-            rest = rows.slice(done)
-        if rest is not None and rest.num_rows:
-            yield from within(rest, np.array([0, rest.num_rows]))
-
-    def within(rows, cuts):
-        keys, comps = rows.column(1).to_pylist(), rows.column(2).to_pylist()
-        pivot = rows.column(3).to_numpy(zero_copy_only=False)
-        sigs = rows.column(4).flatten().to_numpy().reshape(-1, SIGNATURE)
+def _root(parent: list[int], i: int) -> int:
+    while parent[i] != i:
+        parent[i] = i = parent[parent[i]]
+    return i
+
+
+def _edges(a: list[bytes], b: list[bytes]):
+    if a:
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+
+def _clustered(members: DataFrame, vertices: DataFrame) -> DataFrame:
+    """Pairs (a, b) that connect, within each node, all whose signatures agree enough: a tree of them, not all pairs."""
+    rows = members.join(vertices.select("key", "sig"), "key")
+    large = F.col("size") > SMALL
+    chunks = F.when(large, F.ceil(F.col("size") / CHUNK)).otherwise(1).cast("int")
+    # About PIVOTS members of a large node, chosen by a hash, go to all its chunks and connect them.
+    common = large & (F.pmod(F.xxhash64("node", "key", F.lit(1)), F.col("size")) < PIVOTS)
+    chunk = F.explode(F.when(common, F.sequence(F.lit(0), chunks - 1)).otherwise(F.array(F.pmod(F.xxhash64("key"), chunks).cast("int"))))
+    dealt = rows.select("node", "key", "sig", chunk.alias("chunk")).select(F.xxhash64("node", "chunk").alias("group"), "key", "sig")
+
+    def compare(rows, cuts):
+        keys, sigs = rows.column(1).to_pylist(), rows.column(2).flatten().to_numpy().reshape(-1, SIGNATURE)
         a, b = [], []
         for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            own = sigs[lo:hi]
+            own, parent = sigs[lo:hi], list(range(hi - lo))
             for i in range(1, hi - lo):
-                if sparse:
-                    agree = (own[:i] == own[i]).sum(axis=1)
-                    best = {int(agree.argmax())} | ({int(np.where(pivot[lo : lo + i], agree, -1).argmax())} if pivot[lo : lo + i].any() else set())
-                    partners = [j for j in best if agree[j] >= AGREE]
-                else:
-                    other = np.flatnonzero([comps[lo + i] != c for c in comps[lo : lo + i]])
-                    partners = other[(own[other] == own[i]).sum(axis=1) >= AGREE].tolist()
-                for j in partners:
-                    x, y = keys[lo + i], keys[lo + j]
+                for j in np.flatnonzero((own[:i] == own[i]).sum(axis=1) >= AGREE).tolist():
+                    x, y = _root(parent, i), _root(parent, j)
                     if x != y:
-                        a.append(min(x, y))
-                        b.append(max(x, y))
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+                        parent[x] = y
+                        a.append(min(keys[lo + i], keys[lo + j]))
+                        b.append(max(keys[lo + i], keys[lo + j]))
+        return _edges(a, b)
 
-    dealt = groups.select("group", "key", "comp", "pivot", "sig").repartition(F.col("group")).sortWithinPartitions("group", F.desc("pivot"), "key")
-    return dealt.mapInArrow(compare, "a binary, b binary").distinct()
+    sorted_rows = dealt.repartition(F.col("group")).sortWithinPartitions("group", "key")
+    return sorted_rows.mapInArrow(lambda batches: _by_group(batches, compare), "a binary, b binary").distinct()
 
 
-def _grouped(members: DataFrame, vertices: DataFrame, comps: DataFrame | None) -> DataFrame:
-    """Rows of the groups to compare: whole small nodes, chunks of large ones with what goes to every chunk."""
-    rows = members.join(vertices.select("key", "sig"), "key")
-    large = F.col("size") > SMALL
-    chunks = F.when(large, F.ceil(F.col("size") / CHUNK)).otherwise(1).cast("int")
-    own = F.pmod(F.xxhash64("key"), chunks).cast("int")
-    if comps is None:
-        rows = rows.withColumn("comp", F.lit(None).cast("binary"))
-        # About PIVOTS members of a large node, chosen by a hash, go to all its chunks.
-        common = large & (F.pmod(F.xxhash64("node", "key", F.lit(1)), F.col("size")) < PIVOTS)
-    else:
-        rows = rows.join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-        by_comp = rows.groupBy("node", "comp").agg(F.count("*").alias("n"))
-        per_node = by_comp.groupBy("node").agg(F.max(F.struct("n", "comp")).alias("_most"), F.count("*").alias("_comps")).where("_comps > 1")
-        rows = rows.join(per_node.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"))
-        common = large & (F.col("comp") != F.col("_most.comp"))
-    rows = rows.withColumn("pivot", common).withColumn("chunk", F.explode(F.when(common, F.sequence(F.lit(0), chunks - 1)).otherwise(F.array(own))))
-    return rows.select(F.xxhash64("node", "chunk").alias("group"), "key", "comp", "pivot", "sig")
-
-
-def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int = PERCENT) -> DataFrame:
-    """Those pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-
-    def check(batches):
-        for batch in batches:
-            left, la = shingles(*T.buffer_of(batch.column(2)), k)
-            right, ra = shingles(*T.buffer_of(batch.column(3)), k)
-            held = []
-            for i in range(batch.num_rows):
-                x, y = np.unique(left[la[i] : la[i + 1]]), np.unique(right[ra[i] : ra[i + 1]])
-                both = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
-                held.append(100 * both >= percent * (len(x) + len(y) - both))
-            kept = batch.select(["a", "b"]).filter(pa.array(held, pa.bool_()))
-            if kept.num_rows:
-                yield kept
-
-    first = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a")
-    both = first.join(texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
-    return both.mapInArrow(check, "a binary, b binary")
+def _confirmed(groups: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) within groups of rows (group, key, comp, asks, text): full sets with 100 * intersection >= percent * union.
+
+    Each row that asks is held against all rows of other components, at once
+    by a lookup of its tokens; links that join nothing new are left out.
+    """
+
+    def meet(rows, cuts):
+        keys, comps, asks = rows.column(1).to_pylist(), rows.column(2).to_pylist(), rows.column(3).to_pylist()
+        a, b = [], []
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            m = hi - lo
+            tokens, at = shingles(*T.buffer_of(rows.column(4).slice(lo, m)), k)
+            sets = [np.unique(tokens[at[i] : at[i + 1]]) for i in range(m)]
+            sizes = np.array([len(s) for s in sets])
+            begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+            names, ids = np.unique(np.concatenate(sets), return_inverse=True)
+            seen = np.zeros(len(names), np.int32)
+            first: dict = {}
+            parent = [first.setdefault(comps[lo + i], i) for i in range(m)]
+            parts = len(first)
+            for i in range(m):
+                if parts == 1:
+                    break
+                if not asks[lo + i]:
+                    continue
+                own = ids[begin[i] : begin[i] + sizes[i]]
+                seen[own] = 1
+                both = np.add.reduceat(seen[ids], begin)
+                seen[own] = 0
+                for j in np.flatnonzero(100 * both >= percent * (sizes + sizes[i] - both)).tolist():
+                    x, y = _root(parent, i), _root(parent, j)
+                    if x != y:
+                        parent[x] = y
+                        parts -= 1
+                        a.append(min(keys[lo + i], keys[lo + j]))
+                        b.append(max(keys[lo + i], keys[lo + j]))
+        return _edges(a, b)
+
+    dealt = groups.select("group", "key", "comp", "asks", "text").repartition(F.col("group")).sortWithinPartitions("group", "key")
+    return dealt.mapInArrow(lambda batches: _by_group(batches, meet), "a binary, b binary")
+
+
+def _blocks(clusters: DataFrame) -> DataFrame:
+    """Rows (cluster, key, comp, blocks, asks, group): each member once, in a block of its cluster of about MEET members."""
+    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("size")).withColumnRenamed("cluster", "_c")
+    blocks = F.ceil(F.col("size") / MEET).cast("int")
+    rows = clusters.join(sizes, clusters["cluster"] == sizes["_c"]).withColumn("blocks", blocks)
+    return rows.select("cluster", "key", "blocks", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block"))
+
+
+def _left_over(blocked: DataFrame, comps: DataFrame) -> DataFrame:
+    """Of clusters of several blocks, rows (group, key, comp, asks): blocks of members beyond the largest component against all blocks."""
+    rows = blocked.where("blocks > 1").join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+    by_comp = rows.groupBy("cluster", "comp").agg(F.count("*").alias("n"))
+    most = by_comp.groupBy("cluster").agg(F.max(F.struct("n", "comp")).alias("most"), F.sum("n").alias("all")).where("all > most.n")
+    most = most.select(F.col("cluster").alias("_c"), F.col("most.comp").alias("_most"), F.ceil((F.col("all") - F.col("most.n")) / MEET).cast("int").alias("parts"))
+    rows = rows.join(most, rows["cluster"] == most["_c"])
+    asking = rows.where("comp != _most").withColumn("part", F.pmod(F.xxhash64("key", F.lit(2)), F.col("parts")).cast("int"))
+    asking = asking.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("asks", F.lit(True))
+    others = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("asks", F.lit(False))
+    both = asking.select("cluster", "block", "part", "key", "comp", "asks").unionByName(others.select("cluster", "block", "part", "key", "comp", "asks"))
+    return both.select(F.xxhash64("cluster", "block", "part").alias("group"), "key", "comp", "asks")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -238,20 +271,21 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = P
     rows = C.materialize(signed(docs, shingle, id_col, text_col, keep), "sets")
     vertices = C.materialize(rows.where("key is not null").groupBy("key").agg(F.first("sig").alias("sig"), F.count("*").alias("copies"), F.min(F.struct(F.col("doc_id"), F.xxhash64("text").alias("t"))).alias("rep")), "vertices")
     members, steps = nodes(vertices)
-    links = None
-    for sparse in (True, False):
-        comps = components(links) if links is not None else None
-        pairs = C.materialize(_pairs(_grouped(members, vertices, comps), sparse), "pairs")
-        needed = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct().join(vertices, "key")
-        needed = needed.select(F.col("key").alias("_k"), F.col("rep.doc_id").alias("_id"), F.col("rep.t").alias("_t"))
-        texts = rows.join(needed, (F.col("key") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_t"))).select("key", "text").dropDuplicates(["key"])
-        texts = C.materialize(texts, "candidates")
-        found = C.materialize(confirmed(pairs, texts, shingle, percent), "confirmed")
-        links = found if links is None else links.unionByName(found)
-        C.release(texts)
-    comps = C.materialize(components(links), "components")
+    pairs = C.materialize(_clustered(members, vertices), "pairs")
     for x in steps:
         C.release(x)
+    clusters = components(pairs).withColumnRenamed("comp", "cluster")
+    needed = clusters.join(vertices, "key").select(F.col("key").alias("_k"), F.col("rep.doc_id").alias("_id"), F.col("rep.t").alias("_t"))
+    chosen = (F.col("key") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_t"))
+    texts = C.materialize(rows.join(needed, chosen).select("key", "text").dropDuplicates(["key"]), "candidates")
+    blocked = C.materialize(_blocks(clusters), "blocks")
+    groups = blocked.select(F.xxhash64("cluster", "block").alias("group"), "key", F.col("key").alias("comp"), F.lit(True).alias("asks"))
+    links = C.materialize(_confirmed(groups.join(texts, "key"), shingle, percent), "confirmed")
+    comps = components(links)
+    if not blocked.where("blocks > 1").isEmpty():
+        more = C.materialize(_confirmed(_left_over(blocked, comps).join(texts, "key"), shingle, percent), "confirmed")
+        comps = components(links.unionByName(more))
+    C.release(texts)
     # The least id of a component, from one row for each vertex.
     named = vertices.select("key", F.col("rep.doc_id").alias("_least")).join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
     least = named.groupBy("comp").agg(F.min("_least").alias("_component"))
