@@ -144,7 +144,7 @@ def _edges(a: list[bytes], b: list[bytes]):
 
 
 def _clustered(members: DataFrame, vertices: DataFrame) -> DataFrame:
-    """Pairs (a, b) that connect, within each node, all whose signatures agree enough: a tree of them, not all pairs."""
+    """Pairs (a, b) that connect, within each node, all whose signatures agree enough: each to the least of them, not all pairs."""
     rows = members.join(vertices.select("key", "sig"), "key")
     large = F.col("size") > SMALL
     chunks = F.when(large, F.ceil(F.col("size") / CHUNK)).otherwise(1).cast("int")
@@ -161,10 +161,11 @@ def _clustered(members: DataFrame, vertices: DataFrame) -> DataFrame:
             for i in range(1, hi - lo):
                 for j in np.flatnonzero((own[:i] == own[i]).sum(axis=1) >= AGREE).tolist():
                     x, y = _root(parent, i), _root(parent, j)
-                    if x != y:
-                        parent[x] = y
-                        a.append(min(keys[lo + i], keys[lo + j]))
-                        b.append(max(keys[lo + i], keys[lo + j]))
+                    parent[max(x, y)] = min(x, y)
+            for i in range(hi - lo):  # rows are sorted by key, so a root is the least: nodes that share members share edges
+                if (x := _root(parent, i)) != i:
+                    a.append(keys[lo + x])
+                    b.append(keys[lo + i])
         return _edges(a, b)
 
     sorted_rows = dealt.repartition(F.col("group")).sortWithinPartitions("group", "key")
