@@ -24,18 +24,18 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the smallest id; documents without words stay."""
+    """One document of each group of near-duplicates, the one with the smallest id (none has one: any); documents without words stay."""
     kept = neardup.near_duplicates(docs, keep=REST).where("kept")
     return kept.where("key is null").unionByName(_one_each(kept.where("key is not null"))).select(*COLUMNS)
 
 
 def _one_each(kept: DataFrame) -> DataFrame:
-    """One row of those that share an id and stand for one group."""
-    again = C.materialize(kept.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("component_id").alias("_id")), "repeated-ids")
+    """One row of those that stand for one group; groups are told apart by their keys, as ids may be null or shared."""
+    again = C.materialize(kept.groupBy("component_key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("component_key").alias("_key")), "repeated-groups")
     if again.isEmpty():
         return kept
-    same = kept["component_id"].eqNullSafe(again["_id"])
-    return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(["component_id"]))
+    same = kept["component_key"] == again["_key"]
+    return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(["component_key"]))
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

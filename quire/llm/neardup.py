@@ -259,8 +259,9 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """All rows with their component: doc_id, text, n_shingles, key, component_id, kept, and the columns named in keep.
+    """All rows with their component: doc_id, text, n_shingles, key, component_key, component_id, kept, and the columns named in keep.
 
+    component_key: the component itself (ids may be null or shared by several);
     component_id: the smallest doc_id reachable over links; kept: whether this
     row stands for its component (of rows that share the smallest id, each).
     Null texts and texts without words have no shingles, are linked with
@@ -270,7 +271,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = P
     if percent != PERCENT and percent < PERCENT:
         raise ValueError("signatures are sized for a similarity of 0.8 and more")
     rows = C.materialize(signed(docs, shingle, id_col, text_col, keep), "sets")
-    vertices = C.materialize(rows.where("key is not null").groupBy("key").agg(F.first("sig").alias("sig"), F.count("*").alias("copies"), F.min(F.struct(F.col("doc_id"), F.xxhash64("text").alias("t"))).alias("rep")), "vertices")
+    vertices = C.materialize(rows.where("key is not null").groupBy("key").agg(F.first("sig").alias("sig"), F.count("*").alias("copies"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text").alias("t"))).alias("rep")), "vertices")
     members, steps = nodes(vertices)
     pairs = C.materialize(_clustered(members, vertices), "pairs")
     for x in steps:
@@ -290,7 +291,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = P
     # The least id of a component, from one row for each vertex.
     named = vertices.select("key", F.col("rep.doc_id").alias("_least")).join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
     least = named.groupBy("comp").agg(F.min("_least").alias("_component"))
-    of_key = named.select("key", "comp").join(least, "comp").select(F.col("key").alias("_key"), "_component")
+    of_key = named.select("key", "comp").join(least, "comp").select(F.col("key").alias("_key"), F.col("comp").alias("component_key"), "_component")
     out = rows.join(of_key, rows["key"] == of_key["_key"], "left").withColumn("component_id", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("_component")))
     kept = F.col("key").isNull() | F.col("doc_id").eqNullSafe(F.col("component_id"))
-    return out.select("doc_id", "text", "n_shingles", "key", "component_id", kept.alias("kept"), *[F.col(f"_keep_{c}").alias(c) for c in keep])
+    return out.select("doc_id", "text", "n_shingles", "key", "component_key", "component_id", kept.alias("kept"), *[F.col(f"_keep_{c}").alias(c) for c in keep])

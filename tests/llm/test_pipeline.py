@@ -45,3 +45,33 @@ def test_pipeline(spark, tmp_path):
     want = by_hand(rows, items)
     assert got == want and 8 not in got and 300 not in got and 100 in got and 150 not in got
     assert re.match("[0-9]", str(len(got)))
+
+
+def test_pipeline_with_null_and_reused_ids(spark, tmp_path):
+    """The whole corpus, several rows without an id and unrelated texts under one id: every group of near-duplicates leaves one document."""
+    r = random.Random(21)
+    prose = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    texts = [prose(40) for _ in range(8)]
+    more = [(None, t) for t in texts[:4]] + [(None, texts[0]), (500, texts[4]), (500, texts[5]), (500, texts[5]), (None, texts[6]), (501, texts[6]), (502, texts[6]), (None, texts[7]), (503, f"{texts[7]} end")]
+    rows = corpus() + [(i, t, "en", "s9", len(t)) for i, t in more]
+    pq.write_table(pa.Table.from_pylist([dict(zip(SCHEMA.names, x, strict=True)) for x in rows], SCHEMA), tmp_path / "documents.parquet")
+    docs = spark.read.parquet(f"file://{tmp_path}/documents.parquet")
+    fit = [x for x in rows if (f := figures(x[1]))[0] >= 20 and 100 * f[4] <= 30 * f[0]]
+    _, group = linked(fit, 5)
+    least = {g: min((x[0] for x, y in zip(fit, group, strict=True) if y == g and x[0] is not None), default=None) for g in group}
+    one = {g: x[:2] for x, g in zip(fit, group, strict=True) if x[0] == least[g]}
+    judged = corpus_pipeline.quality_rules(spark, docs, f"file://{tmp_path}")
+    got = collections.Counter((x.doc_id, x.text) for x in corpus_pipeline.minhash_near_dedup(spark, judged, f"file://{tmp_path}").collect())
+    assert got == collections.Counter(one.values())
+    assert {(None, t) for t in texts[:4]} <= set(got) and {(500, texts[4]), (500, texts[5]), (501, texts[6]), (503, f"{texts[7]} end")} <= set(got)
+
+    pq.write_table(pa.table({"item_id": [1, 2], "text": [ITEM, "mit license"]}), tmp_path / "benchmark.parquet")
+    kept = [(i, t.decode("utf-8", "ignore")) for i, _, t, _ in without_repeats(list(one.values()), 200).elements()]
+    want = collections.Counter((i, n) for i, t in kept if not contamination(t, [(1, ITEM), (2, "mit license")])[3] for n in [len(ids_of(t, 0))])
+    sizes = collections.Counter()
+    for x in corpus_pipeline.run(spark, f"file://{tmp_path}").collect():
+        sizes[x.doc_id] += x.length
+    total = collections.Counter()
+    for (i, n), times in want.items():
+        total[i] += n * times
+    assert sizes == total
