@@ -3,12 +3,15 @@
 A text is cut where white space follows a visible ASCII character, and where
 ASCII punctuation follows an ASCII letter; the byte-level pattern of the
 vocabulary never joins characters across such a place, nor looks across it, so
-the ids of the parts make up the ids of the text.
+the ids of the parts make up the ids of the text. Tokens added to the vocabulary
+("<|endoftext|>") are parts of their own wherever a text holds them, as the
+library has it by default: it splits at them before anything else.
 """
 
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 
@@ -53,7 +56,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # what looks like a special token in a text is text
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        if any(t.lstrip or t.rstrip or t.single_word or t.normalized and self.tokenizer.normalizer for t in added):
+            raise ValueError("added tokens that take in or ask for their surroundings cannot be cut out of a text")
+        self.added = {t.content for t in added}
+        longest = sorted((x.encode() for x in self.added), key=len, reverse=True)
+        self.find = re.compile(b"|".join(map(re.escape, longest))) if longest else None
         self._forget()
 
     def _forget(self):
@@ -69,6 +77,9 @@ class Encoder:
         cut = (_VISIBLE[before] & _SPACE[here]) | (_LETTER[before] & _MARK[here])
         inner = offsets[(offsets > 0) & (offsets < len(data))]
         cut[inner - 1] = True
+        for lo, hi in self._added_spans(data, offsets):
+            cut[lo : hi - 1] = False
+            cut[[x - 1 for x in (lo, hi) if 0 < x < len(data)]] = True
         starts = np.concatenate([[0], np.flatnonzero(cut) + 1])
         ends = np.append(starts[1:], len(data))
         hashed = T.span_hashes(data, starts, ends)
@@ -79,6 +90,12 @@ class Encoder:
         ends_of = np.concatenate([[0], np.cumsum(sizes)])
         return ids, ends_of[np.searchsorted(starts, offsets)]
 
+    def _added_spans(self, data, offsets) -> list[tuple[int, int]]:
+        """Where added tokens stand, each within one text."""
+        if not self.find or not self.find.search(raw := data.tobytes()):
+            return []
+        return [m.span() for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True) for m in self.find.finditer(raw, lo, hi)]
+
     def _entries(self, data, keys, starts, ends) -> np.ndarray:
         """Entry of each distinct piece; new ones are encoded."""
         if len(self.keys) > REMEMBER:
@@ -106,7 +123,7 @@ class Encoder:
         model = self.tokenizer.model
         for i, x in enumerate(parts):
             word = x[1:] if x[0] == " " else x
-            if word.isalpha() and max(word) <= "\xff":
+            if word.isalpha() and max(word) <= "\xff" and x not in self.added:
                 out[i] = [t.id for t in model.tokenize(x.encode().decode("latin-1").translate(_BYTE_LETTERS))]
             else:
                 rest.append(i)

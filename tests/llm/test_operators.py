@@ -192,6 +192,34 @@ def test_encoder_agrees_with_the_library():
         assert ids[at[i] : at[i + 1]].tolist() == ids_of(x, 0)[:-1]
 
 
+END = "<|endoftext|>"
+WITH_ADDED = [f"see {END} here", END, END * 2, f"a{END}b", f" {END}  {END} ", f"x\n{END}\n\ny é{END}é", "<|endoftext", "|>", "<|endof text|>", f"<|endof{END}text|>", f"<{END}>", f"it{END}'s 12{END}3", f"{END.upper()} {END[:-1]} {END}", "plain"]
+
+
+def fresh_ids(text):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(VOCABULARY).encode(text, add_special_tokens=False).ids
+
+
+def test_added_tokens_are_encoded_as_by_a_fresh_tokenizer():
+    want = [fresh_ids(x) for x in WITH_ADDED]
+    assert want[0] == [3826, 220, 50256, 994]
+    for texts, ids_wanted in [(WITH_ADDED, want), *[([x], [w]) for x, w in zip(WITH_ADDED, want, strict=True)]]:
+        data, offsets = T.buffer_of(pa.array(texts))
+        ids, at = Encoder(VOCABULARY).encode(data, offsets)
+        assert [ids[at[i] : at[i + 1]].tolist() for i in range(len(texts))] == ids_wanted
+
+
+def test_added_tokens_in_packing_and_files(spark):
+    df = spark.createDataFrame(list(enumerate(WITH_ADDED)), "doc_id long, text string")
+    packed = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in packing.pack_documents(df, VOCABULARY).collect()}
+    files = tokenfile.write_files(df, C.shared_path(spark, "test-added"), VOCABULARY)
+    filed = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in tokenfile.read_files(files).collect()}
+    for i, x in enumerate(WITH_ADDED):
+        assert packed[i] == [*fresh_ids(x), packing.END_ID] and filed[i] == [*fresh_ids(x), tokenfile.END_ID]
+
+
 def test_span_hashes_tell_spans_apart():
     texts = sorted({("ab"[i % 2] * (1 + i % 7) + str(i // 14) + "z" * (i % 3)) for i in range(20000)} | {"q" * (1 << 17), "q" * (1 << 16) + "r" + "q" * ((1 << 16) - 1)})
     data, offsets = T.buffer_of(pa.array(texts))
