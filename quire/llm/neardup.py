@@ -4,10 +4,11 @@ Documents become sets of word shingles; equal sets are one vertex. In each of
 several independent trees a node branches on a few minwise tokens that its path
 chooses, so documents that share much take the same branches. Small nodes, and
 chunks of nodes that stay large at the last level, are compared exhaustively by
-signature; what the comparisons connect is a cluster. The full sets of each
+signature; what a node's largest cluster has not taken in then meets all chunks
+of the node. What the comparisons connect is a cluster. The full sets of each
 cluster meet once, in blocks, and only links confirmed on them count. Blocks of
 one cluster are then held against whatever its largest component has not taken
-in, so no pair of a cluster goes unseen.
+in, so no pair of a node or a cluster goes unseen.
 """
 
 from __future__ import annotations
@@ -144,7 +145,20 @@ def _edges(a: list[bytes], b: list[bytes]):
 
 
 def _clustered(members: DataFrame, vertices: DataFrame) -> DataFrame:
-    """Pairs (a, b) that connect, within each node, all whose signatures agree enough: each to the least of them, not all pairs."""
+    """Pairs (a, b) that connect, within each node, all whose signatures agree enough: not all pairs, but as many as connect them."""
+    near = C.materialize(_within_chunks(members, vertices), "pairs")
+    large = members.where(F.col("size") > CHUNK)
+    if large.isEmpty():
+        return near
+    labels = components(near)
+    blocks = F.ceil(F.col("size") / CHUNK).cast("int")
+    blocked = large.select(F.col("node").alias("cluster"), "key", blocks.alias("blocks"), F.pmod(F.xxhash64("key"), blocks).cast("int").alias("block"))
+    more = C.materialize(_across_chunks(_left_over(blocked, labels).join(vertices.select("key", "sig"), "key")), "pairs")
+    return labels.where("key != comp").select(F.col("comp").alias("a"), F.col("key").alias("b")).unionByName(more)
+
+
+def _within_chunks(members: DataFrame, vertices: DataFrame) -> DataFrame:
+    """Pairs (a, b) from the chunks of each node: each member to the least of those it is connected with."""
     rows = members.join(vertices.select("key", "sig"), "key")
     large = F.col("size") > SMALL
     chunks = F.when(large, F.ceil(F.col("size") / CHUNK)).otherwise(1).cast("int")
@@ -172,6 +186,35 @@ def _clustered(members: DataFrame, vertices: DataFrame) -> DataFrame:
     return sorted_rows.mapInArrow(lambda batches: _by_group(batches, compare), "a binary, b binary").distinct()
 
 
+def _across_chunks(groups: DataFrame) -> DataFrame:
+    """Pairs (a, b) within groups of rows (group, key, comp, asks, sig): rows that ask against all rows of other clusters, as _confirmed does on sets."""
+
+    def meet(rows, cuts):
+        keys, comps, asks = rows.column(1).to_pylist(), rows.column(2).to_pylist(), rows.column(3).to_pylist()
+        sigs = rows.column(4).flatten().to_numpy().reshape(-1, SIGNATURE)
+        a, b = [], []
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            own, first = sigs[lo:hi], {}
+            parent = [first.setdefault(comps[lo + i], i) for i in range(hi - lo)]
+            parts = len(first)
+            for i in range(hi - lo):
+                if parts == 1:
+                    break
+                if not asks[lo + i]:
+                    continue
+                for j in np.flatnonzero((own == own[i]).sum(axis=1) >= AGREE).tolist():
+                    x, y = _root(parent, i), _root(parent, j)
+                    if x != y:
+                        parent[x] = y
+                        parts -= 1
+                        a.append(min(keys[lo + i], keys[lo + j]))
+                        b.append(max(keys[lo + i], keys[lo + j]))
+        return _edges(a, b)
+
+    dealt = groups.select("group", "key", "comp", "asks", "sig").repartition(F.col("group")).sortWithinPartitions("group", "key")
+    return dealt.mapInArrow(lambda batches: _by_group(batches, meet), "a binary, b binary").distinct()
+
+
 def _confirmed(groups: DataFrame, k: int, percent: int) -> DataFrame:
     """Links (a, b) within groups of rows (group, key, comp, asks, text): full sets with 100 * intersection >= percent * union.
 
@@ -224,7 +267,7 @@ def _blocks(clusters: DataFrame) -> DataFrame:
 
 
 def _left_over(blocked: DataFrame, comps: DataFrame) -> DataFrame:
-    """Of clusters of several blocks, rows (group, key, comp, asks): blocks of members beyond the largest component against all blocks."""
+    """Of clusters (or nodes) of several blocks, rows (group, key, comp, asks): blocks of members beyond the largest component against all blocks."""
     rows = blocked.where("blocks > 1").join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
     by_comp = rows.groupBy("cluster", "comp").agg(F.count("*").alias("n"))
     most = by_comp.groupBy("cluster").agg(F.max(F.struct("n", "comp")).alias("most"), F.sum("n").alias("all")).where("all > most.n")

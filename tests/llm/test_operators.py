@@ -343,6 +343,25 @@ def test_large_group_of_near_copies(spark, monkeypatch):
     check_components(rows, neardup.near_duplicates(spark.createDataFrame(rows, SCHEMA), shingle=4).collect(), 4)
 
 
+def test_large_node_of_unrelated_pairs(spark, monkeypatch):
+    """A node of many chunks, nothing of which chains: members of a pair meet wherever they were dealt to."""
+    for name, n in (("SMALL", 6), ("CHUNK", 16), ("PIVOTS", 2), ("MEET", 16)):
+        monkeypatch.setattr(neardup, name, n)
+    r = random.Random(8)
+    sigs, pairs = {}, set()
+    for i in range(60):
+        sig = [r.randrange(-(10**9), 10**9) for _ in range(neardup.SIGNATURE)]
+        pair = [hashlib.blake2b(f"{i} {j}".encode(), digest_size=16).digest() for j in range(2)]
+        sigs |= {pair[0]: sig, pair[1]: [x if k < 50 else x ^ 1 for k, x in enumerate(sig)]}
+        pairs.add(frozenset(pair))
+    vertices = spark.createDataFrame(list(sigs.items()), "key binary, sig array<int>")
+    members = spark.createDataFrame([(node, k, len(sigs)) for node in (5, 6) for k in sigs], "node long, key binary, size long")
+    groups = collections.defaultdict(set)
+    for x in neardup.components(neardup._clustered(members, vertices)).collect():
+        groups[bytes(x.comp)].add(bytes(x.key))
+    assert {frozenset(g) for g in groups.values()} == pairs
+
+
 # --- substrings
 
 
