@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 #: Largest side, in bytes of text, that an operator broadcasts; larger ones go in blocks or by a shuffle.
 BROADCAST_BYTES = 4 << 20
 
+#: A key with more than this share of all rows is heavy, so there are at most so many heavy keys.
+PARTS = 2000
+#: Sub-groups into which the rows of a heavy key are dealt.
+SALTS = 64
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -19,10 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset and all runs on one machine (tests)."""
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not at:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = f"file://{tempfile.mkdtemp(prefix='quire-shared-')}"
         sc.setCheckpointDir(at)
     return at.rstrip("/")
@@ -54,6 +61,24 @@ def release(df: DataFrame) -> None:
         drop_path(df.sparkSession, path)
 
 
+def heavy_keys(counts: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """Keys with more than total / PARTS of total rows: by their number alone never more than PARTS, whatever the data."""
+    return counts.where(F.col(n) * PARTS > total).select(F.col(key).alias("_heavy"))
+
+
+def salted_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, heavy: DataFrame, spread: list[str], how: str = "inner") -> DataFrame:
+    """Join of many rows on the left with one row for each key on the right; a heavy key's rows are dealt over SALTS tasks by the columns of spread.
+
+    heavy comes from heavy_keys, so broadcasting it is bounded. Null keys join with nothing.
+    """
+    known = F.broadcast(heavy)
+    salt = F.when(F.col("_heavy").isNotNull(), F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")).otherwise(0)
+    many = left.join(known, left[left_key] == known["_heavy"], "left").withColumn("_salt", salt).drop("_heavy")
+    each = F.when(F.col("_heavy").isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    one = right.join(known, right[right_key] == known["_heavy"], "left").withColumn("_at", F.explode(each)).drop("_heavy")
+    return many.join(one, (many[left_key] == one[right_key]) & (many["_salt"] == one["_at"]), how).drop("_salt", "_at")
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else; pure ASCII texts take the built-in fast path."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))

@@ -2,10 +2,11 @@
 
 Documents become sets of word shingles; equal sets are one vertex. In each of
 several independent trees a node branches on a few minwise tokens that its path
-chooses, so documents that share much take the same branches. Small nodes, and
-chunks of nodes that stay large at the last level, are compared exhaustively by
-signature; what a node's largest cluster has not taken in then meets all chunks
-of the node. What the comparisons connect is a cluster. The full sets of each
+chooses, so documents that share much take the same branches. Before a large
+node branches, its members meet a leader, and those that can have no candidate
+beyond the leader's cluster are done. Small nodes, and chunks of nodes that stay
+large at the last level, are compared exhaustively by signature; what a node's
+largest cluster has not taken in then meets all chunks of the node. What the comparisons connect is a cluster. The full sets of each
 cluster meet once, in blocks, and only links confirmed on them count. Blocks of
 one cluster are then held against whatever its largest component has not taken
 in, so no pair of a node or a cluster goes unseen.
@@ -30,6 +31,8 @@ PERCENT = 80
 SIGNATURE = 64
 #: A pair with fewer equal tokens is no candidate; at a similarity of 0.8 that loses about one in a million.
 AGREE = 36
+#: Tokens in which two candidates differ at most.
+REACH = SIGNATURE - AGREE
 TREES = 6
 BRANCHES = 2
 LEVELS = 4
@@ -37,8 +40,9 @@ LEVELS = 4
 SMALL = 48
 CHUNK = 768
 PIVOTS = 24
-#: Documents of a cluster whose sets meet in one task.
+#: Documents of a cluster whose sets meet in one task, and bytes of their texts unless a single one has more.
 MEET = 1024
+MEET_BYTES = 8 << 20
 
 _STEP = T.mix(np.arange(1, 65, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
 _FLIP = T.mix(np.arange(101, 165, dtype=U64) * U64(0x9E3779B97F4A7C15))
@@ -100,23 +104,86 @@ def _children(node: Column, sig: Column) -> Column:
     return F.array(*[F.xxhash64(node, s, F.get(sig, s)) for s in spots])
 
 
-def nodes(vertices: DataFrame, trees: int = TREES) -> tuple[DataFrame, list[DataFrame]]:
-    """Rows (node, key, size) of the nodes to compare, each of two members at least, and the steps they are read from."""
+def cut(differ: np.ndarray, n: np.ndarray) -> tuple[int, int]:
+    """Of a node, by how many members differ in how many tokens from its leader: (join, done).
+
+    Members that differ in at most join tokens are put into the leader's
+    cluster; those in at most done need no more comparison in this node, since
+    whoever could be a candidate of theirs is in the cluster: tokens that differ
+    are a metric, and two candidates differ in at most REACH. join grows past
+    REACH only where that finishes more members than it adds.
+    """
+    best, out = None, (REACH, 0)
+    for join in [REACH, *differ[differ > REACH].tolist()]:
+        beyond = differ[differ > join]
+        done = min(join, int(beyond[0]) - REACH - 1) if len(beyond) else join
+        gain = int(n[differ <= done].sum()) - int(n[(differ > REACH) & (differ <= join)].sum())
+        if best is None or gain > best:
+            best, out = gain, (join, done)
+    return out
+
+
+def _cuts(histograms: DataFrame) -> DataFrame:
+    """Rows (node, join, done) from rows (node, bars array of (differ, n)), at most 65 bars each."""
+
+    def solve(batches):
+        for batch in batches:
+            found = [cut(np.array([b["differ"] for b in bars]), np.array([b["n"] for b in bars])) for bars in batch.column(1).to_pylist()]
+            if found:
+                join, done = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(join, pa.int32()), pa.array(done, pa.int32())], ["node", "join", "done"])
+
+    return histograms.mapInArrow(solve, "node long, join int, done int")
+
+
+def nodes(vertices: DataFrame, trees: int = TREES) -> tuple[DataFrame, DataFrame | None, list[DataFrame]]:
+    """Rows (node, key, size) of the nodes to compare, pairs (a, b) of leaders and those they took in, and the steps both are read from.
+
+    Before a large node branches, its members meet its leader, the one with the
+    least hash. Who is so near that none of its candidates can be outside the
+    leader's cluster goes no further, so a large group of near copies does not
+    branch on as a whole. Large nodes are dealt by node and salt.
+    """
     roots = F.flatten(F.array(*[_children(F.xxhash64(F.lit(f"tree {t}")), F.col("sig")) for t in range(trees)]))
     rows = vertices.select("key", F.explode(roots).alias("node"))
-    found, steps = None, []
+    signed_keys = vertices.select(F.col("key").alias("_key"), F.col("sig").alias("_sig"))
+    found, taken, steps = None, None, []
     for level in range(LEVELS):
-        sizes = rows.groupBy("node").agg(F.count("*").alias("size")).where("size > 1").withColumnRenamed("node", "_node")
-        held = C.materialize(rows.join(sizes, rows["node"] == sizes["_node"]).select("node", "key", "size"), f"nodes-{level}")
+        sizes = rows.groupBy("node").agg(F.count("*").alias("size"), F.min(F.xxhash64("key")).alias("lead")).where("size > 1").withColumnRenamed("node", "_node")
+        held = C.materialize(rows.join(sizes, rows["node"] == sizes["_node"]).select("node", "key", "size", "lead"), f"nodes-{level}")
         steps.append(held)
         last = level == LEVELS - 1
-        leaves = held if last else held.where(F.col("size") <= SMALL)
-        found = leaves if found is None else found.unionByName(leaves)
+        small = held.where(F.col("size") <= SMALL).select("node", "key", "size")
+        found = small if found is None else found.unionByName(small)
         large = held.where(F.col("size") > SMALL)
-        if last or large.isEmpty():
+        if large.isEmpty():
             break
-        rows = large.join(vertices, "key").select("key", F.explode(_children(F.col("node"), F.col("sig"))).alias("node")).distinct()
-    return found, steps
+        # One leader's signature for each salt of a node; the size says how many salts there are, on both sides.
+        salts = F.ceil(F.col("size") / MEET).cast("int")
+        salt = F.pmod(F.xxhash64("key"), salts).cast("int")
+        each = F.explode(F.sequence(F.lit(0), salts - 1))
+        leaders = large.where(F.xxhash64("key") == F.col("lead"))
+        leaders = leaders.join(signed_keys, leaders["key"] == signed_keys["_key"]).select(F.col("node").alias("_node"), F.col("key").alias("leader"), F.col("_sig").alias("_lead_sig"), each.alias("_salt"))
+        met = large.join(signed_keys, large["key"] == signed_keys["_key"]).withColumn("salt", salt)
+        met = met.join(leaders, (met["node"] == leaders["_node"]) & (met["salt"] == leaders["_salt"]))
+        differ = F.size(F.filter(F.zip_with("_sig", "_lead_sig", lambda x, y: x != y), lambda x: x))
+        met = C.materialize(met.select("node", "key", "size", "salt", "leader", "_sig", differ.alias("differ")), f"met-{level}")
+        steps.append(met)
+        bars = met.groupBy("node", "size", "differ").agg(F.count("*").alias("n")).groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("differ", "n"))).alias("bars"))
+        cuts = _cuts(bars.select("node", "bars")).join(bars.select(F.col("node").alias("_n"), "size"), F.col("node") == F.col("_n"))
+        cuts = cuts.select(F.col("node").alias("_node"), "join", "done", each.alias("_salt"))
+        judged = C.materialize(met.join(cuts, (met["node"] == cuts["_node"]) & (met["salt"] == cuts["_salt"])).select("node", "key", "size", "leader", "_sig", "differ", "join", "done"), f"judged-{level}")
+        steps.append(judged)
+        pairs = judged.where((F.col("differ") <= F.col("join")) & (F.col("key") != F.col("leader"))).select(F.col("leader").alias("a"), F.col("key").alias("b"))
+        taken = pairs if taken is None else taken.unionByName(pairs)
+        rest = judged.where(F.col("differ") > F.col("done"))
+        if last:
+            found = found.unionByName(rest.select("node", "key", "size"))
+        elif rest.isEmpty():
+            break
+        else:
+            rows = rest.select("key", F.explode(_children(F.col("node"), F.col("_sig"))).alias("node"))
+    return found, taken, steps
 
 
 def _by_group(batches, solve):
@@ -144,9 +211,10 @@ def _edges(a: list[bytes], b: list[bytes]):
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
 
-def _clustered(members: DataFrame, vertices: DataFrame) -> DataFrame:
-    """Pairs (a, b) that connect, within each node, all whose signatures agree enough: not all pairs, but as many as connect them."""
-    near = C.materialize(_within_chunks(members, vertices), "pairs")
+def _clustered(members: DataFrame, vertices: DataFrame, taken: DataFrame | None = None) -> DataFrame:
+    """Pairs (a, b) that connect, within each node, all whose signatures agree enough: not all pairs, but as many as connect them. taken: pairs known already."""
+    near = _within_chunks(members, vertices)
+    near = C.materialize(near if taken is None else near.unionByName(taken).distinct(), "pairs")
     large = members.where(F.col("size") > CHUNK)
     if large.isEmpty():
         return near
@@ -259,10 +327,12 @@ def _confirmed(groups: DataFrame, k: int, percent: int) -> DataFrame:
 
 
 def _blocks(clusters: DataFrame) -> DataFrame:
-    """Rows (cluster, key, comp, blocks, asks, group): each member once, in a block of its cluster of about MEET members."""
-    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("size")).withColumnRenamed("cluster", "_c")
-    blocks = F.ceil(F.col("size") / MEET).cast("int")
-    rows = clusters.join(sizes, clusters["cluster"] == sizes["_c"]).withColumn("blocks", blocks)
+    """Rows (cluster, key, blocks, block) of rows (cluster, key, nb): each member once, in a block of its cluster of about MEET members and MEET_BYTES of text."""
+    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("size"), F.sum("nb").alias("bytes"))
+    blocks = F.greatest(F.ceil(F.col("size") / MEET), F.ceil(F.col("bytes") / MEET_BYTES)).cast("int")
+    total = clusters.count()
+    sizes = C.materialize(sizes.select(F.col("cluster").alias("_c"), "size", blocks.alias("blocks")), "cluster-sizes")
+    rows = C.salted_join(clusters, sizes, "cluster", "_c", C.heavy_keys(sizes, "_c", "size", total), ["key"])
     return rows.select("cluster", "key", "blocks", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block"))
 
 
@@ -281,22 +351,30 @@ def _left_over(blocked: DataFrame, comps: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """Least vertex of each linked vertex's component: rows (key, comp). Labels spread to neighbours and then jump to their label's label, until none changes."""
+    """Least vertex of each linked vertex's component: rows (key, comp). Labels spread to neighbours and then jump to their label's label, until none changes.
+
+    A vertex with very many neighbours, and a label that very many vertices
+    have, are heavy keys of the joins and dealt over many tasks.
+    """
     both = C.materialize(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    total = both.count()
+    hubs = C.materialize(C.heavy_keys(both.groupBy("b").agg(F.count("*").alias("n")), "b", "n", total), "hubs")
     labels = C.materialize(both.groupBy(F.col("a").alias("key")).agg(F.least(F.first("a"), F.min("b")).alias("comp")), "labels")
-    old = []
+    vertices = labels.count()
+    old = [both, hubs]
     while True:
-        near = both.join(labels, both["b"] == labels["key"]).select("a", "comp")
-        spread = near.unionByName(labels.select(F.col("key").alias("a"), "comp")).groupBy("a").agg(F.min("comp").alias("comp"))
+        near = C.salted_join(both, labels, "b", "key", hubs, ["a"]).select("a", "comp")
+        spread = C.materialize(near.unionByName(labels.select(F.col("key").alias("a"), "comp")).groupBy("a").agg(F.min("comp").alias("comp")), "spread")
+        common = C.heavy_keys(spread.groupBy("comp").agg(F.count("*").alias("n")), "comp", "n", vertices)
         target = labels.select(F.col("key").alias("_key"), F.col("comp").alias("_next"))
-        jumped = spread.join(target, spread["comp"] == target["_key"], "left").select(F.col("a").alias("key"), F.least("comp", "_next").alias("comp"))
+        jumped = C.salted_join(spread, target, "comp", "_key", common, ["a"], "left").select(F.col("a").alias("key"), F.least("comp", "_next").alias("comp"))
         new = C.materialize(jumped, "labels")
         same = labels.select(F.col("key").alias("_key"), F.col("comp").alias("_old"))
         changed = not new.join(same, new["key"] == same["_key"]).where(F.col("comp") != F.col("_old")).isEmpty()
-        old.append(labels)
+        old += [labels, spread]
         labels = new
         if not changed:
-            for x in [*old, both]:
+            for x in old:
                 C.release(x)
             return labels
 
@@ -314,16 +392,19 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = P
     if percent != PERCENT and percent < PERCENT:
         raise ValueError("signatures are sized for a similarity of 0.8 and more")
     rows = C.materialize(signed(docs, shingle, id_col, text_col, keep), "sets")
-    vertices = C.materialize(rows.where("key is not null").groupBy("key").agg(F.first("sig").alias("sig"), F.count("*").alias("copies"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text").alias("t"))).alias("rep")), "vertices")
-    members, steps = nodes(vertices)
-    pairs = C.materialize(_clustered(members, vertices), "pairs")
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text").alias("t"))).alias("rep")
+    vertices = rows.where("key is not null").groupBy("key").agg(F.first("sig").alias("sig"), F.count("*").alias("copies"), F.max(F.octet_length("text")).alias("nb"), least)
+    vertices = C.materialize(vertices, "vertices")
+    members, taken, steps = nodes(vertices)
+    pairs = C.materialize(_clustered(members, vertices, taken), "pairs")
     for x in steps:
         C.release(x)
     clusters = components(pairs).withColumnRenamed("comp", "cluster")
-    needed = clusters.join(vertices, "key").select(F.col("key").alias("_k"), F.col("rep.doc_id").alias("_id"), F.col("rep.t").alias("_t"))
-    chosen = (F.col("key") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_t"))
-    texts = C.materialize(rows.join(needed, chosen).select("key", "text").dropDuplicates(["key"]), "candidates")
-    blocked = C.materialize(_blocks(clusters), "blocks")
+    chosen = C.materialize(clusters.join(vertices.select("key", "nb", "rep"), "key").select("cluster", "key", "nb", "rep"), "clustered")
+    needed = chosen.select(F.col("key").alias("_k"), F.col("rep.doc_id").alias("_id"), F.col("rep.t").alias("_t"))
+    same = (F.col("key") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_t"))
+    texts = C.materialize(rows.join(needed, same).select("key", "text").dropDuplicates(["key"]), "candidates")
+    blocked = C.materialize(_blocks(chosen.select("cluster", "key", "nb")), "blocks")
     groups = blocked.select(F.xxhash64("cluster", "block").alias("group"), "key", F.col("key").alias("comp"), F.lit(True).alias("asks"))
     links = C.materialize(_confirmed(groups.join(texts, "key"), shingle, percent), "confirmed")
     comps = components(links)
@@ -331,10 +412,15 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = P
         more = C.materialize(_confirmed(_left_over(blocked, comps).join(texts, "key"), shingle, percent), "confirmed")
         comps = components(links.unionByName(more))
     C.release(texts)
-    # The least id of a component, from one row for each vertex.
-    named = vertices.select("key", F.col("rep.doc_id").alias("_least")).join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-    least = named.groupBy("comp").agg(F.min("_least").alias("_component"))
-    of_key = named.select("key", "comp").join(least, "comp").select(F.col("key").alias("_key"), F.col("comp").alias("component_key"), "_component")
-    out = rows.join(of_key, rows["key"] == of_key["_key"], "left").withColumn("component_id", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("_component")))
+    # The least id of a component, from one row for each vertex; sets that are linked with no other name themselves.
+    linked = C.materialize(vertices.select("key", F.col("rep.doc_id").alias("_least"), "copies").join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key")), "linked")
+    facts = linked.agg(F.count("*").alias("n"), F.sum("copies").alias("rows")).first()
+    least = C.materialize(linked.groupBy(F.col("comp").alias("_comp")).agg(F.min("_least").alias("_component"), F.count("*").alias("n")), "components")
+    of_key = C.salted_join(linked, least, "comp", "_comp", C.heavy_keys(least, "_comp", "n", facts["n"]), ["key"])
+    of_key = of_key.select(F.col("key").alias("_key"), F.col("comp").alias("component_key"), "_component")
+    copied = C.heavy_keys(linked, "key", "copies", facts["rows"] or 0)
+    out = C.salted_join(rows.where("key is not null"), of_key, "key", "_key", copied, ["doc_id", "text"]).withColumnRenamed("_component", "component_id")
+    alone = rows.where("key is null").withColumns({"component_key": F.lit(None).cast("binary"), "component_id": F.col("doc_id")})  # no join: they would all have one key
+    out = out.drop("_key").unionByName(alone)
     kept = F.col("key").isNull() | F.col("doc_id").eqNullSafe(F.col("component_id"))
     return out.select("doc_id", "text", "n_shingles", "key", "component_key", "component_id", kept.alias("kept"), *[F.col(f"_keep_{c}").alias(c) for c in keep])

@@ -362,6 +362,38 @@ def test_large_node_of_unrelated_pairs(spark, monkeypatch):
     assert {frozenset(g) for g in groups.values()} == pairs
 
 
+def test_who_is_done_with_a_node_has_no_candidate_outside():
+    r = np.random.default_rng(12)
+    for tight in (8, 20, 40, 64):
+        base = r.integers(0, 10**6, neardup.SIGNATURE)
+        sigs = np.stack([np.where(r.random(neardup.SIGNATURE) < r.integers(0, tight + 1) / 64, r.integers(0, 10**6, neardup.SIGNATURE), base) for _ in range(200)])
+        differ = (sigs != base).sum(axis=1)
+        join, done = neardup.cut(*np.unique(differ, return_counts=True))
+        assert join >= neardup.REACH and done <= join
+        inside, outside = sigs[differ <= done], sigs[differ > join]
+        assert not ((inside[:, None] == outside[None]).sum(axis=2) >= neardup.AGREE).any()
+
+
+def test_pairs_in_a_large_node_of_unlike_documents(spark):
+    """Two thousand documents of the same passages in other mixtures, and pairs of a similarity of 0.8 to 0.85 among them: all are found."""
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefghijkl") for _ in range(5))
+    passages = [[word() for _ in range(18)] for _ in range(24)]
+    rows = []
+    for i in range(2000):
+        w = [x for p in r.sample(passages, 8) for x in p] + [word() for _ in range(70)]
+        rows.append((i, " ".join(w), None, None, 0))
+        if i % 20 == 0:
+            at = r.randrange(100, len(w) - 30)
+            size = next(n for n in range(30) if (a := len(w) - 3 - n - 3) / (len(w) - 3 + n + 3) <= 0.84)
+            rows.append((5000 + i, " ".join([*w[:at], *[word() for _ in range(size)], *w[at + size :]]), None, None, 0))
+    sets = {i: {tuple(w[j : j + 4]) for j in range(len(w) - 3)} for i, t, *_ in rows for w in [t.split()]}
+    share = [len(sets[i] & sets[5000 + i]) / len(sets[i] | sets[5000 + i]) for i in range(0, 2000, 20)]
+    assert 0.8 <= min(share) and max(share) < 0.86
+    out = {x.doc_id: x.component_id for x in neardup.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(4), shingle=4).collect()}
+    assert all(out[5000 + i] == i for i in range(0, 2000, 20)) and all(out[i] == i for i in range(2000))
+
+
 # --- substrings
 
 
