@@ -403,7 +403,8 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = P
     chosen = C.materialize(clusters.join(vertices.select("key", "nb", "rep"), "key").select("cluster", "key", "nb", "rep"), "clustered")
     needed = chosen.select(F.col("key").alias("_k"), F.col("rep.doc_id").alias("_id"), F.col("rep.t").alias("_t"))
     same = (F.col("key") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_t"))
-    texts = C.materialize(rows.join(needed, same).select("key", "text").dropDuplicates(["key"]), "candidates")
+    # Always by a shuffle: needed grows with the corpus.
+    texts = C.materialize(rows.join(needed.hint("merge"), same).select("key", "text").dropDuplicates(["key"]), "candidates")
     blocked = C.materialize(_blocks(chosen.select("cluster", "key", "nb")), "blocks")
     groups = blocked.select(F.xxhash64("cluster", "block").alias("group"), "key", F.col("key").alias("comp"), F.lit(True).alias("asks"))
     links = C.materialize(_confirmed(groups.join(texts, "key"), shingle, percent), "confirmed")
