@@ -66,17 +66,19 @@ def heavy_keys(counts: DataFrame, key: str, n: str, total: int) -> DataFrame:
     return counts.where(F.col(n) * PARTS > total).select(F.col(key).alias("_heavy"))
 
 
-def salted_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, heavy: DataFrame, spread: list[str], how: str = "inner") -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, heavy: DataFrame, spread: list[str], how: str = "inner", also: tuple[str, str] | None = None) -> DataFrame:
     """Join of many rows on the left with one row for each key on the right; a heavy key's rows are dealt over SALTS tasks by the columns of spread.
 
-    heavy comes from heavy_keys, so broadcasting it is bounded. Null keys join with nothing.
+    heavy comes from heavy_keys, so broadcasting it is bounded. also: a second
+    pair of columns to be equal. Null keys join with nothing.
     """
     known = F.broadcast(heavy)
     salt = F.when(F.col("_heavy").isNotNull(), F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")).otherwise(0)
     many = left.join(known, left[left_key] == known["_heavy"], "left").withColumn("_salt", salt).drop("_heavy")
     each = F.when(F.col("_heavy").isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     one = right.join(known, right[right_key] == known["_heavy"], "left").withColumn("_at", F.explode(each)).drop("_heavy")
-    return many.join(one, (many[left_key] == one[right_key]) & (many["_salt"] == one["_at"]), how).drop("_salt", "_at")
+    same = (many[left_key] == one[right_key]) & (many["_salt"] == one["_at"])
+    return many.join(one, same & (many[also[0]] == one[also[1]]) if also else same, how).drop("_salt", "_at")
 
 
 def ascii_lower(text: Column) -> Column:

@@ -4,10 +4,14 @@ Of every string of min_length bytes the gram with the least hash is its anchor;
 equal strings have equal anchors at equal places, so only strings around an
 anchor that occurs twice or more can repeat. The stretches of text around such
 anchors (contexts) meet by anchor; equal ones are counted before they travel.
-Blocks of contexts get a suffix order and Burrows-Wheeler transform over
-symbols of q bytes, and intervals of equal prefixes are extended backward,
-breadth first, one symbol longer each round, up to min_length and no further:
-intervals that then still hold two places or more are the repeats.
+Blocks of contexts get a suffix order over symbols of q bytes, which says which
+suffix comes first but not how much neighbours share. The common prefixes are
+derived from its Burrows-Wheeler transform: intervals of suffixes that share a
+prefix are extended backward by a symbol, breadth first, so that boundaries
+appear by increasing common prefix, up to min_length and no further. Neighbours
+that no boundary then parts are the repeats. An anchor with more contexts than
+a block takes is dealt over several; what a string has not met in its own block
+is then looked up among the classes of the others.
 """
 
 from __future__ import annotations
@@ -25,8 +29,8 @@ MIN_LENGTH = 200
 GRAM = 40
 #: Bytes of contexts in one transform, unless one anchor has more.
 BLOCK = 3 << 19
-#: Anchors with more different contexts are counted string by string instead, over all tasks.
-HOT = 8192
+#: Different contexts of one anchor in one block at most; an anchor with more is dealt over several blocks.
+HOT = 4096
 #: Bytes of text hashed at a time.
 SEGMENT = 1 << 21
 
@@ -100,69 +104,102 @@ def anchors(data: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
     return h[place], begin, size, place - begin, context
 
 
-def repeats(contexts: list[bytes], sizes: np.ndarray, length: int) -> list[np.ndarray]:
-    """Of the first sizes[i] starts of each context, those whose string of length bytes starts twice or more in all contexts."""
+def _ranks(rank: np.ndarray, *later: np.ndarray) -> np.ndarray:
+    """Ranks of the rows (rank, *later), equal rows alike."""
+    for x in later:
+        width = int(x.max()) + 1
+        if (int(rank.max()) + 1) * width >= 1 << 62:
+            rank = np.unique(rank, return_inverse=True)[1].astype(np.int64)
+        rank = rank * width + x
+    return np.unique(rank, return_inverse=True)[1].astype(np.int64)
+
+
+def suffix_ranks(first: np.ndarray, q: int) -> np.ndarray:
+    """Place of each suffix in the order of all, read in steps of q; first: ranks of the symbols. No two suffixes are equal: each ends in a symbol of its own."""
+    n, rank, have = len(first), first, 1
+    while int(rank.max()) + 1 < n:  # each round compares three times as many symbols
+        later = []
+        for ahead in (have * q, 2 * have * q):
+            x = np.zeros(n, np.int64)
+            x[: max(n - ahead, 0)] = rank[ahead:] + 1
+            later.append(x)
+        rank = _ranks(rank, *later)
+        have *= 3
+    return rank
+
+
+def common_prefixes(order: np.ndarray, rank: np.ndarray, first: np.ndarray, q: int, levels: int) -> np.ndarray:
+    """How many symbols each suffix shares with the one before it in the order; levels stands for so many or more.
+
+    Put before suffix source[j], the symbol that leads suffix j gives j: read
+    the other way, that is the transform. An interval of suffixes that share d
+    symbols goes, extended backward by one symbol, to intervals that share
+    d + 1. So neighbours that share their lead part at d + 1 if a boundary
+    found so far lies between their sources, and boundaries come by increasing d.
+    """
+    n = len(order)
+    source, leads = rank[np.minimum(order + q, n - 1)], first[order]
+    common = np.full(n, levels, np.int64)
+    common[0] = 0
+    common[1:][leads[1:] != leads[:-1]] = 0
+    for depth in range(1, levels):
+        still = np.flatnonzero(common == levels)
+        interval = np.cumsum(common < depth)
+        common[still[interval[source[still]] != interval[source[still - 1]]]] = depth
+    return common
+
+
+def repeats(contexts: list[bytes], sizes: np.ndarray, length: int) -> tuple[list[np.ndarray], list[np.ndarray], Prefixes, np.ndarray]:
+    """Of the first sizes[i] starts of each context: those whose string of length bytes starts twice or more in all contexts, and one start of each class of equal strings.
+
+    Also the hashes of substrings of all contexts, one after the other, and where each context begins.
+    """
     q = max(d for d in range(1, 33) if length % d == 0)
-    data = np.frombuffer(b"".join(contexts), np.uint8)
-    ends = np.cumsum([len(c) for c in contexts])
+    data = np.frombuffer(b"\0".join([*contexts, b""]), np.uint8)  # a byte after each context, where every suffix ends at the latest
+    room = np.array([len(c) for c in contexts])
+    begins = np.cumsum(room + 1) - room - 1
     n = len(data)
     at = np.arange(n)
-    room = np.repeat(ends, [len(c) for c in contexts]) - at
     prefixes = Prefixes(data)
-    whole = room >= q
+    whole = np.repeat(begins + room, room + 1) - at >= q
     symbol = T.mix(at.astype(U64) | U64(1 << 63))  # a symbol that would leave its context equals no other
     symbol[whole] = prefixes.of(at[whole], at[whole] + q)
     first = np.unique(symbol, return_inverse=True)[1].astype(np.int64)
-    # Suffix order by length / q symbols, doubling the number of symbols compared.
-    rank, have, levels = first, 1, length // q
-    while have < levels:
-        step = min(have, levels - have)
-        later = np.zeros(n, np.int64)
-        later[: max(n - step * q, 0)] = rank[step * q :] + 1
-        rank = np.unique(rank * (n + 1) + later, return_inverse=True)[1].astype(np.int64)
-        have += step
-    order = np.argsort(rank, kind="stable")
-    where = np.empty(n, np.int64)
-    where[order] = at
-    # The transform: the symbol before each suffix. A suffix j stands where its symbol, put before suffix source[j], leads.
-    source = where[np.minimum(order + q, n - 1)]
-    leads = first[order]
-    bound = np.ones(n, bool)
-    bound[1:] = leads[1:] != leads[:-1]
-    for _ in range(levels - 1):
-        # Backward extension of all intervals of this prefix length: j and j - 1 part if an interval ends between their sources.
-        inside = np.flatnonzero(~bound)
-        interval = np.cumsum(bound)
-        bound[inside] = interval[source[inside]] != interval[source[inside - 1]]
-    interval = np.cumsum(bound) - 1
-    twice = np.empty(n, bool)
-    twice[order] = np.bincount(interval, minlength=1)[interval] > 1
-    starts = ends - np.array([len(c) for c in contexts])
-    return [np.flatnonzero(twice[b : b + s]) for b, s in zip(starts.tolist(), sizes.tolist(), strict=True)]
-
-
-def _key(text):
-    return [F.xxhash64(text).alias("t1"), F.octet_length(text).alias("nb")]
+    rank = suffix_ranks(first, q)
+    order = np.empty(n, np.int64)
+    order[rank] = at
+    levels = length // q
+    shares = common_prefixes(order, rank, first, q, levels) >= levels
+    twice, leader = np.empty(n, bool), np.empty(n, bool)
+    twice[order] = shares | np.append(shares[1:], False)
+    leader[order] = ~shares
+    some = lambda marked: [np.flatnonzero(marked[b : b + s]) for b, s in zip(begins.tolist(), sizes.tolist(), strict=True)]
+    return some(twice), some(leader), prefixes, begins
+
+
+def _key(text, doc_id="doc_id"):
+    """What tells texts apart, and the documents that have the same one."""
+    return [F.xxhash64(text).alias("t1"), F.octet_length(text).alias("nb"), F.xxhash64(doc_id).alias("d")]
 
 
 def find_anchors(texts: DataFrame, length: int, k: int) -> DataFrame:
-    """Rows (t1, nb, a, c, s, n, o): text, anchor, context, first start, number of starts, place of the anchor in the context."""
+    """Rows (t1, nb, d, a, c, s, n, o): text, document, anchor, context, first start, number of starts, place of the anchor in the context."""
 
     def scan(batches):
         for batch in batches:
             for rows in T.steps(batch, "text"):
-                data, offsets = T.buffer_of(rows.column(2))
-                t1, nb, out = rows.column(0).to_numpy(), rows.column(1).to_numpy(), []
+                data, offsets = T.buffer_of(rows.column(3))
+                (t1, nb, d), out = (rows.column(i).to_numpy() for i in range(3)), []
                 for i in range(rows.num_rows):
                     own = data[offsets[i] : offsets[i + 1]]
                     for lo in range(0, len(own) - length + 1, SEGMENT):
                         part = own[lo : lo + SEGMENT + length - 1]
                         a, s, n, o, c = anchors(part, length, k)
-                        out.append((np.full(len(a), t1[i]), np.full(len(a), nb[i]), a.view(np.int64), c.view(np.int64), s + lo, n.astype(np.int32), o.astype(np.int32)))
+                        out.append((np.full(len(a), t1[i]), np.full(len(a), nb[i]), np.full(len(a), d[i]), a.view(np.int64), c.view(np.int64), s + lo, n.astype(np.int32), o.astype(np.int32)))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["t1", "nb", "a", "c", "s", "n", "o"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["t1", "nb", "d", "a", "c", "s", "n", "o"])
 
-    return texts.select(*_key("text"), "text").mapInArrow(scan, "t1 long, nb int, a long, c long, s long, n int, o int")
+    return texts.select(*_key("text"), "text").mapInArrow(scan, "t1 long, nb int, d long, a long, c long, s long, n int, o int")
 
 
 def _cut_contexts(wanted: DataFrame, length: int) -> DataFrame:
@@ -173,12 +210,12 @@ def _cut_contexts(wanted: DataFrame, length: int) -> DataFrame:
             for j in range(batch.num_rows):
                 raw = batch.column(0)[j].as_buffer()
                 own = batch.column(1)[j].values
-                a, c, s, n = (own.field(i).to_numpy() for i in range(4))
+                a, c, s, n, part, parts = (own.field(i).to_numpy() for i in range(6))
                 view = memoryview(raw)
-                parts = [bytes(view[x : x + y + length - 1]) for x, y in zip(s.tolist(), n.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c), pa.array(n), pa.array(parts, pa.binary())], ["a", "c", "n", "context"])
+                pieces = [bytes(view[x : x + y + length - 1]) for x, y in zip(s.tolist(), n.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(part), pa.array(c), pa.array(n), pa.array(parts), pa.array(pieces, pa.binary())], ["a", "part", "c", "n", "parts", "context"])
 
-    return wanted.mapInArrow(cut, "a long, c long, n int, context binary")
+    return wanted.mapInArrow(cut, "a long, part int, c long, n int, parts int, context binary")
 
 
 def _runs(places: np.ndarray) -> list[tuple[int, int]]:
@@ -191,76 +228,84 @@ def _runs(places: np.ndarray) -> list[tuple[int, int]]:
 RUNS = "array<struct<lo:int,hi:int>>"
 
 
+CLASSES = "array<struct<p:int,h:long,alone:boolean>>"
+
+
 def _expand(contexts: DataFrame, length: int) -> DataFrame:
-    """Rows (a, c, runs): the repeated starts of each context, found by block."""
+    """Rows (a, c, runs, classes): the repeated starts of each context within its block; of anchors dealt over several blocks also a start and hash of each class of equal strings."""
+    runs_type = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
+    classes_type = pa.list_(pa.struct([("p", pa.int32()), ("h", pa.int64()), ("alone", pa.bool_())]))
 
     def solve(held):
-        found = repeats([x[3] for x in held], np.array([x[2] for x in held]), length)
-        rows = [(x[0], x[1], [{"lo": lo, "hi": hi} for lo, hi in _runs(f)]) for x, f in zip(held, found, strict=True) if len(f)]
+        twice, leaders, prefixes, begins = repeats([x[5] for x in held], np.array([x[3] for x in held]), length)
+        rows = []
+        for (a, _, c, _, parts, _), starts, lead, begin in zip(held, twice, leaders, begins.tolist(), strict=True):
+            classes = []
+            if parts > 1 and len(lead):
+                h = prefixes.of(begin + lead, begin + lead + length).view(np.int64)
+                classes = [{"p": p, "h": x, "alone": y} for p, x, y in zip(lead.tolist(), h.tolist(), (~np.isin(lead, starts)).tolist(), strict=True)]
+            if len(starts) or classes:
+                rows.append((a, c, [{"lo": lo, "hi": hi} for lo, hi in _runs(starts)], classes))
         if rows:
-            a, c, runs = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64()), pa.array(runs, pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())])))], ["a", "c", "runs"])
+            a, c, runs, classes = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64()), pa.array(runs, runs_type), pa.array(classes, classes_type)], ["a", "c", "runs", "classes"])
 
     def expand(batches):
         held, size, last = [], 0, None
         for batch in batches:
             for row in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                if held and row[:2] == held[-1][:2]:
+                if held and row[:3] == held[-1][:3]:
                     continue  # one context of texts that are equal
-                if size > BLOCK and row[0] != last:
+                if size > BLOCK and row[:2] != last:
                     yield from solve(held)
                     held, size = [], 0
                 held.append(row)
-                size, last = size + len(row[3]), row[0]
+                size, last = size + len(row[5]), row[:2]
         if held:
             yield from solve(held)
 
-    return contexts.repartition(F.col("a")).sortWithinPartitions("a", "c").mapInArrow(expand, f"a long, c long, runs {RUNS}")
-
+    return contexts.repartition(F.col("a"), F.col("part")).sortWithinPartitions("a", "part", "c").mapInArrow(expand, f"a long, c long, runs {RUNS}, classes {CLASSES}")
 
-def _count(contexts: DataFrame, length: int) -> DataFrame:
-    """Rows (a, c, runs) for anchors with very many contexts: every string is counted by its hash, a task for no anchor alone."""
-
-    def strings(batches):
-        for batch in batches:
-            for a, c, n, raw in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                at = np.arange(n)
-                h = Prefixes(np.frombuffer(raw, np.uint8)).of(at, at + length).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, a)), pa.array(np.full(n, c)), pa.array(at.astype(np.int32)), pa.array(h)], ["a", "c", "p", "h"])
 
-    rows = contexts.dropDuplicates(["a", "c"]).mapInArrow(strings, "a long, c long, p int, h long")
-    twice = rows.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").withColumnRenamed("h", "_h")
-    met = rows.join(twice, rows["h"] == twice["_h"])
-    return met.groupBy("a", "c").agg(F.sort_array(F.collect_list(F.struct(F.col("p").alias("lo"), F.col("p").alias("hi")))).alias("runs"))
+def _solved(contexts: DataFrame, length: int) -> DataFrame:
+    """Rows (a, c, runs): the repeated starts of each context, whichever block its equals are in."""
+    blocks = C.materialize(_expand(contexts, length), "expanded")
+    # A class of one string that has an equal in another block of its anchor. As many rows share a hash as an anchor has blocks.
+    classes = blocks.select("a", "c", F.explode("classes").alias("x")).select("a", "c", "x.p", "x.h", "x.alone")
+    again = classes.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select(F.col("h").alias("_h"))
+    met = classes.where("alone").join(again, F.col("h") == F.col("_h"), "left_semi")
+    more = met.groupBy("a", "c").agg(F.collect_list(F.struct(F.col("p").alias("lo"), F.col("p").alias("hi"))).alias("runs"))
+    return blocks.select("a", "c", "runs").unionByName(more).groupBy("a", "c").agg(F.flatten(F.collect_list("runs")).alias("runs"))
 
 
 def repeated_starts(texts: DataFrame, length: int = MIN_LENGTH, k: int = GRAM) -> DataFrame:
-    """For each different text with repeats, (t1, nb, runs): runs (start, size) of places where a string starts that also starts elsewhere."""
+    """For each different text with repeats, (t1, nb, runs, copies): runs (start, size) of places where a string starts that also starts elsewhere; copies: rows that have the text."""
     found = C.materialize(find_anchors(texts, length, k), "anchors")
-    twice = found.groupBy("a").agg(F.count("*").alias("times")).where("times > 1").select(F.col("a").alias("_a"))
-    again = found.join(twice, found["a"] == twice["_a"], "left_semi")
-    # Equal texts give equal rows: from here on, each once, with its number.
-    places = C.materialize(again.groupBy("t1", "nb", "a", "c", "s", "n", "o").agg(F.count("*").alias("times")), "anchors-twice")
+    total = found.count()
+    counts = C.materialize(found.groupBy(F.col("a").alias("_a")).agg(F.count("*").alias("times")).where("times > 1"), "anchor-counts")
+    # Anchors of a passage that very many texts share: their rows are dealt over many tasks, here and below.
+    common = C.materialize(C.heavy_keys(counts, "_a", "times", total), "common-anchors")
+    again = C.salted_join(found, counts, "a", "_a", common, ["t1", "s"], "left_semi")
+    # Equal texts give equal rows: from here on, each once, with its number and one document that has it.
+    places = C.materialize(again.groupBy("t1", "nb", "a", "c", "s", "n", "o").agg(F.count("*").alias("times"), F.min("d").alias("d")), "anchors-twice")
     C.release(found)
-    contexts = places.groupBy("a", "c").agg(F.sum("times").alias("times"), F.min(F.struct("t1", "nb", "s", "n")).alias("rep"))
-    per_anchor = contexts.groupBy("a").agg(F.count("*").alias("kinds")).withColumnRenamed("a", "_a")
-    kinds = C.materialize(contexts.join(per_anchor, contexts["a"] == per_anchor["_a"]).drop("_a"), "contexts")
-    mixed = kinds.where("kinds > 1")
-    wanted = mixed.groupBy(F.col("rep.t1").alias("_t1"), F.col("rep.nb").alias("_nb")).agg(F.collect_list(F.struct("a", "c", F.col("rep.s").alias("s"), F.col("rep.n").alias("n"), "kinds")).alias("own"))
+    contexts = C.materialize(places.groupBy("a", "c").agg(F.sum("times").alias("times"), F.min(F.struct("t1", "nb", "d", "s", "n")).alias("rep")), "contexts")
+    per_anchor = contexts.groupBy(F.col("a").alias("_a")).agg(F.count("*").alias("kinds")).where("kinds > 1")
+    mixed = C.salted_join(contexts, per_anchor, "a", "_a", common, ["c"]).withColumn("parts", F.ceil(F.col("kinds") / HOT).cast("int"))
+    piece = F.struct("a", "c", F.col("rep.s").alias("s"), F.col("rep.n").alias("n"), F.pmod(F.xxhash64("c"), F.col("parts")).cast("int").alias("part"), "parts")
+    wanted = mixed.groupBy(F.col("rep.t1").alias("_t1"), F.col("rep.nb").alias("_nb"), F.col("rep.d").alias("_d")).agg(F.collect_list(piece).alias("own"))
     keyed = texts.select(*_key("text"), "text")
-    holders = keyed.join(wanted, (keyed["t1"] == wanted["_t1"]) & (keyed["nb"] == wanted["_nb"])).select(F.col("text").cast("binary").alias("text"), "own")
-    few = lambda hot: holders.select("text", F.filter("own", lambda x: (x["kinds"] > HOT) if hot else (x["kinds"] <= HOT)).alias("own")).where(F.size("own") > 0)
-    solved = _expand(_cut_contexts(few(False), length), length)
-    if not mixed.where(F.col("kinds") > HOT).isEmpty():
-        solved = solved.unionByName(_count(_cut_contexts(few(True), length), length))
-    solved = C.materialize(solved.select(F.col("a").alias("_a"), F.col("c").alias("_c"), "runs"), "repeats")
+    # One of the rows that have a text cuts its contexts (rows of one id and one text: each, and equal contexts are skipped later).
+    holders = keyed.join(wanted, (keyed["t1"] == wanted["_t1"]) & (keyed["nb"] == wanted["_nb"]) & (keyed["d"] == wanted["_d"])).select(F.col("text").cast("binary").alias("text"), "own")
+    solved = _solved(_cut_contexts(holders, length), length).select(F.col("a").alias("_a"), F.col("c").alias("_c"), "runs")
     # A context that stands in several places repeats whole; others where their strings do.
-    own = places.join(kinds.select(F.col("a").alias("_ka"), F.col("c").alias("_kc"), F.col("times").alias("_all")), (F.col("a") == F.col("_ka")) & (F.col("c") == F.col("_kc")))
-    own = own.join(solved, (F.col("a") == F.col("_a")) & (F.col("c") == F.col("_c")), "left")
+    kinds = contexts.join(solved, (contexts["a"] == solved["_a"]) & (contexts["c"] == solved["_c"]), "left").where("times > 1 or runs is not null")
+    kinds = C.materialize(kinds.select(F.col("a").alias("_ka"), F.col("c").alias("_kc"), F.col("times").alias("_all"), "runs"), "repeats")
+    own = C.salted_join(places, kinds, "c", "_kc", C.heavy_keys(kinds, "_kc", "_all", total), ["t1", "s"], also=("a", "_ka"))
     whole = F.array(F.struct(F.lit(0).alias("lo"), (F.col("n") - 1).alias("hi")))
     runs = F.when(F.col("_all") > 1, whole).otherwise(F.col("runs"))
     spans = F.transform(runs, lambda r: F.struct((F.col("s") + r["lo"]).alias("start"), (r["hi"] - r["lo"] + 1).alias("size")))
-    return own.where((F.col("_all") > 1) | F.col("runs").isNotNull()).groupBy("t1", "nb").agg(F.sort_array(F.flatten(F.collect_list(spans))).alias("runs"))
+    return own.groupBy("t1", "nb").agg(F.sort_array(F.flatten(F.collect_list(spans))).alias("runs"), F.max("times").alias("copies"))
 
 
 def remove_repeats(docs: DataFrame, *, min_length: int = MIN_LENGTH, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -274,9 +319,9 @@ def remove_repeats(docs: DataFrame, *, min_length: int = MIN_LENGTH, id_col: str
     """
     C.ship(docs.sparkSession)
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *[F.col(c).alias(f"_keep_{c}") for c in keep])
-    runs = C.materialize(repeated_starts(base, min_length, min(GRAM, min_length)), "starts").select(F.col("t1").alias("_t1"), F.col("nb").alias("_nb"), "runs")
-    keyed = base.select("*", *_key("text"))
-    joined = keyed.join(runs, (keyed["t1"] == runs["_t1"]) & (keyed["nb"] == runs["_nb"]), "left")
+    runs = C.materialize(repeated_starts(base, min_length, min(GRAM, min_length)), "starts").select(F.col("t1").alias("_t1"), F.col("nb").alias("_nb"), "runs", "copies")
+    copied = C.heavy_keys(runs, "_t1", "copies", base.count())
+    joined = C.salted_join(base.select("*", *_key("text")), runs, "t1", "_t1", copied, ["d"], "left", also=("nb", "_nb"))
     joined = joined.select("doc_id", F.col("text").cast("binary").alias("text"), "runs", *[f"_keep_{c}" for c in keep])
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields if f.name not in ("text", "runs")]
 

@@ -417,6 +417,16 @@ def test_substrings(docs, empty):
     assert substrings.remove_repeats(empty).count() == 0
 
 
+def test_substrings_of_a_prime_length(spark, monkeypatch):
+    """37 bytes: symbols of one byte."""
+    monkeypatch.setattr(substrings, "GRAM", 8)
+    r = random.Random(13)
+    part = ["".join(r.choice("ab") for _ in range(40)) for _ in range(4)]
+    rows = [(i, "".join(r.choice([r.choice(part), r.choice("abé")]) for _ in range(r.randrange(12))), None, None, 0) for i in range(40)]
+    out = substrings.remove_repeats(spark.createDataFrame(rows, SCHEMA), min_length=37).collect()
+    assert counted((x.doc_id, x.n_bytes, bytes(x.kept), len(x.spans)) for x in out) == without_repeats(rows, 37)
+
+
 @pytest.mark.parametrize("hot", [8192, 2])
 def test_substrings_of_small_alphabets(spark, monkeypatch, hot):
     monkeypatch.setattr(substrings, "HOT", hot)
@@ -428,6 +438,44 @@ def test_substrings_of_small_alphabets(spark, monkeypatch, hot):
     assert counted((x.doc_id, x.n_bytes, bytes(x.kept), len(x.spans)) for x in out) == without_repeats(rows, 24)
 
 
+def test_common_prefixes_come_from_the_expansion_alone():
+    """The order names no two suffixes equal; what neighbours share is only what the expansion says."""
+    r = np.random.default_rng(2)
+    for q, levels in ((1, 4), (2, 3), (3, 5)):
+        raw = r.integers(0, 2, 300)
+        ends = [100, 101, 180, 300]
+        own = {}
+        first = []
+        for i in range(300):
+            end = next(e for e in ends if i < e)
+            symbol = tuple(raw[i : i + q]) if i + q < end else ("end", i)
+            first.append(own.setdefault(symbol, len(own)))
+        first = np.array(first)
+        rank = substrings.suffix_ranks(first, q)
+        assert sorted(rank.tolist()) == list(range(300))
+        order = np.argsort(rank)
+
+        def read(i, first=first, q=q):
+            return first[i::q].tolist()
+
+        suffixes = [read(i) for i in order]
+        assert all(a < b for a, b in zip(suffixes[:-1], suffixes[1:], strict=True))
+        shared = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+        want = [0] + [min(shared(a, b), levels) for a, b in zip(suffixes[:-1], suffixes[1:], strict=True)]
+        assert substrings.common_prefixes(order, rank, first, q, levels).tolist() == want
+
+
+def test_copies_and_a_common_passage(spark):
+    """Many equal texts, one passage in all others, texts without ids: heavy keys and blocks of one anchor."""
+    r = random.Random(31)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    passage, copy = " ".join(word() for _ in range(40)), " ".join(word() for _ in range(60))
+    rows = [(i, f"{' '.join(word() for _ in range(r.randrange(30)))} {passage} {' '.join(word() for _ in range(r.randrange(30)))}", None, None, 0) for i in range(80)]
+    rows += [(None if i % 3 else 1000 + i, copy, None, None, 0) for i in range(60)]
+    out = substrings.remove_repeats(spark.createDataFrame(rows, SCHEMA).repartition(5)).collect()
+    assert counted((x.doc_id, x.n_bytes, bytes(x.kept), len(x.spans)) for x in out) == without_repeats(rows, 200)
+
+
 # --- licenses, quality, sharding
 
 
