@@ -173,7 +173,8 @@ def read_files(files: DataFrame) -> DataFrame:
                     if held:
                         yield _rows(held)
 
-    spread = files.select("file", "part").repartition(F.col("file"))
+    # As many tasks as files: a number given here is kept, however few bytes the names of the files have.
+    spread = files.select("file", "part").repartition(max(files.count(), 1))
     return spread.mapInArrow(read, columns)
 
 
