@@ -79,12 +79,11 @@ def op9_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = sharding.assign(C.table(spark, sf_dir, "documents"))
     text = F.coalesce("text", F.lit(""))
-    return out.select(
-        "doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"),
-        "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
-    )
+    docs = C.table(spark, sf_dir, "documents")
+    docs = docs.select("doc_id", "text", "lang", "source", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    out = sharding.assign(docs, keep=("size", "text_crc32"), with_text=False)
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def queries() -> dict:

@@ -15,6 +15,8 @@ from . import common as C
 
 SHARDS = 40
 BITS = 4
+#: Rows of one file of a shard, unless the shard has fewer.
+FILE_ROWS = 100_000
 
 
 def hilbert_index(cell: list[int], bits: int) -> int:
@@ -66,14 +68,17 @@ def code_of_value(value: Column, bits: int = BITS) -> Column:
     return F.shiftright(digit, 16 - bits).cast("int")
 
 
-def assign(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", value_cols: tuple[str, ...] = ("lang", "source"), shards: int = SHARDS, bits: int = BITS, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Every row with its shard and slot: doc_id, text, the columns named in keep, codes, curve, shard, slot.
+def assign(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", value_cols: tuple[str, ...] = ("lang", "source"), shards: int = SHARDS, bits: int = BITS, keep: tuple[str, ...] = (), with_text: bool = True) -> DataFrame:
+    """Every row with its shard and slot: doc_id, text (if with_text), the columns named in keep, codes, curve, shard, slot.
 
     Shards hold equally many rows, one more or less. The curve runs through the
     text's size and each column of value_cols; rows of one cell follow one
-    another by id and text. Null text: size 0. Rows are sorted by range once and
-    written to the shared folder; the rank of a row is its place in its part
-    plus the rows of the parts before, of which there is one count each.
+    another by id and text. Null text: size 0. Empty table: no rows. Repeated
+    rows each have a slot, and which copy has which does not matter. Only ids,
+    codes and a hash of the text are sorted, by range, so very long texts weigh
+    on no task; the rank of a row is its place in its part plus the rows of the
+    parts before, of which there is one count each. The rest of a row is
+    attached by a number that each row is given when it is written down.
     """
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"_keep_{c}") for c in keep], *[F.col(c).alias(f"_value_{i}") for i, c in enumerate(value_cols)])
     codes = [code_of_size(F.octet_length("text"), bits), *[code_of_value(F.col(f"_value_{i}"), bits) for i in range(len(value_cols))]]
@@ -81,11 +86,13 @@ def assign(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", v
     for c in codes[1:]:
         cell = F.shiftleft(cell, bits).bitwiseOR(c)
     place = F.get(F.array(*map(F.lit, curve(len(codes), bits))), cell)
-    cells = base.withColumn("codes", F.array(*codes)).withColumn("curve", place.cast("int")).drop(*[f"_value_{i}" for i in range(len(value_cols))])
-    order = ("curve", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    ordered = cells.repartitionByRange("curve", "doc_id", F.xxhash64("text")).sortWithinPartitions(*order)
+    cells = base.withColumn("codes", F.array(*codes)).withColumn("curve", place.cast("int")).withColumn("_text", F.xxhash64("text"))
+    cells = cells.drop(*[f"_value_{i}" for i in range(len(value_cols))], *[] if with_text else ["text"])
+    rows = C.materialize(cells.withColumn("_row", F.monotonically_increasing_id()), "cells")
+    keys = rows.select(F.col("_row").alias("_of"), "curve", "doc_id", "_text")
+    ordered = keys.repartitionByRange("curve", "doc_id", "_text").sortWithinPartitions("curve", F.col("doc_id").asc_nulls_first(), "_text")
     # The number is the part in the upper bits and the place in the part in the lower 33.
-    ordered = C.materialize(ordered.withColumn("_id", F.monotonically_increasing_id()), "hilbert")
+    ordered = C.materialize(ordered.select("_of", F.monotonically_increasing_id().alias("_id")), "hilbert")
     part = F.shiftright("_id", 33)
     counts = ordered.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -98,7 +105,9 @@ def assign(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", v
     first = F.col("_rank") < edge
     shard = F.when(first, F.expr(f"_rank div {small + 1}")).otherwise(F.lit(large) + F.expr(f"(_rank - {edge}) div {max(small, 1)}"))
     slot = F.when(first, F.col("_rank") % (small + 1)).otherwise((F.col("_rank") - edge) % max(small, 1))
-    return ranked.select("doc_id", "text", *[F.col(f"_keep_{c}").alias(c) for c in keep], "codes", "curve", shard.cast("int").alias("shard"), slot.cast("int").alias("slot"))
+    placed = ranked.select("_of", shard.cast("int").alias("shard"), slot.cast("int").alias("slot"))
+    text = ["text"] if with_text else []
+    return rows.join(placed, rows["_row"] == placed["_of"]).select("doc_id", *text, *[F.col(f"_keep_{c}").alias(c) for c in keep], "codes", "curve", "shard", "slot")
 
 
 def manifest(assigned: DataFrame) -> DataFrame:
@@ -108,5 +117,7 @@ def manifest(assigned: DataFrame) -> DataFrame:
 
 
 def write_shards(assigned: DataFrame, path: str) -> None:
-    """Parquet files by shard, in slot order."""
-    assigned.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """Parquet files by shard, in slot order: several files and tasks for a shard of more than FILE_ROWS rows."""
+    run = F.expr(f"slot div {FILE_ROWS}")
+    dealt = assigned.repartition(F.col("shard"), run).sortWithinPartitions("shard", "slot")
+    dealt.write.option("maxRecordsPerFile", FILE_ROWS).partitionBy("shard").parquet(path)

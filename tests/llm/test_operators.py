@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from tests_common import SF, against_sql
@@ -263,6 +264,62 @@ def test_fillings_are_complete_and_tight():
         assert sum(t for t, _ in found) <= max(bound * 1.12 + 1, sum(n for x, n in counts.items() if x > 50))
 
 
+def fewest_bins(items, capacity):
+    """By trying every bin for every item."""
+    items, best = sorted(items, reverse=True), [len(items)]
+
+    def go(i, bins):
+        if len(bins) >= best[0]:
+            return
+        if i == len(items):
+            best[0] = len(bins)
+            return
+        for j, load in enumerate(bins):
+            if load + items[i] <= capacity and load not in bins[:j]:
+                go(i + 1, [*bins[:j], load + items[i], *bins[j + 1 :]])
+        go(i + 1, [*bins, items[i]])
+
+    go(0, [])
+    return best[0]
+
+
+def test_fillings_are_fewest():
+    r, gained = random.Random(6), 0
+    for _ in range(400):
+        capacity = r.randrange(8, 40)
+        items = [r.randrange(1, capacity + 1) for _ in range(r.randrange(1, 11))]
+        counts = dict(collections.Counter(items))
+        assert packing.least_bins(counts, capacity) <= fewest_bins(items, capacity) == sum(t for t, _ in packing.fillings(counts, capacity))
+    for _ in range(20):
+        counts = dict(collections.Counter(r.randrange(20, 50) for _ in range(30)))
+        gained += sum(t for t, _ in packing.best_fit(counts, 100)) - sum(t for t, _ in packing.fillings(counts, 100))
+    assert gained > 5  # best-fit decreasing alone is not enough there
+    huge = {49: 2 * 10**9, 34: 2 * 10**9, 17: 4 * 10**9 + 1, 51: 3 * 10**9, 26: 10**9}
+    assert sum(t for t, _ in packing.fillings(huge, 100)) < sum(t for t, _ in packing.best_fit(huge, 100))
+
+
+def test_packing_query(spark):
+    """The query at its own capacity, ids from a fresh tokenizer."""
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(VOCABULARY)
+    pieces, sequences = collections.defaultdict(list), collections.defaultdict(list)
+    for x in queries.op4_best_fit_packing(spark, SF).collect():
+        pieces[x.doc_id].append((x.piece, x.start, x.length, x.ids_crc32))
+        sequences[x.sequence_id].append((x.offset, x.length))
+    rows, total = spark.read.parquet(f"{SF}/documents.parquet").collect(), 0
+    for x in rows:
+        ids = np.array([*fresh.encode(x.text or "", add_special_tokens=False).ids, 0], "<u4")
+        first = (len(ids) - 1) % 2048 + 1
+        edges = [0, *range(first, len(ids) + 1, 2048)]
+        assert sorted(pieces.pop(x.doc_id)) == [(i, a, b - a, zlib.crc32(ids[a:b].tobytes())) for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True))]
+        total += len(ids)
+    assert not pieces and len(sequences) == -(-total // 2048)
+    for places in sequences.values():
+        places.sort()
+        assert [p for p, _ in places] == np.cumsum([0, *[n for _, n in places]]).tolist()[:-1] and sum(n for _, n in places) <= 2048
+
+
 def test_token_files(spark, docs, empty, monkeypatch):
     monkeypatch.setattr(tokenfile, "FRAME_BYTES", 4000)
     files = tokenfile.write_files(docs, C.shared_path(spark, "test-tokens"), VOCABULARY)
@@ -285,17 +342,24 @@ def test_token_files(spark, docs, empty, monkeypatch):
     raw[10] ^= 1
     with pytest.raises((tokenfile.BadFile, Exception)):
         list(tokenfile.FileReader(pa.BufferReader(bytes(raw)).__class__ and _Memory(bytes(raw))).all())
+    whole = tokenfile.FileReader(_Memory(bytes(raw)))
+    if len(whole.frames) > 1:  # a damaged frame harms its own documents only, and others are not even read
+        last = len(whole.docs) - 1
+        memory = _Memory(bytes(raw))
+        assert len(tokenfile.FileReader(memory).ids(last)) == whole.docs[last]["n"]
+        assert all(at + n <= whole.frames[0]["at"] or at >= whole.frames[0]["at"] + whole.frames[0]["size"] for n, at in memory.seen)
     assert tokenfile.read_files(tokenfile.write_files(empty, C.shared_path(spark, "none"), VOCABULARY)).count() == 0
 
 
 class _Memory:
     def __init__(self, raw):
-        self.raw = raw
+        self.raw, self.seen = raw, []
 
     def size(self):
         return len(self.raw)
 
     def read_at(self, n, at):
+        self.seen.append((n, at))
         return self.raw[at : at + n]
 
 
@@ -531,6 +595,25 @@ def test_sharding(docs, empty):
     assert all(spans[r.shard, d][0] <= c <= spans[r.shard, d][1] for r in out for d, c in enumerate(r.codes))
 
 
+def test_sharding_query_and_files(spark, tmp_path, monkeypatch):
+    rows = {x.doc_id: (x.text or "").encode() for x in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    out = queries.op10_hilbert_sharding(spark, SF).collect()
+    assert {x.doc_id: (x.size, x.text_crc32) for x in out} == {i: (len(t) + 16, zlib.crc32(t)) for i, t in rows.items()}
+    assert {(x.law, x.grown_shard) for x in out} == {("rows", None)} and len(out) == len(rows)
+    slots = collections.defaultdict(list)
+    for x in out:
+        slots[x.shard].append(x.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values()) and set(slots) == set(range(40))
+    assert {len(v) for v in slots.values()} <= {len(rows) // 40, -(-len(rows) // 40)}
+    monkeypatch.setattr(sharding, "FILE_ROWS", 30)
+    assigned = sharding.assign(spark.read.parquet(f"{SF}/documents.parquet"), shards=2)
+    sharding.write_shards(assigned, str(tmp_path / "shards"))
+    for shard in range(2):
+        files = sorted((tmp_path / "shards" / f"shard={shard}").glob("*.parquet"))
+        read = [pq.read_table(f, partitioning=None).column("slot").to_pylist() for f in files]
+        assert len(files) >= 4 and all(x == sorted(x) and len(x) <= 30 for x in read) and sorted(y for x in read for y in x) == list(range(len(rows) // 2))
+
+
 @pytest.mark.parametrize(("dimensions", "bits"), [(2, 3), (3, 2), (3, 4)])
 def test_hilbert_steps_to_neighbours(dimensions, bits):
     path = np.argsort(sharding.curve(dimensions, bits))
