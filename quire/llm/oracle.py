@@ -100,27 +100,34 @@ SELECT w.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(w.doc_id, coalesce(
 FROM w LEFT JOIN c USING (doc_id) LEFT JOIN least_of ON a = w.doc_id
 """
 
-_TEMPLATES = [(i, text.split(), label, exact) for i, (text, label, exact) in enumerate([(*x, True) for x in licenses.PHRASES] + [(*x, False) for x in licenses.NOTICES])]
+_NOTICES = [(i, q, word, len(text.split()), label) for i, (text, label) in enumerate(licenses.NOTICES) for q, word in enumerate(text.split())]
 
 OP7 = rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '{WORD}') AS w FROM documents),
-tw(t, q, word, size, label, exact) AS (VALUES {", ".join(f"({i}, {q}, '{word}', {len(words)}, '{label}', {exact})" for i, words, label, exact in _TEMPLATES for q, word in enumerate(words))}),
-tg AS (SELECT a.*, b.word AS after FROM tw a JOIN tw b ON a.t = b.t AND b.q = a.q + 1),
-dw AS (SELECT doc_id, i - 1 AS p, w[i] AS word, w[i + 1] AS after FROM (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS i FROM d)),
-diagonals AS (SELECT DISTINCT doc_id, t, size, label, exact, p - q AS diagonal FROM dw JOIN tg USING (word, after)),
-agreed AS (
-  SELECT x.doc_id, x.t, x.size, x.label, x.exact, diagonal, count(*) AS agree
-  FROM diagonals x JOIN tw ON x.t = tw.t JOIN dw ON dw.doc_id = x.doc_id AND dw.p = diagonal + tw.q AND dw.word = tw.word GROUP BY ALL),
-parted AS (
-  SELECT *, CASE WHEN NOT exact AND diagonal - lag(diagonal) OVER (PARTITION BY doc_id, t ORDER BY diagonal) <= {licenses.DRIFT} THEN 0 ELSE 1 END AS new FROM agreed),
-numbered AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, t ORDER BY diagonal) AS grp FROM parted),
-spans AS (
-  SELECT doc_id, t, size, label, exact, min(diagonal) AS first, CASE WHEN exact THEN max(agree) ELSE sum(agree) END AS agree FROM numbered GROUP BY doc_id, t, size, label, exact, grp),
-held AS (SELECT *, least(agree / size, 1.0) AS share FROM spans WHERE CASE WHEN exact THEN agree = size ELSE least(agree / size, 1.0) >= {licenses.AGREE} END),
+spread AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS p FROM d),
+runs_of AS (
+  SELECT doc_id, p, word || ' ' || lead(word) OVER x AS two, word || ' ' || lead(word) OVER x || ' ' || lead(word, 2) OVER x AS three,
+         word || ' ' || lead(word) OVER x || ' ' || lead(word, 2) OVER x || ' ' || lead(word, 3) OVER x AS four
+  FROM spread WINDOW x AS (PARTITION BY doc_id ORDER BY p)),
+phrases(phrase, label) AS (VALUES {", ".join(f"('{text}', '{label}')" for text, label in licenses.PHRASES)}),
+base AS (SELECT doc_id, p, label FROM (SELECT doc_id, p, unnest([two, three, four]) AS said FROM runs_of) JOIN phrases ON said = phrase),
+words(t, q, word, size, label) AS (VALUES {", ".join(str(x) for x in _NOTICES)}),
+three AS (
+  SELECT a.t, a.q, a.size, a.label, a.word || ' ' || b.word || ' ' || c.word AS g
+  FROM words a JOIN words b ON b.t = a.t AND b.q = a.q + 1 JOIN words c ON c.t = a.t AND c.q = a.q + 2),
+met AS (SELECT doc_id, t, size, label, q, p - q AS diagonal FROM runs_of JOIN three ON runs_of.three = g),
+diagonals AS (SELECT DISTINCT doc_id, t, diagonal FROM met),
+parted AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY doc_id, t ORDER BY diagonal) <= {licenses.DRIFT} THEN 0 ELSE 1 END AS new FROM diagonals),
+chained AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, t ORDER BY diagonal) AS chain FROM parted),
+runs AS (SELECT *, (diagonal - min(diagonal) OVER (PARTITION BY doc_id, t, chain)) // {licenses.SPREAD} AS run FROM chained),
+covered AS (
+  SELECT doc_id, t, size, label, chain, run, count(DISTINCT place) / size AS share
+  FROM (SELECT met.*, chain, run, unnest([q, q + 1, q + 2]) AS place FROM met JOIN runs USING (doc_id, t, diagonal)) GROUP BY doc_id, t, size, label, chain, run),
+found AS (SELECT doc_id, label, 1.0::DOUBLE AS share, p FROM base UNION ALL SELECT doc_id, label, share, NULL FROM covered WHERE share >= {licenses.AGREE}),
 g AS (
-  SELECT doc_id, count(*) FILTER (exact) AS n_base, min(first) FILTER (exact) AS first_word, max(first) FILTER (exact) AS last_word,
-         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (exact) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(round(share, 4)) AS score
-  FROM held GROUP BY doc_id)
+  SELECT doc_id, count(p) AS n_base, min(p) AS first_word, max(p) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (p IS NOT NULL) AS base_labels,
+         string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(round(share, 4)) AS score
+  FROM found GROUP BY doc_id)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
        coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
 FROM d LEFT JOIN g USING (doc_id)

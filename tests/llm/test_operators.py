@@ -552,6 +552,53 @@ def test_licenses(spark, docs, empty):
     assert {s.label for s in spans} == {"apache", "apache-2.0"} and min(s.agree for s in spans) >= licenses.AGREE
 
 
+def license_spans(text):
+    """Base places, and the notices of which seven tenths stand in runs of three words on diagonals next to one another: by word lists alone."""
+    w, found = words_of(text), []
+    for phrase, label in licenses.PHRASES:
+        x = phrase.split()
+        found += [(label, True, i, i + len(x) - 1, 1.0) for i in range(len(w)) if w[i : i + len(x)] == x]
+    for notice, label in licenses.NOTICES:
+        x, by = notice.split(), collections.defaultdict(list)
+        for q in range(len(x) - 2):
+            for p in range(len(w) - 2):
+                if w[p : p + 3] == x[q : q + 3]:
+                    by[p - q].append((q, p))
+        start = last = None
+        groups = []
+        for d in sorted(by):
+            if last is None or d - last > 2 or (d - start) // 8 != (last - start) // 8:
+                if last is None or d - last > 2:
+                    start = d
+                groups.append([])
+            groups[-1] += by[d]
+            last = d
+        for g in groups:
+            share = len({q + j for q, _ in g for j in range(3)}) / len(x)
+            if share >= 0.7:
+                found.append((label, False, min(p for _, p in g), max(p for _, p in g) + 2, round(share, 4)))
+    return sorted(found)
+
+
+def test_licenses_by_brute_force(spark):
+    r = random.Random(17)
+    rows = [None, "", "any person " * 10, "of this software " * 30, "the software is provided as is " * 8, "mit license " * 5]
+    for notice, _ in licenses.NOTICES:
+        w = notice.split()
+        for changes in (0, 1, 3, len(w) // 6, len(w) // 3):
+            x = list(w)
+            for _ in range(changes):
+                i = r.randrange(len(x))
+                x[i : i + 1] = r.choice([[], ["changed"], [x[i], "more"], [x[i], "one", "two"]]) if len(x) > 4 else ["y"]
+            rows.append(f"Some Words. {' '.join(x).title()} and {r.choice(['CC-BY', 'the GNU General Public License', ''])} end")
+    rows.append(" ".join(n for n, _ in licenses.NOTICES) * 2)
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id int, text string")
+    got = {x.doc_id: sorted((s.label, s.exact, s.first, s.last, s.agree) for s in x.spans) for x in licenses.scan(df).collect()}
+    assert got == {i: license_spans(t) for i, t in enumerate(rows)}
+    assert got[2] == [] and all(s[2] >= 0 for v in got.values() for s in v)
+    assert {"mit-text", "bsd-2-clause-text", "zlib-text", "isc-text"} <= {s[0] for s in got[len(rows) - 1]}
+
+
 def figures(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
