@@ -25,7 +25,7 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = C.table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     tricky = r"\### Assistant: </turn> ok"
     more = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string")
-    out = chat.format_records(chat.records(rows.unionByName(more)), id_col="conv_id")
+    out = chat.format_records(chat.in_layouts(chat.records(rows.unionByName(more))), id_col="conv_id")
     out = C.let(out, _turns=chat.read_back(F.col("formatted")), _loss=chat.loss_text(F.col("formatted"), F.col("loss_spans")))
     digest = F.array_join(F.transform("_turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return out.select(

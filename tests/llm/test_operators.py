@@ -127,6 +127,34 @@ def test_chat_layouts(spark):
     assert got == {1: [("user", "p"), ("assistant", "c")], 2: [("user", "i\n\nn"), ("assistant", "o")], 3: [("user", "i"), ("assistant", "o")], 4: [("user", "q"), ("assistant", "")], 5: None}
 
 
+def test_chat_of_very_long_roles_and_texts(spark):
+    role, text = "x:\\ #" * 200_000, "y: <z\\" * 200_000
+    df = spark.createDataFrame([(1, [{"role": role, "content": text}, {"role": "assistant", "content": text}])], "id int, messages array<struct<role:string,content:string>>")
+    out = chat.format_records(df, id_col="id").select(chat.read_back(F.col("formatted")).alias("back"), chat.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss")).first()
+    assert [(t.role, t.text) for t in out.back] == [(role, text), ("assistant", text)] and out.loss == text
+
+
+def test_chat_paths_are_those_that_a_record_fills(spark):
+    kind = "id int, messages array<struct<role:string,content:string,name:string,calls:array<struct<id:int>>>>, prompt string, response string, question string, answer string, conversations array<struct<value:string>>"
+    rows = [(1, [("user", "q", "n", [(1,)]), (None, "a", None, None)], None, None, None, None, None), (2, [(None, "q", None, None)], None, None, None, None, None), (3, [("user", None, "n", [])], None, None, None, None, None), (4, [(None, None, "n", None)], None, None, None, None, None),
+            (5, [], "p", "r", None, None, None), (6, None, None, None, "q", "", None), (7, None, "p", None, "q", "a", None), (8, None, None, None, None, None, [("v",)]), (9, [(None, None, None, None)], "p", "r", None, None, None)]
+    df = spark.createDataFrame(rows, kind)
+    got = {r.id: r.layout_turns and [(t.role, t.text) for t in r.layout_turns] for r in chat.format_records(df, id_col="id").collect()}
+    assert got == {1: [("user", "q"), ("", "a")], 2: [("", "q")], 3: [("user", "")], 4: None, 5: [("user", "p"), ("assistant", "r")], 6: [("user", "q"), ("assistant", "")], 7: None, 8: None, 9: [("user", "p"), ("assistant", "r")]}
+    assert chat.format_records(df.limit(0), id_col="id").count() == 0
+
+
+def test_every_layout_holds_what_was_put_in(spark):
+    one = [("user", "do\n\nthis\n\nnow"), ("assistant", "done")]
+    rows = [(i, one) for i in range(60)] + [(100 + i, t) for i in range(8) for t in ([("system", "s"), ("user", ""), ("assistant", "")], [("human", "h"), ("gpt", "g")], [("user", "\n\nx"), ("assistant", "")], [("user", "only")])]
+    df = spark.createDataFrame([(i, [{"role": r, "content": c} for r, c in t]) for i, t in rows], "conv_id long, messages array<struct<role:string,content:string>>")
+    moved = chat.in_layouts(df)
+    used = {tuple(k for k, v in r.asDict().items() if v is not None and k != "conv_id") for r in moved.collect()}
+    assert used == {("messages",), ("conversations",), ("prompt", "completion"), ("prompt", "response"), ("instruction", "output"), ("instruction", "input", "output"), ("question", "answer")}
+    got = counted((r.conv_id, tuple((t.role, t.text) for t in r.layout_turns)) for r in chat.format_records(moved, id_col="conv_id").collect())
+    assert got == counted((i, tuple(t)) for i, t in rows)
+
+
 def test_chat_rows(spark):
     rows = [(1, 2, "user", "b"), (1, 1, None, None), (1, 2, "user", "b"), (None, None, "user", "x"), (1, None, "system", "s")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("content", F.lit(1))
