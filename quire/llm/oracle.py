@@ -30,7 +30,7 @@ t AS (SELECT sum(n)::DOUBLE AS n, sum(failed) / sum(n) AS m, count(*)::DOUBLE AS
 b AS (SELECT n, h, m, greatest(q - m * m - m * (1 - m) * h / n, 0) AS v FROM t),
 k AS (SELECT m, least(greatest(CASE WHEN v > 0 THEN m * (1 - m) / v - 1 ELSE n / h END, 2), greatest(n / h, 2)) AS w FROM b),
 bad AS (
-  SELECT source, n >= 20 AND (failed + greatest(m * w, 0.01)) / (n + greatest(m * w, 0.01) + greatest((1 - m) * w, 0.01)) > 0.9 AS rejected
+  SELECT source, (failed + greatest(m * w, 0.01)) / (n + greatest(m * w, 0.01) + greatest((1 - m) * w, 0.01)) > 0.9 AS rejected
   FROM hosts, k)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
        n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept

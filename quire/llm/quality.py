@@ -15,11 +15,8 @@ from . import common as C
 MIN_WORDS = 20
 REPEAT_PERCENT = 30
 WINDOW = 8
-#: A host is rejected if its shrunk failure rate is above this, and it has so many documents at least.
+#: A host is rejected if its shrunk failure rate is above this: then fewer than one in ten of its documents is lost that no rule fails by itself.
 HOST_RATE = 0.9
-HOST_DOCUMENTS = 20
-#: Sub-groups into which each host's documents are dealt, so that a host with a third of all rows is many tasks' work.
-SALTS = 64
 
 
 def _covered(flagged: Column, n: int) -> Column:
@@ -61,7 +58,8 @@ def host_rates(figures: DataFrame) -> DataFrame:
 
     The prior is a beta fitted by moments to the hosts' rates, weighted by their
     documents; hosts that all agree give a prior worth as much as the
-    documents of an average host. A null host is a host.
+    documents of an average host. What a small host says counts less than the
+    prior, which is all that its size does. A null host is a host.
     """
     hosts = figures.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failed"))
     rate = F.col("failed") / F.col("n")
@@ -69,7 +67,7 @@ def host_rates(figures: DataFrame) -> DataFrame:
     total = hosts.agg(F.sum("n").alias("n"), F.sum("failed").alias("failed"), F.count("*").alias("hosts"), F.sum(rate * rate * F.col("n")).alias("squares")).first()
     alpha, beta = beta_prior(total["n"] or 0, total["failed"] or 0, total["hosts"], total["squares"] or 0.0)
     shrunk = (F.col("failed") + F.lit(alpha)) / (F.col("n") + F.lit(alpha + beta))
-    return hosts.withColumn("rate", shrunk).withColumn("host_rejected", (F.col("rate") > HOST_RATE) & (F.col("n") >= HOST_DOCUMENTS))
+    return hosts.withColumn("rate", shrunk).withColumn("host_rejected", F.col("rate") > HOST_RATE)
 
 
 def beta_prior(n: int, failed: int, hosts: int, squares: float) -> tuple[float, float]:
@@ -88,14 +86,14 @@ def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ho
 
     Empty table: no rows. Null text has no words and fails. The figures are
     written once to the shared folder; both the hosts' sums and the way back
-    read them from there. The way back joins on host and salt, so no task gets
-    all rows of a host.
+    read them from there. On the way back the documents of a large host are
+    dealt over many tasks.
     """
     figures = C.materialize(document_figures(docs, id_col=id_col, text_col=text_col, host_col=host_col, keep=keep), "quality")
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
-    verdicts = host_rates(figures).select("host", F.col("rate").alias("host_rate"), "host_rejected", salts).withColumnRenamed("host", "_host")
-    salted = figures.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "word_chars", "n_words"), F.lit(SALTS)).cast("int"))
-    joined = salted.join(verdicts, salted["host"].eqNullSafe(verdicts["_host"]) & (salted["_salt"] == verdicts["_salt"]), "left")
+    named = F.coalesce(F.concat(F.lit("="), "host"), F.lit(""))  # a null host has a name too
+    rates = C.materialize(host_rates(figures).select(named.alias("_host"), "n", F.col("rate").alias("host_rate"), "host_rejected"), "hosts")
+    heavy = C.heavy_keys(rates, "_host", "n", figures.count())
+    joined = C.salted_join(figures.withColumn("_of", named), rates, "_of", "_host", heavy, ["doc_id", "word_chars", "n_words"])
     return joined.select(
         "doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_rate", "host_rejected",
         (~F.col("base_failed") & ~F.col("host_rejected")).alias("kept"), *[F.col(f"_keep_{c}").alias(c) for c in keep],

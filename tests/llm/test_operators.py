@@ -653,6 +653,26 @@ def test_bad_hosts_are_rejected(spark):
     assert all(out[i].kept for i in range(61, 300) if i % 10)
 
 
+def test_host_verdicts_through_the_query(spark, tmp_path):
+    """Hosts of 1 to 400 documents that fail at 0 to 100 %, one without a name: the query gives the rows of its SQL, and rejects some hosts of either size and no clean one."""
+    r = random.Random(23)
+    good = lambda: " ".join(f"w{r.randrange(9999)}" for _ in range(40))
+    rows = []
+    for size in (1, 3, 30, 120, 400):
+        for percent in (0, 20, 80, 92, 97, 100):
+            host = None if (size, percent) == (120, 97) else f"h{size}-{percent}"
+            rows += [(host, "too short" if 100 * (i + 1) <= percent * size else good()) for i in range(size)]
+    for host in ("h-bad", "h-clean"):
+        rows += [(host, good() if host == "h-clean" else "few words") for _ in range(600)]
+    table = {"doc_id": list(range(len(rows))), "text": [t for _, t in rows], "source": [h for h, _ in rows]}
+    pq.write_table(pa.table(table), tmp_path / "documents.parquet")
+    against_sql(spark, queries.op8_quality_rules, oracle.OP8, str(tmp_path))
+    out = {x.doc_id: x for x in queries.op8_quality_rules(spark, str(tmp_path)).collect()}
+    lost = {h for i, (h, _) in enumerate(rows) if not out[i].kept and not out[i].base_failed}
+    assert lost == {"h30-97", "h120-92", None, "h400-92", "h400-97"}  # 29 of 30, and 110 of 120, shrunk towards two in three by two documents; not 27 of 30
+    assert all(out[i].kept for i, (h, t) in enumerate(rows) if h == "h-clean")
+
+
 def test_sharding(docs, empty):
     out = sharding.assign(docs, shards=5, keep=("key",)).collect()
     assert len(out) == len(corpus()) and all(r.key == 7 for r in out)
