@@ -3,7 +3,8 @@
 A text's fingerprints are the hashes of 7-word grams that are the least of any
 7 consecutive ones; whatever 13 words two texts share, they share a
 fingerprint within. Fingerprints of documents and items are joined; each hit
-is extended word by word, and counts if it reaches 13 words.
+is extended word by word, and counts if it reaches 13 words. Items of a bounded
+size are broadcast; beyond that, documents' fingerprints are shuffled.
 """
 
 from __future__ import annotations
@@ -33,9 +34,11 @@ def _is_least(p: Column) -> Column:
 
 
 def item_fingerprints(items: DataFrame, *, item_col: str = "item_id", text_col: str = "text") -> tuple[DataFrame, list[int], int]:
-    """Rows (item, q, k, v, core, before, after, need) of the items, the short lengths among them, and bytes of item text.
+    """Rows (v, need_k, core, before, after, need, owners) of the items, the short lengths among them, and bytes of item text.
 
     An item of fewer words than a window is one window: all of it is one gram.
+    A gram that several items have in the same surroundings is one row with all
+    of them as owners; an item without an id is no owner, but its grams count.
     """
     base = items.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("_text"))
     base = C.materialize(_tokens(base, F.col("_text")).select("item", "_w").where(F.size("_w") > 0), "items")
@@ -53,8 +56,9 @@ def item_fingerprints(items: DataFrame, *, item_col: str = "item_id", text_col:
         part(lambda j: F.col("p") - j - 1, REACH).alias("before"),
         part(lambda j: F.col("p") + F.col("k") + j, REACH).alias("after"),
         F.least(F.size("_w"), F.lit(WINDOW)).alias("need"),
-    ).distinct()
-    return rows, short, facts["bytes"] or 0
+    )
+    rows = rows.groupBy("v", "need_k", "core", "before", "after", "need").agg(F.collect_set("item").alias("owners"))
+    return C.materialize(rows, "fingerprints"), short, facts["bytes"] or 0
 
 
 def _extend(context: Column, at) -> Column:
@@ -66,25 +70,22 @@ def _extend(context: Column, at) -> Column:
 def contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Contamination of each document row: doc_id, text_key, n_words, n_hit, items (sorted), contaminated.
 
-    Null or empty texts have no words and are clean. Repeated rows each get a
-    row. Items are broadcast in blocks of a bounded size, so a large benchmark
-    means more passes, not a larger broadcast. Documents are never shuffled;
-    only hits and one short row for each document are.
+    Null or empty texts have no words and are clean; very long texts are read
+    whole. Repeated rows each get a row; an empty table gives none, and empty
+    items leave all documents clean. An item with a null id contaminates like
+    others, and is not among items. Items up to a bounded size are broadcast, and
+    documents are not shuffled then: only hits and one short row for each
+    document are. Of a larger benchmark, fingerprints meet by a shuffle.
     """
     rows, short, size = item_fingerprints(items, item_col=item_col, text_col=item_text_col)
-    blocks = max(1, -(-size // C.BROADCAST_BYTES))
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
     base = _tokens(base.withColumn("_key", F.xxhash64("_text")), F.col("_text")).drop("_text")
-    found = None
-    for block in range(blocks):
-        some = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("item", "need"), F.lit(blocks)) == block)
-        hits = _hits(base, some, short, first=block == 0)
-        found = hits if found is None else found.unionByName(hits)
+    found = _hits(base, rows, short) if size <= C.BROADCAST_BYTES else _hits_by_shuffle(base, rows, short)
     judged = found.groupBy("doc_id", "_key").agg(
         F.max("n_words").alias("n_words"),
-        F.count(F.when(F.col("item").isNull(), 1)).alias("_copies"),
-        F.collect_set(F.when(F.col("item").isNotNull(), F.struct("begin", "end"))).alias("_runs"),
-        F.sort_array(F.collect_set("item")).alias("items"),
+        F.count(F.when(F.col("begin").isNull(), 1)).alias("_copies"),
+        F.collect_set(F.when(F.col("begin").isNotNull(), F.struct("begin", "end"))).alias("_runs"),
+        F.sort_array(F.array_distinct(F.flatten(F.collect_set("owners")))).alias("items"),
     )
     hit = F.size(F.array_distinct(F.flatten(F.transform("_runs", lambda r: F.sequence(r["begin"], r["end"] - 1))))).cast("long")
     judged = judged.withColumn("n_hit", F.when(F.size("_runs") > 0, hit).otherwise(F.lit(0).cast("long")))
@@ -92,25 +93,61 @@ def contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
     return judged.select("doc_id", F.col("_key").alias("text_key"), "n_words", "n_hit", "items", ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
 
 
-def _hits(base: DataFrame, items: DataFrame, short: list[int], first: bool) -> DataFrame:
-    """A row without an item for each document (first block only), and a row for each run of words that an item shares."""
+def _grams(base: DataFrame, short: list[int]) -> DataFrame:
+    """Rows (doc_id, _key, n_words, _w, p, k, _v): the gram at each place, of every length that items have; the one past the last word has no hash."""
     fp = base.select("doc_id", "_key", F.size("_w").cast("long").alias("n_words"), "_w", F.explode(F.sequence(F.lit(0), F.size("_w"))).alias("p"))
-    each = F.array(*[F.struct(F.lit(k).alias("k"), C.gram_at(F.col("_w"), F.col("p"), k).alias("v")) for k in (GRAM, *short)])
-    if short:
-        fp = fp.select("*", F.explode(each).alias("_f")).select("doc_id", "_key", "n_words", "_w", "p", F.col("_f.k").alias("k"), F.col("_f.v").alias("_v"))
-    else:
-        fp = fp.select("doc_id", "_key", "n_words", "_w", "p", F.lit(GRAM).alias("k"), C.gram_at(F.col("_w"), F.col("p"), GRAM).alias("_v"))
-    mark = (F.col("p") == F.col("n_words")) & (F.col("k") == GRAM)  # its hash is null, so it meets no item
-    met = fp.join(F.broadcast(items), (F.col("_v") == F.col("v")) & (F.col("k") == F.col("need_k")), "left")
-    # The winnowing of the document: asked of the grams that met an item, for the same rows at less cost.
-    least = (F.col("need") < WINDOW) | _is_least(F.col("p"))
-    same = F.slice("_w", F.col("p") + 1, F.col("k")) == F.col("core")
-    # First a filter that stays in whole-stage code, so that only rows that met an item are ever copied with their words.
-    met = met.where((mark if first else F.lit(False)) | F.col("item").isNotNull())
-    before, after = _extend(F.col("before"), lambda j: F.col("p") - j - 1), _extend(F.col("after"), lambda j: F.col("p") + F.col("k") + j)
+    if not short:
+        return fp.select("doc_id", "_key", "n_words", "_w", "p", F.lit(GRAM).alias("k"), C.gram_at(F.col("_w"), F.col("p"), GRAM).alias("_v"))
+    each = F.array(*[F.struct(F.lit(k).alias("k"), C.gram_at(F.col("_w"), F.col("p"), k).alias("v")) for k in dict.fromkeys((GRAM, *short))])
+    fp = fp.select("*", F.explode(each).alias("_f"))
+    return fp.select("doc_id", "_key", "n_words", "_w", "p", F.col("_f.k").alias("k"), F.col("_f.v").alias("_v"))
+
+
+def _extended(met: DataFrame, least: Column) -> DataFrame:
+    """Of rows that met an item, those whose run of shared words is long enough, as (doc_id, _key, n_words, owners, begin, end). _w begins at word at of the text."""
+    here = F.col("p") - F.col("at")
+    same = F.slice("_w", here + 1, F.col("k")) == F.col("core")
+    before, after = _extend(F.col("before"), lambda j: here - j - 1), _extend(F.col("after"), lambda j: here + F.col("k") + j)
     short_item = F.col("need") < WINDOW
     begin = F.col("p") - F.when(short_item, 0).otherwise(before)
     end = F.col("p") + F.col("k") + F.when(short_item, 0).otherwise(after)
-    met = C.let(met, _run=F.when(F.col("item").isNotNull() & same & least, F.struct(begin.alias("begin"), end.alias("end"), F.col("need").alias("need"))))
-    met = met.where(F.when(F.col("_run").isNull(), F.col("_run.need").isNull() & (F.col("p") == F.col("n_words"))).otherwise(F.col("_run.end") - F.col("_run.begin") >= F.col("_run.need")))
-    return met.select("doc_id", "_key", "n_words", F.when(F.col("_run").isNotNull(), F.col("item")).alias("item"), "_run.begin", "_run.end")
+    met = C.let(met, _run=F.when(F.col("need").isNotNull() & same & least, F.struct(begin.alias("begin"), end.alias("end"), F.col("need").alias("need"))))
+    long_enough = F.col("_run.end") - F.col("_run.begin") >= F.col("_run.need")
+    met = met.where(F.when(F.col("_run").isNull(), F.col("p") == F.col("n_words")).otherwise(long_enough))
+    return met.select("doc_id", "_key", "n_words", F.when(F.col("_run").isNotNull(), F.col("owners")).alias("owners"), "_run.begin", "_run.end")
+
+
+def _hits(base: DataFrame, items: DataFrame, short: list[int]) -> DataFrame:
+    """A row without begin for each document, and a row for each run of words that items share."""
+    fp = _grams(base, short)
+    mark = (F.col("p") == F.col("n_words")) & (F.col("k") == GRAM)  # its hash is null, so it meets no item
+    met = fp.join(F.broadcast(items), (F.col("_v") == F.col("v")) & (F.col("k") == F.col("need_k")), "left")
+    # First a filter that stays in whole-stage code, so that only rows that met an item are ever copied with their words.
+    met = met.where(mark | F.col("need").isNotNull()).withColumn("at", F.lit(0))
+    # The winnowing of the document: asked of the grams that met an item, for the same rows at less cost.
+    return _extended(met, (F.col("need") < WINDOW) | _is_least(F.col("p")))
+
+
+def _hits_by_shuffle(base: DataFrame, items: DataFrame, short: list[int]) -> DataFrame:
+    """As _hits, for items too large to broadcast: places of fingerprints meet hashes by a shuffle, then the few that met one fetch their words."""
+    placed = lambda grams, k: F.transform(grams, lambda x, i: F.struct(x.alias("v"), i.alias("p"), F.lit(k).alias("k")))
+    least = C.let(C.let(base, _g=C.grams(F.col("_w"), GRAM)), _s=placed(F.col("_g"), GRAM))
+    # Winnowing by arrays, text by text: the least gram of each SPAN in a row, the first of equal ones.
+    spans = F.transform(F.sequence(F.lit(0), F.size("_s") - SPAN), lambda i: F.array_min(F.slice("_s", i + 1, SPAN)))
+    kept = F.when(F.size("_s") >= SPAN, F.array_distinct(spans)).otherwise(F.array().cast("array<struct<v:bigint,p:int,k:int>>"))
+    for k in short:
+        least = C.let(least, **{f"_g{k}": C.grams(F.col("_w"), k)})
+    kept = F.concat(kept, *[placed(F.col(f"_g{k}"), k) for k in short])
+    fp = least.select("doc_id", "_key", F.explode(kept).alias("_f")).select("doc_id", "_key", "_f.p", "_f.k", F.col("_f.v").alias("_v"))
+    hashes = items.select("v", "need_k").distinct()
+    places = fp.join(hashes, (F.col("_v") == F.col("v")) & (F.col("k") == F.col("need_k")), "left_semi")
+    own = places.groupBy(F.col("doc_id").alias("_id"), F.col("_key").alias("_of")).agg(F.collect_set(F.struct("p", "k", F.col("_v").alias("v"))).alias("own"))
+    held = base.join(own, base["doc_id"].eqNullSafe(own["_id"]) & base["_key"].eqNullSafe(own["_of"]))
+    each = held.select("doc_id", "_key", F.size("_w").cast("long").alias("n_words"), "_w", F.explode("own").alias("_f"))
+    at = F.greatest(F.col("_f.p") - REACH, F.lit(0))
+    near = each.select("doc_id", "_key", "n_words", F.col("_f.p").alias("p"), F.col("_f.k").alias("k"), F.col("_f.v").alias("_v"), at.alias("at"), F.slice("_w", at + 1, F.col("_f.k") + 2 * REACH).alias("_w"))
+    # Where seven is the length of a short item too, grams that are not the least are left in; they only find runs that the least ones find.
+    met = _extended(near.join(items, (F.col("_v") == F.col("v")) & (F.col("k") == F.col("need_k"))), F.lit(True))
+    nothing = F.lit(None)
+    marks = base.select("doc_id", "_key", F.size("_w").cast("long").alias("n_words"), nothing.cast("array<string>").alias("owners"), nothing.cast("int").alias("begin"), nothing.cast("int").alias("end"))
+    return marks.unionByName(met.where("begin is not null"))

@@ -103,6 +103,17 @@ def test_benchmark_in_blocks(spark, docs, monkeypatch):
     assert counted(tuple(r[:4]) + (tuple(r[4]),) for r in decontaminate.contamination(docs, bench).collect()) == whole
 
 
+def test_items_without_an_id_and_shared_items(spark, docs, monkeypatch):
+    items = [(None, ITEM), (3, prose(40)), (4, ITEM), (5, "seven words are one short item here"), (6, None)]
+    texts = corpus() + [(900, f"x {items[3][1]} y", None, None, 0), (901, prose(2000) + " " + ITEM + " " + items[1][1], None, None, 0), (None, ITEM, None, None, 0)]
+    df, bench = spark.createDataFrame(texts, SCHEMA), spark.createDataFrame(items, "item_id int, text string")
+    want = counted((r[0], w, n, tuple(x for x in found if x != "None"), bad) for r in texts for w, n, found, bad in [contamination(r[1], items)])
+    read = lambda: counted((r.doc_id, r.n_words, r.n_hit, tuple(r["items"]), r.contaminated) for r in decontaminate.contamination(df, bench).collect())
+    assert read() == want
+    monkeypatch.setattr(C, "BROADCAST_BYTES", 100)
+    assert read() == want
+
+
 # --- chat
 
 
