@@ -42,7 +42,7 @@ CHUNK = 768
 PIVOTS = 24
 #: Documents of a cluster whose sets meet in one task, and bytes of their texts unless a single one has more.
 MEET = 1024
-MEET_BYTES = 8 << 20
+MEET_BYTES = 4 << 20
 
 _STEP = T.mix(np.arange(1, 65, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
 _FLIP = T.mix(np.arange(101, 165, dtype=U64) * U64(0x9E3779B97F4A7C15))
@@ -295,8 +295,10 @@ def _confirmed(groups: DataFrame, k: int, percent: int) -> DataFrame:
         a, b = [], []
         for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             m = hi - lo
-            tokens, at = shingles(*T.buffer_of(rows.column(4).slice(lo, m)), k)
-            sets = [np.unique(tokens[at[i] : at[i + 1]]) for i in range(m)]
+            sets = []
+            for some in T.steps(rows.slice(lo, m), "text"):
+                tokens, at = shingles(*T.buffer_of(some.column(4)), k)
+                sets += [np.unique(tokens[at[i] : at[i + 1]]) for i in range(some.num_rows)]
             sizes = np.array([len(s) for s in sets])
             begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
             names, ids = np.unique(np.concatenate(sets), return_inverse=True)

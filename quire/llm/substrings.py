@@ -28,11 +28,11 @@ U64 = np.uint64
 MIN_LENGTH = 200
 GRAM = 40
 #: Bytes of contexts in one transform, unless one anchor has more.
-BLOCK = 3 << 19
+BLOCK = 1 << 19
 #: Different contexts of one anchor in one block at most; an anchor with more is dealt over several blocks.
 HOT = 4096
 #: Bytes of text hashed at a time.
-SEGMENT = 1 << 21
+SEGMENT = 1 << 20
 
 _BYTE = T.mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
 _BASE = 0x5851F42D4C957F2D

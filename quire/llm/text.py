@@ -7,7 +7,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 #: Bytes of text worked on at a time: memory follows this and the longest text, not the batch.
-STEP = 1 << 22
+STEP = 1 << 20
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32

@@ -18,7 +18,7 @@ import numpy as np
 from . import text as T
 
 #: Distinct pieces that a worker remembers; beyond them it starts anew.
-REMEMBER = 1 << 21
+REMEMBER = 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
