@@ -352,33 +352,44 @@ def _left_over(blocked: DataFrame, comps: DataFrame) -> DataFrame:
     return both.select(F.xxhash64("cluster", "block", "part").alias("group"), "key", "comp", "asks")
 
 
+def _roots(parents: DataFrame) -> DataFrame:
+    """Rows (key, root) from rows (key, parent) of a forest, whose roots are their own parents: pointers are doubled until they stand."""
+    now = parents.select("key", F.col("parent").alias("root"))
+    while True:
+        above = now.where("key != root").select(F.col("key").alias("_key"), F.col("root").alias("_next"))
+        if now.join(above, now["root"] == above["_key"], "left_semi").isEmpty():
+            return now
+        common = C.heavy_keys(now.groupBy("root").agg(F.count("*").alias("n")), "root", "n", now.count())
+        now = C.materialize(C.salted_join(now, above, "root", "_key", common, ["key"], "left").select("key", F.coalesce("_next", "root").alias("root")), "roots")
+
+
 def components(links: DataFrame) -> DataFrame:
-    """Least vertex of each linked vertex's component: rows (key, comp). Labels spread to neighbours and then jump to their label's label, until none changes.
+    """Least vertex of each linked vertex's component: rows (key, comp).
 
-    A vertex with very many neighbours, and a label that very many vertices
-    have, are heavy keys of the joins and dealt over many tasks.
+    In each round a vertex goes to its neighbour of most links, or stays if it
+    has most itself; what has gone to one vertex becomes that vertex, and links
+    within are gone. A star is done in a round, and what is left of the links
+    shrinks from round to round. Vertices of very many links are heavy keys of
+    the joins and dealt over many tasks.
     """
-    both = C.materialize(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    total = both.count()
-    hubs = C.materialize(C.heavy_keys(both.groupBy("b").agg(F.count("*").alias("n")), "b", "n", total), "hubs")
-    labels = C.materialize(both.groupBy(F.col("a").alias("key")).agg(F.least(F.first("a"), F.min("b")).alias("comp")), "labels")
-    vertices = labels.count()
-    old = [both, hubs]
-    while True:
-        near = C.salted_join(both, labels, "b", "key", hubs, ["a"]).select("a", "comp")
-        spread = C.materialize(near.unionByName(labels.select(F.col("key").alias("a"), "comp")).groupBy("a").agg(F.min("comp").alias("comp")), "spread")
-        common = C.heavy_keys(spread.groupBy("comp").agg(F.count("*").alias("n")), "comp", "n", vertices)
-        target = labels.select(F.col("key").alias("_key"), F.col("comp").alias("_next"))
-        jumped = C.salted_join(spread, target, "comp", "_key", common, ["a"], "left").select(F.col("a").alias("key"), F.least("comp", "_next").alias("comp"))
-        new = C.materialize(jumped, "labels")
-        same = labels.select(F.col("key").alias("_key"), F.col("comp").alias("_old"))
-        changed = not new.join(same, new["key"] == same["_key"]).where(F.col("comp") != F.col("_old")).isEmpty()
-        old += [labels, spread]
-        labels = new
-        if not changed:
-            for x in old:
-                C.release(x)
-            return labels
+    step = C.materialize(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct(), "links")
+    vertices = C.materialize(step.select(F.col("a").alias("key")).unionByName(step.select(F.col("b").alias("key"))).distinct().withColumn("root", F.col("key")), "labels")
+    while not step.isEmpty():
+        both = step.unionByName(step.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        degrees = C.materialize(both.groupBy("a").agg(F.count("*").alias("n")), "degrees")
+        hubs = C.materialize(C.heavy_keys(degrees, "a", "n", 2 * step.count()), "hubs")
+        rank = degrees.select(F.col("a").alias("_of"), F.struct("n", F.col("a").alias("key")).alias("rank"))
+        best = C.salted_join(both, rank, "b", "_of", hubs, ["a"]).groupBy("a").agg(F.max("rank").alias("best"))
+        best = best.join(rank, best["a"] == rank["_of"]).select(F.col("a").alias("key"), F.greatest("best", "rank")["key"].alias("parent"))
+        roots = _roots(C.materialize(best, "parents"))
+        ends = roots.select(F.col("key").alias("_key"), F.col("root").alias("_root"))
+        left = C.salted_join(step, ends, "a", "_key", hubs, ["b"]).select(F.col("_root").alias("a"), "b")
+        both_ends = C.salted_join(left, ends, "b", "_key", hubs, ["a"]).select("a", F.col("_root").alias("b")).where("a != b")
+        step = C.materialize(both_ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+        common = C.heavy_keys(vertices.groupBy("root").agg(F.count("*").alias("n")), "root", "n", vertices.count())
+        vertices = C.materialize(C.salted_join(vertices, ends, "root", "_key", common, ["key"], "left").select("key", F.coalesce("_root", "root").alias("root")), "labels")
+    least = C.materialize(vertices.groupBy(F.col("root").alias("_of")).agg(F.min("key").alias("comp"), F.count("*").alias("n")), "least")
+    return C.materialize(C.salted_join(vertices, least, "root", "_of", C.heavy_keys(least, "_of", "n", vertices.count()), ["key"]).select("key", "comp"), "components")
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

@@ -465,6 +465,21 @@ def test_large_node_of_unrelated_pairs(spark, monkeypatch):
     assert {frozenset(g) for g in groups.values()} == pairs
 
 
+def test_components_of_paths_stars_and_random_links(spark):
+    r = random.Random(5)
+    links = [(f"p{i:03}", f"p{i + 1:03}") for i in range(40)] + [("hub", f"s{i}") for i in range(60)] + [("x", "x"), ("s3", "s3")]
+    links += [(f"r{r.randrange(70)}", f"r{r.randrange(70)}") for _ in range(45)] + [("b", "a"), ("a", "b")]
+    group = {}
+    for a, b in links:
+        if a != b:
+            merged = group.get(a, {a}) | group.get(b, {b})
+            group |= dict.fromkeys(merged, merged)
+    df = spark.createDataFrame([(a.encode(), b.encode()) for a, b in links], "a binary, b binary")
+    got = {bytes(x.key).decode(): bytes(x.comp).decode() for x in neardup.components(df).collect()}
+    assert got == {k: min(v) for k, v in group.items()}
+    assert neardup.components(df.limit(0)).count() == 0
+
+
 def test_who_is_done_with_a_node_has_no_candidate_outside():
     r = np.random.default_rng(12)
     for tight in (8, 20, 40, 64):
