@@ -63,6 +63,12 @@ def grid_cell(i: Column, columns: int = 3, cell_w: int = 170, cell_h: int = 80,
     return row, col, F.lit(gap) + col * (cell_w + gap), F.lit(gap) + row * (cell_h + gap)
 
 
+def grid_y(i: Column, n: Column, columns: int = 3, cell_h: int = 80, gap: int = 12) -> Column:
+    """Lower edge of the i-th of n cells, measured from the bottom of the whole grid, whose first row is at the top."""
+    row = F.floor(i / columns).cast("long")
+    return grid_height(n, columns, cell_h, gap) - (row + 1) * (cell_h + gap)
+
+
 def grid_height(n: Column, columns: int = 3, cell_h: int = 80, gap: int = 12, least: int = 250) -> Column:
     return F.greatest(F.lit(least), F.ceil(n / columns) * (cell_h + gap) + gap)
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: File kinds by extension.
-IMAGE_EXTENSIONS = ("jpg", "jpeg", "png", "heic", "heif", "tif", "tiff", "bmp", "gif")
+IMAGE_EXTENSIONS = ("jpg", "jpeg", "png", "heic", "heif", "tiff", "tif", "gif", "bmp")
 WINDOWS_EXTENSIONS = ("jpg", "jpeg", "png", "bmp", "gif", "tif", "tiff")
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +27,42 @@ def strokes(events: DataFrame, key: str, order: list[str], begins: Column, ends:
     return out.drop("_n")
 
 
+def latched(events: DataFrame, key: str, order: list[str], down: Column, up: Column, hit: Column, name: str = "latch") -> DataFrame:
+    """Add what a drag holds: what lay under the pointer when it went down, until it goes up; null for events that pass through."""
+    marked = strokes(events.withColumn("_hit", hit).withColumn("_down", down), key, order, F.col("_down"), up)
+    held = F.first(F.when(F.col("_down"), F.struct("_hit")), ignorenulls=True).over(Window.partitionBy(key, "stroke").orderBy(*order))
+    return marked.withColumn(name, F.when(F.col("stroke").isNotNull(), held["_hit"])).drop("_hit", "_down", "stroke")
+
+
+def tracked(events: DataFrame, key: str, order: list[str], touch: str, phase: str, began: str, ended: tuple[str, ...]) -> DataFrame:
+    """Add stroke, its number within a surface, to the events of the one touch that is followed.
+
+    A beginning is followed if no touch is; other touches are passed over until
+    it ends or is cancelled, by itself. Surfaces are sorted within tasks and read
+    as a stream, so a surface with very many events takes no more memory.
+    """
+    sorted_events = events.repartition(F.col(key)).sortWithinPartitions(key, *order)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema.fields)
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        surface, held, n = object(), None, 0
+        for batch in batches:
+            out: list[int | None] = []
+            names = batch.schema.names
+            for at, who, what in zip(*(batch.column(names.index(c)).to_pylist() for c in (key, touch, phase)), strict=True):
+                if at != surface:
+                    surface, held, n = at, None, 0
+                if held is None and what == began:
+                    held, n = (who,), n + 1
+                inside = held is not None and held == (who,)
+                out.append(n if inside else None)
+                if inside and what in ended:
+                    held = None
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], [*names, "stroke"])
+
+    return sorted_events.mapInArrow(follow, f"{fields}, stroke long")
+
+
 def path_sum(events: DataFrame, key: str, order: list[str], delta: Column, name: str) -> DataFrame:
     """Running sum of the movements of a drag. Pass decimals: sums of floats depend on their order."""
     return events.withColumn(name, F.sum(delta).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))

@@ -2,11 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+import tempfile
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def steady(df: DataFrame) -> DataFrame:
+    """Write a step to the folder that spark.checkpoint.dir names and read it from there: both of its uses see the same rows, also after an executor is lost."""
+    spark, sc = df.sparkSession, df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        at = spark.conf.get("spark.checkpoint.dir", None)
+        if not at and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(at or f"file://{tempfile.mkdtemp(prefix='quire-steps-')}")
+    return df.checkpoint()
+
+
+def at_place(numbered: DataFrame, ordinal: str, wanted: DataFrame, place: str) -> DataFrame:
+    """What stands at the places that are asked for; a place beyond the end gives nothing."""
+    return wanted.join(numbered, wanted[place] == numbered[ordinal]).drop(place)
+
+
 def global_ordinal(df: DataFrame, name: str, *order) -> DataFrame:
     """Number all rows from 0 by an order, which should be total.
 
@@ -14,7 +31,7 @@ def global_ordinal(df: DataFrame, name: str, *order) -> DataFrame:
     rows of the parts before, of which one count each is summed.
     """
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_q_id", F.monotonically_increasing_id())
-    ranged = ranged.persist(StorageLevel.MEMORY_AND_DISK)  # both uses must see the same ranges
+    ranged = steady(ranged)
     part = F.shiftright("_q_id", 33)
     before = Window.orderBy("_q_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = ranged.groupBy(part.alias("_q_part")).agg(F.count("*").alias("_q_n")).select("_q_part", F.coalesce(F.sum("_q_n").over(before), F.lit(0)).alias("_q_start"))

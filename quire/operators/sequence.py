@@ -7,6 +7,8 @@ and back by gather() and spread(), one shuffle on the document each way at most.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,6 +59,17 @@ def turned(pages: Column, wanted: Column, field: str = "rotation", by: int = 90)
     return F.transform(pages, lambda p, i: F.when(F.array_contains(wanted, i), p.withField(field, (p[field] + by) % 360)).otherwise(p))
 
 
+def saved(pages: Column, fails: Callable[[Column], Column]) -> Column:
+    """What saving copies: (place, page) of each page whose copy does not fail. Places are numbered before that, so a failed copy leaves a gap."""
+    numbered = F.transform(pages, lambda p, i: F.struct(i.alias("place"), p.alias("page")))
+    return F.filter(numbered, lambda x: ~F.coalesce(fails(x["page"]), F.lit(False)))
+
+
+def current_or_first(pages: Column, current: Column) -> Column:
+    """The page that is shown, or the first one where none is."""
+    return F.coalesce(F.get(pages, current), F.get(pages, F.lit(0)))
+
+
 def drop_accepted(pane: Column, where: Column, from_tray: Column) -> Column:
     """What a drop does: only the tray takes it; from the tray it moves, from the source it copies; on a page means before it."""
     return F.when(pane != "tray", F.lit("reject")).when(from_tray, F.lit("move")).otherwise(F.lit("copy"))

@@ -23,6 +23,25 @@ def under_point(points: DataFrame, rectangles: DataFrame, fits: Column, point_ke
     return points.join(rectangles, fits).groupBy(*point_key).agg(F.max(top).alias("hit"))
 
 
+def under_point_of_page(points: DataFrame, rectangles: DataFrame, page: list[str], fits: Column, point_key: list[str], top: Column, name: str = "hit") -> DataFrame:
+    """For each point the topmost rectangle of its own page that holds it; null where none does. The page is the key of the join, fits a filter on what met."""
+    met = points.join(rectangles, page, "left")
+    return met.groupBy(*point_key).agg(F.max(F.when(fits, top)).alias(name))
+
+
+def removed_by_identity(stamps: DataFrame, gone: DataFrame, identity: list[str]) -> DataFrame:
+    """Stamps without those that are named; what names no stamp changes nothing."""
+    return stamps.join(gone.select(*identity).distinct(), identity, "left_anti")
+
+
+def selected_after(stamps: DataFrame, gone: DataFrame, document: list[str], identity: list[str], order: list[str], value: str) -> DataFrame:
+    """Of each document that a stamp is removed from: how many of the named stamps were found, how many are left, and the last one left, which is selected next (null: none)."""
+    named = gone.select(*identity).distinct().withColumn("_gone", F.lit(True))
+    marked = stamps.join(named, identity, "left").withColumn("_gone", F.coalesce("_gone", F.lit(False)))
+    out = marked.groupBy(*document).agg(F.count_if("_gone").alias("n_removed"), F.count_if(~F.col("_gone")).alias("n_left"), F.max_by(F.when(~F.col("_gone"), F.col(value)), F.when(~F.col("_gone"), F.struct(*order))).alias("selected"))
+    return out.where("n_removed > 0")
+
+
 def last_of(stamps: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
     """The topmost stamp of each document; partial maxima are taken before the shuffle."""
     return stamps.groupBy(*keys).agg(F.max_by(F.col(value), F.struct(*order)).alias(name))

@@ -220,10 +220,79 @@ def anchored_batches(spark, sf_dir):
     return gestures.anchored_batches(events, "user_id", F.col("t"), DELAY)
 
 
+def scan_pages(spark, sf_dir):
+    """Web pages as files: English ones as documents of as many pages as their number says, German ones as images, others unreadable."""
+    lang = F.lower(F.regexp_extract("url", r"^[a-zA-Z]+://[^/]+/([a-zA-Z]{2})/", 1))
+    name = F.concat(lang, F.lit("."), F.when(lang == "en", "pdf").when(lang == "de", "JPG").otherwise("txt"))
+    listed = _t(spark, sf_dir, "pages").select(F.col("page_id").alias("file"), name.alias("path"))
+    found = F.when(files.is_pdf(F.col("path")), F.sequence(F.lit(0).cast("long"), F.col("file") % 4)).when(files.is_image(F.col("path")), F.array(F.lit(0).cast("long")))
+    pages = files.pages_of_files(files.accepted(listed), ["file"], found)
+    return ordinals.global_ordinal(pages.select("file", F.col("page_ord").cast("long")), "position", "file", "page_ord")
+
+
+def hit_on_page(spark, sf_dir):
+    points = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("page"), (F.col("o_orderkey") % 60).cast("double").alias("px"))
+    boxes = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_quantity").alias("x"), F.struct("l_linenumber", "l_partkey").alias("z"))
+    fits = G.contains(F.col("px"), F.lit(0.0), F.col("x"), F.lit(0.0), F.lit(15.0), F.lit(1.0))
+    out = stamps.under_point_of_page(points, boxes, ["page"], fits, ["page"], F.col("z"))
+    return out.select("page", F.col("hit.l_partkey").alias("hit"))
+
+
+def remove_by_identity(spark, sf_dir):
+    lines = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    gone = _t(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("l_orderkey"), F.lit(2).alias("l_linenumber"))
+    return stamps.selected_after(lines, gone, ["l_orderkey"], ["l_orderkey", "l_linenumber"], ["l_linenumber", "l_partkey"], "l_partkey")
+
+
+def drag_latch(spark, sf_dir):
+    events = _t(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type", "value")
+    hit = F.when(F.col("value") > 20, F.col("event_id") % 100)
+    out = gestures.latched(events, "user_id", ["ts", "event_id"], F.col("event_type") == "signup", F.col("event_type") == "error", hit)
+    return out.select("event_id", "latch")
+
+
+def tracked_touch(spark, sf_dir):
+    events = _t(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type", (F.col("event_id") % 2).alias("touch"))
+    out = gestures.tracked(events, "user_id", ["ts", "event_id"], "touch", "event_type", "signup", ("error",))
+    return out.where("stroke is not null").select("event_id", "stroke")
+
+
+def discarded_strokes(spark, sf_dir):
+    events = _t(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type")
+    kind = F.col("event_type")
+    out = gestures.strokes(events, "user_id", ["ts", "event_id"], kind == "signup", kind == "error", discards=kind == "purchase")
+    return out.where("stroke is not null").select("event_id", "stroke")
+
+
+def save_with_gaps(spark, sf_dir):
+    turns = _t(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
+    documents = sequence.gather(turns, "conv_id", ["turn"], ["turn", "role"])
+    out = documents.select("conv_id", F.explode(sequence.saved(F.col("pages"), lambda p: p["role"] == "system")).alias("x"))
+    return out.select("conv_id", F.col("x.place").cast("long").alias("place"), "x.page.turn")
+
+
+def shown_page(spark, sf_dir):
+    pages = _documents(spark, sf_dir)
+    return pages.select("conv_id", sequence.current_or_first(F.col("pages"), F.col("conv_id").cast("int") % 8)["turn"].alias("turn"))
+
+
+def grid_from_below(spark, sf_dir):
+    parts = _t(spark, sf_dir, "part")
+    numbered = ordinals.global_ordinal(parts.select("p_partkey"), "i", "p_partkey")
+    return numbered.select("p_partkey", G.grid_y(F.col("i"), F.lit(parts.count())).alias("y"))
+
+
+def tag_lookup(spark, sf_dir):
+    library = ordinals.global_ordinal(_t(spark, sf_dir, "part").select("p_partkey"), "i", F.col("p_partkey").desc())
+    tags = _t(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_suppkey") * 37).alias("tag"))
+    return ordinals.at_place(library, "i", tags, "tag").select("s_suppkey", "p_partkey")
+
+
 QUERIES = (
     natural_order, ext_filter, non_blank, route, load_pages, resize, orient, quarantine, report, output_name, signed_name, version_newer, json_field,
     latest_first, append_pages, insert_at, reorder, remove_pages, extract_pages, rotate_pages, flatten, hit_test, last_stamp, has_widget,
     remove_stamp, place_stamp, thumb_fit, grid, bbox, strokes, drag_path, anchored_batches,
+    scan_pages, hit_on_page, remove_by_identity, drag_latch, tracked_touch, discarded_strokes, save_with_gaps, shown_page, grid_from_below, tag_lookup,
 )
 
 
@@ -291,6 +360,34 @@ SQL = {
               UNION ALL SELECT a.user_id, (SELECT min(t.t) FROM t WHERE t.user_id = a.user_id AND t.t >= a.anchor + {DELAY}) FROM a
               WHERE EXISTS (SELECT 1 FROM t WHERE t.user_id = a.user_id AND t.t >= a.anchor + {DELAY}))
         SELECT a.user_id, anchor, count(*) AS n FROM a JOIN t ON t.user_id = a.user_id AND t.t >= anchor AND t.t < anchor + {DELAY} GROUP BY 1, 2""",
+    "scan_pages": """SELECT file, page_ord, row_number() OVER (ORDER BY file, page_ord) - 1 AS position
+        FROM (SELECT page_id AS file, unnest(generate_series(0, CASE WHEN l = 'en' THEN page_id % 4 ELSE 0 END)) AS page_ord
+              FROM (SELECT page_id, lower(regexp_extract(url, '^[a-zA-Z]+://[^/]+/([a-zA-Z]{2})/', 1)) AS l FROM pages) WHERE l IN ('en', 'de'))""",
+    "hit_on_page": """SELECT o_orderkey AS page, arg_max(l_partkey, (l_linenumber, l_partkey)) AS hit
+        FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND o_orderkey % 60 >= l_quantity AND o_orderkey % 60 < l_quantity + 15 GROUP BY 1""",
+    "remove_by_identity": """SELECT l_orderkey, count(*) FILTER (l_linenumber = 2) AS n_removed, count(*) FILTER (l_linenumber <> 2) AS n_left,
+            arg_max(l_partkey, (l_linenumber, l_partkey)) FILTER (l_linenumber <> 2) AS selected
+        FROM lineitem WHERE l_orderkey % 3 = 0 GROUP BY 1 HAVING count(*) FILTER (l_linenumber = 2) > 0""",
+    "drag_latch": """WITH b AS (SELECT *, sum((event_type = 'signup')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM events),
+        e AS (SELECT *, coalesce(sum((event_type = 'error')::INT) OVER (PARTITION BY user_id, s ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended,
+                first_value(CASE WHEN value > 20 THEN event_id % 100 END) OVER (PARTITION BY user_id, s ORDER BY ts, event_id) AS held FROM b)
+        SELECT event_id, CASE WHEN s > 0 AND ended = 0 THEN held END AS latch FROM e""",
+    "tracked_touch": """WITH RECURSIVE e AS (SELECT user_id, event_id, event_type AS k, event_id % 2 AS touch, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+        s AS (SELECT user_id, 0::BIGINT AS i, NULL::BIGINT AS held, 0::BIGINT AS n, NULL::BIGINT AS event_id, false AS inside FROM (SELECT DISTINCT user_id FROM e)
+              UNION ALL
+              SELECT user_id, i, CASE WHEN inside AND k = 'error' THEN NULL ELSE cur END, n, event_id, inside
+              FROM (SELECT e.user_id, e.i, e.k, e.event_id, CASE WHEN s.held IS NULL AND e.k = 'signup' THEN e.touch ELSE s.held END AS cur,
+                           s.n + CASE WHEN s.held IS NULL AND e.k = 'signup' THEN 1 ELSE 0 END AS n, coalesce(cur = e.touch, false) AS inside
+                    FROM s JOIN e ON e.user_id = s.user_id AND e.i = s.i + 1))
+        SELECT event_id, n AS stroke FROM s WHERE inside""",
+    "discarded_strokes": """WITH b AS (SELECT *, sum((event_type = 'signup')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS stroke FROM events),
+        e AS (SELECT *, coalesce(sum((event_type = 'error')::INT) OVER (PARTITION BY user_id, stroke ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended,
+                max((event_type = 'purchase')::INT) OVER (PARTITION BY user_id, stroke) AS gone FROM b)
+        SELECT event_id, stroke::BIGINT AS stroke FROM e WHERE stroke > 0 AND ended = 0 AND gone = 0""",
+    "save_with_gaps": f"SELECT conv_id, i AS place, turn FROM ({_CONV}) JOIN (SELECT conv_id, turn, role FROM conversations) USING (conv_id, turn) WHERE role <> 'system'",
+    "shown_page": f"SELECT conv_id, coalesce(max(turn) FILTER (i = conv_id % 8), max(turn) FILTER (i = 0)) AS turn FROM ({_CONV}) GROUP BY conv_id",
+    "grid_from_below": "SELECT p_partkey, greatest(250, (n + 2) // 3 * 92 + 12) - (i // 3 + 1) * 92 AS y FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS i, count(*) OVER () AS n FROM part)",
+    "tag_lookup": "SELECT s_suppkey, p_partkey FROM supplier JOIN (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey DESC) - 1 AS i FROM part) ON i = s_suppkey * 37",
 }
 
 

@@ -81,6 +81,15 @@ def report(results: DataFrame, batch: list[str], ok: Column, name: str, order: s
     return results.groupBy(*batch).agg(F.count_if(ok).alias("n_ok"), F.count_if(~ok).alias("n_skipped"), joined.alias("skipped"))
 
 
+def pages_of_files(files: DataFrame, order: list[str], pages: Column) -> DataFrame:
+    """Pages of files in file order: all of a document's, one of an image, none of a file that cannot be read, which is dropped without a word.
+
+    pages: an array, null where a file cannot be read. Adds page_ord, the place in the file, and page.
+    """
+    kept = [c for c in files.columns if c in order]
+    return files.select(*kept, F.posexplode(pages).alias("page_ord", "page"))
+
+
 def pages_of_text(documents: DataFrame, key: str, text: str) -> DataFrame:
     """Lines of a text as pages of a document: key, page_ord, page."""
     return documents.select(key, F.posexplode(F.split(text, "\n", -1)).alias("page_ord", "page"))
