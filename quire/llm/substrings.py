@@ -327,7 +327,7 @@ def remove_repeats(docs: DataFrame, *, min_length: int = MIN_LENGTH, id_col: str
 
     def cut(batches):
         kinds = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        for batch in batches:
+        for batch in (rows for whole in batches for rows in T.steps(whole, "text")):
             sizes, kept, spans = [], [], []
             for j in range(batch.num_rows):
                 raw, own = batch.column(1)[j].as_buffer(), batch.column(2)[j]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U64 = np.uint64
 #: Bytes of text worked on at a time: memory follows this and the longest text, not the batch.
@@ -27,8 +28,8 @@ def buffer_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def steps(batch: pa.RecordBatch, text: str):
-    """Slices of a batch of STEP bytes of text or a single row."""
-    sizes = np.diff(buffer_of(batch.column(batch.schema.get_field_index(text)))[1])
+    """Slices of a batch of STEP bytes of text (a string or binary column) or a single row."""
+    sizes = pc.binary_length(batch.column(batch.schema.get_field_index(text))).fill_null(0).to_numpy()
     begin = total = 0
     for i, n in enumerate(sizes.tolist()):
         if i > begin and total + n > STEP:
