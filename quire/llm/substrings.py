@@ -27,9 +27,9 @@ from . import text as T
 U64 = np.uint64
 MIN_LENGTH = 200
 GRAM = 40
-#: Bytes of contexts in one transform, unless one anchor has more.
+#: Bytes of contexts in one transform, about.
 BLOCK = 1 << 19
-#: Different contexts of one anchor in one block at most; an anchor with more is dealt over several blocks.
+#: Different contexts of one anchor in one block, about; an anchor with more of them, or of more bytes than a block, is dealt over several.
 HOT = 4096
 #: Bytes of text hashed at a time.
 SEGMENT = 1 << 20
@@ -290,8 +290,9 @@ def repeated_starts(texts: DataFrame, length: int = MIN_LENGTH, k: int = GRAM) -
     places = C.materialize(again.groupBy("t1", "nb", "a", "c", "s", "n", "o").agg(F.count("*").alias("times"), F.min("d").alias("d")), "anchors-twice")
     C.release(found)
     contexts = C.materialize(places.groupBy("a", "c").agg(F.sum("times").alias("times"), F.min(F.struct("t1", "nb", "d", "s", "n")).alias("rep")), "contexts")
-    per_anchor = contexts.groupBy(F.col("a").alias("_a")).agg(F.count("*").alias("kinds")).where("kinds > 1")
-    mixed = C.salted_join(contexts, per_anchor, "a", "_a", common, ["c"]).withColumn("parts", F.ceil(F.col("kinds") / HOT).cast("int"))
+    per_anchor = contexts.groupBy(F.col("a").alias("_a")).agg(F.count("*").alias("kinds"), F.sum(F.col("rep.n") + (length - 1)).alias("room")).where("kinds > 1")
+    parts = F.greatest(F.ceil(F.col("kinds") / HOT), F.ceil(F.col("room") / BLOCK)).cast("int")
+    mixed = C.salted_join(contexts, per_anchor, "a", "_a", common, ["c"]).withColumn("parts", parts)
     piece = F.struct("a", "c", F.col("rep.s").alias("s"), F.col("rep.n").alias("n"), F.pmod(F.xxhash64("c"), F.col("parts")).cast("int").alias("part"), "parts")
     wanted = mixed.groupBy(F.col("rep.t1").alias("_t1"), F.col("rep.nb").alias("_nb"), F.col("rep.d").alias("_d")).agg(F.collect_list(piece).alias("own"))
     keyed = texts.select(*_key("text"), "text")
