@@ -193,7 +193,7 @@ def read_documents(file: str, wanted: set[int]) -> dict[int, np.ndarray]:
 
 
 def positions(read: DataFrame, files: DataFrame) -> DataFrame:
-    """Add start, the ids of all documents before each. The running sum is over files, one row each."""
+    """Add start, the ids of all documents before each. The running sum is over files, one row each: no more than the ranges they were written from, so they are broadcast."""
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = files.select(F.col("file").alias("_file"), F.coalesce(F.sum("n_ids").over(earlier), F.lit(0)).alias("_before"))
-    return read.join(offsets, read["file"] == offsets["_file"]).withColumn("start", F.col("_before") + F.col("within")).drop("_before", "_file")
+    return read.join(F.broadcast(offsets), read["file"] == offsets["_file"]).withColumn("start", F.col("_before") + F.col("within")).drop("_before", "_file")
