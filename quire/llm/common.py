@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Largest side, in bytes of text, that an operator broadcasts; larger ones go in blocks or by a shuffle.
@@ -32,7 +32,10 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = f"file://{tempfile.mkdtemp(prefix='quire-shared-')}"
         sc.setCheckpointDir(at)
-    return at.rstrip("/")
+    if ":/" not in at:  # as Spark understands it, so that others read the same folder
+        path = spark._jvm.org.apache.hadoop.fs.Path(at)
+        at = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return (f"file://{at[5:]}" if at.startswith("file:/") and not at.startswith("file://") else at).rstrip("/")
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -61,6 +64,35 @@ def release(df: DataFrame) -> None:
         drop_path(df.sparkSession, path)
 
 
+def running(df: DataFrame, name: str, value: Column, *order) -> DataFrame:
+    """Add the sum of a whole number over all rows before, by an order that should be total.
+
+    Rows are sorted by range and summed within chunks of 4,096 rows; chunks are
+    summed within their part, and parts, of which there are as many as the sort
+    had tasks, in one small window. No task takes more than its part.
+    """
+    ranged = df.withColumn("_q_value", value.cast("long")).repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = materialize(ranged.withColumn("_q_id", F.monotonically_increasing_id()), "ordered").withColumn("_q_chunk", F.shiftright("_q_id", 12))
+    chunks = ranged.groupBy("_q_chunk").agg(F.sum("_q_value").alias("_q_sum")).withColumn("_q_part", F.shiftright("_q_chunk", 21))
+    before = lambda w: F.coalesce(F.sum("_q_sum").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = chunks.groupBy("_q_part").agg(F.sum("_q_sum").alias("_q_sum")).select("_q_part", before(Window.orderBy("_q_part")).alias("_q_far"))
+    starts = chunks.withColumn("_q_near", before(Window.partitionBy("_q_part").orderBy("_q_chunk"))).join(parts, "_q_part")
+    starts = starts.select("_q_chunk", (F.col("_q_near") + F.col("_q_far")).alias("_q_start"))
+    inside = F.coalesce(F.sum("_q_value").over(Window.partitionBy("_q_chunk").orderBy("_q_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return ranged.withColumn("_q_inside", inside).join(starts, "_q_chunk").withColumn(name, F.col("_q_start") + F.col("_q_inside")).drop("_q_chunk", "_q_id", "_q_value", "_q_inside", "_q_start")
+
+
+def numbered(df: DataFrame, name: str, *order) -> DataFrame:
+    """Number all rows from 0 by an order that should be total: the place in a part of the sort plus the rows of the parts before."""
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_q_id", F.monotonically_increasing_id())
+    ranged = materialize(ranged, "numbered")
+    part = F.shiftright("_q_id", 33)
+    before = Window.orderBy("_q_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy(part.alias("_q_part")).agg(F.count("*").alias("_q_n")).select("_q_part", F.coalesce(F.sum("_q_n").over(before), F.lit(0)).alias("_q_start"))
+    joined = ranged.join(F.broadcast(starts), part == F.col("_q_part"))  # one row for each part
+    return joined.withColumn(name, F.col("_q_start") + F.col("_q_id").bitwiseAND((1 << 33) - 1)).drop("_q_id", "_q_part", "_q_start")
+
+
 def heavy_keys(counts: DataFrame, key: str, n: str, total: int) -> DataFrame:
     """Keys with more than total / PARTS of total rows: by their number alone never more than PARTS, whatever the data."""
     return counts.where(F.col(n) * PARTS > total).select(F.col(key).alias("_heavy"))

@@ -133,9 +133,39 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_bas
 FROM d LEFT JOIN g USING (doc_id)
 """
 
+def _vector_codes(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Rounds of assigning and averaging, one after the other, over rows of (vector, part, component)."""
+    steps = [f"""
+v0 AS (SELECT vec_id, label, row_number() OVER () AS r, embedding FROM embeddings
+       WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+v AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY vec_id NULLS LAST, list_transform(embedding, lambda x: floor(4096::DOUBLE * x))) AS n FROM v0),
+x AS MATERIALIZED (
+  SELECT r, n, (i - 1) // w AS p, (i - 1) % w AS j, floor(4096::DOUBLE * embedding[i])::BIGINT AS x
+  FROM (SELECT r, n, embedding, len(embedding) // {parts} AS w, unnest(generate_series(1, len(embedding))) AS i FROM v)),
+b0 AS MATERIALIZED (SELECT p, n - 1 AS e, j, x AS c FROM x WHERE n <= {entries})"""]
+    for k in range(rounds + 1):
+        steps.append(f"""
+a{k} AS MATERIALIZED (
+  SELECT r, p, min((d, e)) AS best
+  FROM (SELECT r, p, e, sum((x - c) * (x - c))::BIGINT AS d FROM x JOIN b{k} USING (p, j) GROUP BY r, p, e) GROUP BY r, p)""")
+        if k < rounds:
+            steps.append(f"""
+m{k} AS (SELECT p, best[2] AS e, j, floor(sum(x)::DOUBLE / count(*))::BIGINT AS c FROM x JOIN a{k} USING (r, p) GROUP BY ALL),
+b{k + 1} AS MATERIALIZED (SELECT p, e, j, coalesce(m{k}.c, b{k}.c) AS c FROM b{k} LEFT JOIN m{k} USING (p, e, j))""")
+    return "WITH" + ",".join(steps) + f""",
+codes AS (SELECT r, string_agg(lpad(lower(hex(best[2])), 2, '0'), '' ORDER BY p) AS code, sum(best[1])::BIGINT AS error FROM a{rounds} GROUP BY r),
+s AS (SELECT label, sum(error)::BIGINT AS label_error FROM v JOIN codes USING (r) GROUP BY label)
+SELECT vec_id, code, error, label_error, (SELECT sha256(string_agg(c, ',' ORDER BY p, e, j)) FROM b{rounds}) AS codebooks_sha256
+FROM v JOIN codes USING (r) JOIN s ON v.label IS NOT DISTINCT FROM s.label
+"""
+
+
+OP12 = _vector_codes()
+
+
 def oracle_sql() -> dict[str, str]:
-    """By query name. Token ids (op4, op9), bytes of UTF-8 texts (op6) and crc32 (op10) are beyond SQL; tests hold those against brute force."""
+    """By query name. Token ids (op4, op9), bytes of UTF-8 texts (op6) and crc32 (op10) are beyond SQL, and so are the draws of op11; tests hold those against brute force."""
     return {
         "op1_decontamination": OP1, "op2_chat_formatting": OP2, "op3_url_filters": OP3, "op5_minhash_near_dedup": OP5,
-        "op7_license_scan": OP7, "op8_quality_rules": OP8,
+        "op7_license_scan": OP7, "op8_quality_rules": OP8, "op12_vector_codes": OP12,
     }

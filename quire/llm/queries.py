@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from . import chat, decontaminate, licenses, neardup, packing, quality, sharding, substrings, tokenfile, urls
+from . import chat, decontaminate, licenses, mixing, neardup, packing, quality, sharding, substrings, timeparts, tokenfile, urls, vectorcodes
 
 
 def vocabulary() -> str:
@@ -86,5 +86,30 @@ def op10_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(C.table(spark, sf_dir, "documents"), with_text=False).taken()
+    return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vectorcodes.quantize(C.table(spark, sf_dir, "embeddings"))
+    code = F.lower(F.array_join(F.transform("codes", lambda c: F.lpad(F.hex(c), 2, "0")), ""))
+    out = vectorcodes.with_label_errors(coded)
+    return out.select(F.col("id").alias("vec_id"), code.alias("code"), "error", "label_error", F.lit(vectorcodes.digest(books)).alias("codebooks_sha256"))
+
+
+def op13_time_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clicks, folder = C.table(spark, sf_dir, "clicks"), C.shared_path(spark, "clicks")
+    k = F.crc32(F.col("click_id").cast("string").cast("binary")) % 128
+    ts, day = F.col("ts").cast("timestamp_ntz"), F.col("ts").cast("date")
+    back = F.make_dt_interval(((k + 6) * (k + 6) * (k + 6)).cast("int"))
+    moment = F.when(k < 16, ts - back).when(k > 111, F.date_sub(day, F.weekday(day)).cast("timestamp_ntz")).otherwise(ts)
+    new = F.coalesce(F.col("arrived_at") >= F.lit("2024-05-01").cast("timestamp_ntz"), F.lit(True))
+    how = {"moment": moment, "order": ["arrived_at", "click_id"], "id_col": "click_id", "limit": timeparts.rows_limit(clicks)}
+    first = timeparts.write(clicks.where(~new), folder, **how)
+    out = timeparts.rewrite(clicks, first, folder, new=new, **how)
+    return out.select("leaf", "part", "n_rows", "n_new", F.lit(",".join(clicks.columns)).alias("columns"), "ids_sha256", "path", "rewritten").withColumns({c: F.col(c).cast("long") for c in ("part", "n_rows", "n_new")})
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontamination, op2_chat_formatting, op3_url_filters, op4_best_fit_packing, op5_minhash_near_dedup, op6_suffix_dedup, op7_license_scan, op8_quality_rules, op9_token_binary, op10_hilbert_sharding)}
+    return {f.__name__: f for f in (op1_decontamination, op2_chat_formatting, op3_url_filters, op4_best_fit_packing, op5_minhash_near_dedup, op6_suffix_dedup, op7_license_scan, op8_quality_rules, op9_token_binary, op10_hilbert_sharding, op11_source_mixing, op12_vector_codes, op13_time_partitions)}
