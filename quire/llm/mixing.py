@@ -25,7 +25,7 @@ PERCENT = 150
 MOST = 2
 SEED = 20
 #: Rounds of the permutation.
-ROUNDS = 16
+ROUNDS = 12
 #: Into so many cells the line of all quotas is cut, so that a draw finds its source by an equal key.
 CELLS = 1 << 16
 
@@ -56,18 +56,19 @@ class Mix:
         return self.slots.join(blocks, ["source_no", "block"]).select("shard", "slot", "words")
 
 
-def permuted(x: Column, n: Column, *key: Column) -> Column:
-    """Where a pseudorandom permutation of 0 to n - 1, one for each key, sends x.
+def permuted(df: DataFrame, name: str, x: Column, n: Column, *key: Column) -> DataFrame:
+    """Add where a pseudorandom permutation of 0 to n - 1, one for each key, sends x.
 
     Each round pairs every number with another by a reflection and swaps the two
     or not, as a hash of the larger one says: a permutation whatever the hash.
+    Rounds are columns of their own, so all of it is compiled code.
     """
-
-    def round_(at: Column, r: Column) -> Column:
-        other = F.pmod(F.pmod(F.xxhash64(*key, r), n) - at, n)
-        return F.when(F.xxhash64(*key, r, F.lit("swap"), F.greatest(at, other)) % 2 == 0, at).otherwise(other)
-
-    return F.aggregate(F.array(*[F.lit(r) for r in range(ROUNDS)]), x.cast("long"), round_)
+    df = df.withColumns({name: x.cast("long"), "_p_n": n, "_p_key": F.xxhash64(*key)})
+    for r in range(ROUNDS):
+        df = df.withColumn("_p_other", F.pmod(F.pmod(F.xxhash64("_p_key", F.lit(2 * r)), F.col("_p_n")) - F.col(name), F.col("_p_n")))
+        stays = F.xxhash64("_p_key", F.lit(2 * r + 1), F.greatest(F.col(name), F.col("_p_other"))) % 2 == 0
+        df = df.withColumn(name, F.when(stays, F.col(name)).otherwise(F.col("_p_other")))
+    return df.drop("_p_n", "_p_key", "_p_other")
 
 
 def targets(sources: DataFrame, percent: int, most: int) -> DataFrame:
@@ -111,7 +112,9 @@ def mix(
     spark = docs.sparkSession
     text, source = F.col(text_col), F.col(source_col).cast("string")
     key = F.when(source.isNull(), "").otherwise(F.concat(F.lit("="), source))
-    size = F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    # Pieces between blanks, without the empty ones that a blank at either end makes.
+    edges = sum(F.substring(text, at, 1).rlike(C.BLANKS).cast("int") for at in (1, -1))
+    size = F.when(F.length(text) > 0, F.size(F.split(text, C.BLANKS, -1)) - edges).otherwise(0).cast("long")
     base = docs.select(F.col(id_col).alias("doc_id"), key.alias("_key"), source.alias("source"), size.alias("size"), F.xxhash64(text).alias("_text"), *([text.alias("text")] if with_text else []))
     base = C.materialize(base.withColumn("row", F.monotonically_increasing_id()), "sizes")
 
@@ -164,6 +167,8 @@ def _slots(spark, sources: DataFrame, total: int, shard_slots: int, seed: int) -
     counts = counts.join(had, "source_no").withColumn("_back", back(F.col("_first"))).withColumn("_here", back(F.col("_first") + F.col("_n")) - F.col("_back"))
     counts = C.materialize(counts.select("shard", "source_no", "quota", "blocks", "_n", "_at", (F.col("_first") - F.col("_back")).alias("_first"), (F.col("_n") - F.col("_here")).alias("_stays")), "draws-in-order")
 
+    # Few rows stand for many slots: they are dealt out before they become those.
+    counts = counts.repartition(max(spark.sparkContext.defaultParallelism, total >> 18), "shard", "source_no")
     stays = F.col("_stays")
     expand = lambda df, low, high: df.where(high > low).withColumn("_k", F.explode(F.sequence(low, high - 1)))
     kept = expand(counts, F.lit(0).cast("long"), stays).select("shard", (F.col("_at") + F.col("_k")).alias("_place"), "source_no", "blocks", (F.col("_first") + F.col("_k")).alias("_j"))
@@ -176,7 +181,10 @@ def _slots(spark, sources: DataFrame, total: int, shard_slots: int, seed: int) -
     under = C.numbered(under, "_number", "source_no", "_j")
     slots = kept.unionByName(over.join(under, "_number").select("shard", "_place", "source_no", "blocks", "_j"))
 
-    in_shard = F.least(F.lit(shard_slots), F.lit(total) - F.col("shard") * shard_slots)
     turn = F.expr("_j div blocks")
-    block = permuted(F.col("_j") % F.col("blocks"), F.col("blocks"), F.lit(seed), F.col("source_no"), turn)
-    return slots.select("shard", permuted(F.col("_place"), in_shard, F.lit(seed), F.lit("shard"), F.col("shard")).alias("slot"), "source_no", block.alias("block"))
+    slots = permuted(slots, "block", F.col("_j") % F.col("blocks"), F.col("blocks"), F.lit(seed), F.col("source_no"), turn)
+    # Written here: plans that hold several permutations take the optimizer very long.
+    slots = C.materialize(slots.select("shard", "_place", "source_no", "block"), "slots")
+    in_shard = F.least(F.lit(shard_slots), F.lit(total) - F.col("shard") * shard_slots)
+    slots = permuted(slots, "slot", F.col("_place"), in_shard, F.lit(seed), F.lit("shard"), F.col("shard"))
+    return slots.select("shard", "slot", "source_no", "block")

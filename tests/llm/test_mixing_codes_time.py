@@ -74,7 +74,7 @@ def test_mixing(spark):
 
 def test_permutations(spark):
     for n in (1, 2, 3, 64, 97, 1000):
-        got = [r.y for r in spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n), F.lit(3), F.lit(1)).alias("y")).collect()]
+        got = [r.y for r in mixing.permuted(spark.range(n), "y", F.col("id"), F.lit(n), F.lit(3), F.lit(1)).collect()]
         assert sorted(got) == list(range(n)) and (n < 64 or sum(a == b for a, b in enumerate(got)) < n / 8)
 
 
