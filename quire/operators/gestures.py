@@ -2,65 +2,71 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.operators.ordinals import carry, steady
 
-def strokes(events: DataFrame, key: str, order: list[str], begins: Column, ends: Column, discards: Column | None = None) -> DataFrame:
-    """Add stroke, its number within a surface, to events that belong to one.
 
-    A beginning opens a stroke; an ending, also a cancel, closes it; events
-    outside strokes, and strokes that were discarded, have null.
+def strokes(events: DataFrame, key: str, order: list[str], begins: Column, ends: Column, moves: Column | None = None, touch: Column | None = None, discards: Column | None = None, clears: Column | None = None) -> DataFrame:
+    """Add stroke to the events that are points of a finished stroke: the number of beginnings on the surface so far; null elsewhere.
+
+    Every beginning takes over, whatever was unfinished is dropped. Points are the
+    beginning and the moves after it, of the same touch only if touches are told
+    apart. The next ending finishes the stroke, whichever touch it is of; it adds
+    no point, and a stroke of one point is dropped. A discard drops what is
+    unfinished. A clear drops what is finished too, and with clears there is a
+    column epoch: the number of clears before the point; the touch that is down
+    goes on with an empty stroke. moves: by default all other events. Null counts
+    as false. The order should be total; ties are read in any order.
+    """
+    no = F.lit(False)
+    flag = lambda c: no if c is None else F.coalesce(c, no)
+    marks = {"_begin": flag(begins), "_end": flag(ends), "_drop": flag(discards), "_clear": flag(clears), "_touch": F.lit(None).cast("string") if touch is None else touch}
+    events = events.withColumns(marks).withColumn("_move", ~(F.col("_begin") | F.col("_end") | F.col("_drop") | F.col("_clear")) & (F.lit(True) if moves is None else flag(moves)))
+    so_far = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = events.withColumns({"_n": F.sum(F.col("_begin").cast("long")).over(so_far), "epoch": F.sum(F.col("_clear").cast("long")).over(so_far)})
+    own = Window.partitionBy(key, "_n").orderBy(*order)
+    stop = F.col("_end") | F.col("_drop")
+    out = out.withColumns({
+        "_over": F.coalesce(F.max(stop).over(own.rowsBetween(Window.unboundedPreceding, -1)), no),
+        "_who": F.first("_touch").over(own.rowsBetween(Window.unboundedPreceding, 0)),
+    })
+    inside = (F.col("_n") > 0) & ~F.col("_over")
+    point = inside & (F.col("_begin") | F.col("_move") & F.col("_touch").eqNullSafe(F.col("_who")))
+    # The first stop of a stroke says whether it is finished, and after how many clears.
+    whole = Window.partitionBy(key, "_n")
+    out = out.withColumn("_point", point).withColumn("_done", F.max(F.when(inside & F.col("_end"), F.col("epoch"))).over(whole))
+    points = F.sum(F.col("_point").cast("int")).over(Window.partitionBy(key, "_n", "epoch"))
+    kept = F.col("_point") & (F.col("_done") == F.col("epoch")) & (points > 1)
+    out = out.withColumn("stroke", F.when(kept, F.col("_n")))
+    return out.drop("_n", "_begin", "_end", "_drop", "_clear", "_touch", "_move", "_over", "_who", "_point", "_done", *(["epoch"] if clears is None else []))
+
+
+def ink(points: DataFrame, key: str, x: Column, y: Column) -> DataFrame:
+    """Of each surface the strokes finished since the last clear, n_strokes, and their extent (x0, y0, x1, y1; null without any).
+
+    points: the rows of strokes() with clears; a surface of any row has a row. Each
+    task keeps least and greatest values for each clear before anything is moved.
     """
-    w = Window.partitionBy(key).orderBy(*order)
-    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
-    out = events.withColumn("_n", F.sum(begins.cast("int")).over(so_far))
-    inside = Window.partitionBy(key, "_n").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    closed = F.coalesce(F.max(ends).over(inside), F.lit(False))
-    out = out.withColumn("stroke", F.when((F.col("_n") > 0) & ~closed, F.col("_n")))
-    if discards is not None:
-        gone = F.max(F.coalesce(discards, F.lit(False))).over(Window.partitionBy(key, "_n"))
-        out = out.withColumn("stroke", F.when(~gone, F.col("stroke")))
-    return out.drop("_n")
+    has = F.col("stroke").isNotNull()
+    by = points.groupBy(key, "epoch").agg(
+        F.count_distinct(F.when(has, F.col("stroke"))).alias("n_strokes"), F.min(F.when(has, x)).alias("x0"), F.min(F.when(has, y)).alias("y0"), F.max(F.when(has, x)).alias("x1"), F.max(F.when(has, y)).alias("y1")
+    )
+    last = by.groupBy(key).agg(F.max_by(F.struct("n_strokes", "x0", "y0", "x1", "y1"), "epoch").alias("_last"))
+    return last.select(key, "_last.*")
 
 
 def latched(events: DataFrame, key: str, order: list[str], down: Column, up: Column, hit: Column, name: str = "latch") -> DataFrame:
     """Add what a drag holds: what lay under the pointer when it went down, until it goes up; null for events that pass through."""
-    marked = strokes(events.withColumn("_hit", hit).withColumn("_down", down), key, order, F.col("_down"), up)
-    held = F.first(F.when(F.col("_down"), F.struct("_hit")), ignorenulls=True).over(Window.partitionBy(key, "stroke").orderBy(*order))
-    return marked.withColumn(name, F.when(F.col("stroke").isNotNull(), held["_hit"])).drop("_hit", "_down", "stroke")
-
-
-def tracked(events: DataFrame, key: str, order: list[str], touch: str, phase: str, began: str, ended: tuple[str, ...]) -> DataFrame:
-    """Add stroke, its number within a surface, to the events of the one touch that is followed.
-
-    A beginning is followed if no touch is; other touches are passed over until
-    it ends or is cancelled, by itself. Surfaces are sorted within tasks and read
-    as a stream, so a surface with very many events takes no more memory.
-    """
-    sorted_events = events.repartition(F.col(key)).sortWithinPartitions(key, *order)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema.fields)
-
-    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        surface, held, n = object(), None, 0
-        for batch in batches:
-            out: list[int | None] = []
-            names = batch.schema.names
-            for at, who, what in zip(*(batch.column(names.index(c)).to_pylist() for c in (key, touch, phase)), strict=True):
-                if at != surface:
-                    surface, held, n = at, None, 0
-                if held is None and what == began:
-                    held, n = (who,), n + 1
-                inside = held is not None and held == (who,)
-                out.append(n if inside else None)
-                if inside and what in ended:
-                    held = None
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], [*names, "stroke"])
-
-    return sorted_events.mapInArrow(follow, f"{fields}, stroke long")
+    so_far = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    marked = events.withColumns({"_hit": hit, "_down": down, "_up": up}).withColumn("_n", F.sum(F.col("_down").cast("int")).over(so_far))
+    own = Window.partitionBy(key, "_n").orderBy(*order)
+    over = F.coalesce(F.max("_up").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+    held = F.first(F.when(F.col("_down"), F.struct("_hit")), ignorenulls=True).over(own)
+    return marked.withColumn(name, F.when((F.col("_n") > 0) & ~over, held["_hit"])).drop("_hit", "_down", "_up", "_n")
 
 
 def path_sum(events: DataFrame, key: str, order: list[str], delta: Column, name: str) -> DataFrame:
@@ -71,18 +77,47 @@ def path_sum(events: DataFrame, key: str, order: list[str], delta: Column, name:
 def anchored_batches(events: DataFrame, key: str, micros: Column, delay_micros: int) -> DataFrame:
     """Batches (key, anchor, n): the first event opens one, and those less than the delay later belong to it without extending it.
 
-    Times are sorted and folded within a key, in a row of its own.
+    Every moment of a key points to the first one that is at least the delay
+    later; anchors are what the pointers reach from the key's first moment. They
+    are followed by doubling: in each round the moments known to be reached are
+    joined with pointers of twice the length, so n batches take log2(n) rounds and
+    a key of very many events is dealt over all tasks. Null moments belong to no
+    batch, equal moments count each; a key without moments has no row.
     """
-    gathered = events.groupBy(key).agg(F.sort_array(F.collect_list(micros)).alias("_times"))
-    none = F.array().cast("array<struct<anchor:bigint,n:bigint>>")
-    start = F.struct(none.alias("done"), F.lit(None).cast("bigint").alias("anchor"), F.lit(0).cast("bigint").alias("n"))
-
-    def step(acc: Column, t: Column) -> Column:
-        joins = acc["anchor"].isNotNull() & (t < acc["anchor"] + delay_micros)
-        batch = F.struct(acc["anchor"].alias("anchor"), acc["n"].alias("n"))
-        done = F.when(joins | acc["anchor"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(batch)))
-        return F.struct(done.alias("done"), F.when(joins, acc["anchor"]).otherwise(t).alias("anchor"), F.when(joins, acc["n"] + 1).otherwise(F.lit(1).cast("bigint")).alias("n"))
-
-    finish = lambda acc: F.when(acc["anchor"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(F.struct(acc["anchor"].alias("anchor"), acc["n"].alias("n")))))
-    folded = gathered.select(key, F.explode(F.aggregate("_times", start, step, finish)).alias("_b"))
-    return folded.select(key, F.col("_b.anchor").alias("anchor"), F.col("_b.n").alias("n"))
+    times = events.select(F.col(key).alias("_key"), micros.cast("long").alias("_t")).where("_t is not null").groupBy("_key", "_t").agg(F.count("*").alias("_c"))
+    times = steady(times)
+    jumps = steady(_successors(times, delay_micros))
+    # What fewer than 2 ** round jumps reach, by round, and pointers of 2 ** round jumps.
+    reached, far = [steady(times.groupBy("_key").agg(F.min("_t").alias("_t")))], jumps
+    while True:
+        so_far = reduce(DataFrame.unionByName, reached)
+        more = steady(_followed(so_far.withColumn("_to", F.col("_t")), far).select("_key", F.col("_to").alias("_t")))
+        if more.isEmpty():
+            break
+        reached.append(more)
+        far = steady(_followed(far, far))
+    reached = reduce(DataFrame.unionByName, reached)
+    return _filled(times, reached).select(F.col("_key").alias(key), "anchor", "n")
+
+
+def _followed(ways: DataFrame, jumps: DataFrame) -> DataFrame:
+    """Ways (_key, _t, _to) carried on by the jump from where each of them ends."""
+    next_ = jumps.select(F.col("_key").alias("_k"), F.col("_t").alias("_from"), F.col("_to").alias("_end"))
+    met = ways.join(next_, ways["_key"].eqNullSafe(next_["_k"]) & (ways["_to"] == next_["_from"]))
+    return met.select("_key", "_t", F.col("_end").alias("_to"))
+
+
+def _successors(times: DataFrame, delay: int) -> DataFrame:
+    """For each moment the first one of its key at least the delay later (_key, _t, _to); none, no row."""
+    asks = times.select("_key", (F.col("_t") + delay).alias("_at"), F.col("_t").alias("_asked"), F.lit(None).cast("long").alias("_moment"))
+    marks = times.select("_key", F.col("_t").alias("_at"), F.lit(None).cast("long").alias("_asked"), F.col("_t").alias("_moment"))
+    # Going backwards in time, the last moment seen is the next one; at a tie the moment itself is.
+    carried = carry(asks.unionByName(marks), "_key", [F.col("_at").desc(), F.col("_moment").isNull().asc(), F.col("_asked").asc()], "_moment", "_to")
+    return carried.where("_asked is not null and _to is not null").select("_key", F.col("_asked").alias("_t"), "_to")
+
+
+def _filled(times: DataFrame, anchors: DataFrame) -> DataFrame:
+    """Events between one anchor and the next (_key, anchor, n)."""
+    rows = times.select("_key", "_t", "_c", F.lit(None).cast("long").alias("_anchor")).unionByName(anchors.select("_key", "_t", F.lit(0).cast("long").alias("_c"), F.col("_t").alias("_anchor")))
+    carried = carry(rows, "_key", [F.col("_t").asc(), F.col("_anchor").isNull().asc()], "_anchor", "anchor")
+    return carried.groupBy("_key", "anchor").agg(F.sum("_c").alias("n"))

@@ -253,7 +253,8 @@ def drag_latch(spark, sf_dir):
 
 def tracked_touch(spark, sf_dir):
     events = _t(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type", (F.col("event_id") % 2).alias("touch"))
-    out = gestures.tracked(events, "user_id", ["ts", "event_id"], "touch", "event_type", "signup", ("error",))
+    kind = F.col("event_type")
+    out = gestures.strokes(events, "user_id", ["ts", "event_id"], kind == "signup", kind == "error", touch=F.col("touch"))
     return out.where("stroke is not null").select("event_id", "stroke")
 
 
@@ -264,6 +265,17 @@ def discarded_strokes(spark, sf_dir):
     return out.where("stroke is not null").select("event_id", "stroke")
 
 
+def ink_after_clear(spark, sf_dir):
+    """Pointer events with touches told apart: what is on each surface after the last purchase cleared it, padded."""
+    events = _t(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type", (F.col("event_id") % 2).alias("touch"), "value", (F.col("event_id") % 100).cast("double").alias("y"))
+    kind = F.col("event_type")
+    out = gestures.strokes(events, "user_id", ["ts", "event_id"], kind == "signup", kind == "error", touch=F.col("touch"), clears=kind == "purchase")
+    box = gestures.ink(out, "user_id", F.col("value"), F.col("y"))
+    w, h = G.padded_extent(F.col("x0"), F.col("x1")), G.padded_extent(F.col("y0"), F.col("y1"))
+    # greatest() passes nulls over, so an empty surface is told by its missing extent.
+    return box.select("user_id", "n_strokes", (F.col("x0") - G.INK_PAD).alias("x"), (F.col("y0") - G.INK_PAD).alias("y"), F.when(F.col("x0").isNotNull(), w).alias("w"), F.when(F.col("x0").isNotNull(), h).alias("h"))
+
+
 def save_with_gaps(spark, sf_dir):
     turns = _t(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
     documents = sequence.gather(turns, "conv_id", ["turn"], ["turn", "role"])
@@ -292,7 +304,7 @@ QUERIES = (
     natural_order, ext_filter, non_blank, route, load_pages, resize, orient, quarantine, report, output_name, signed_name, version_newer, json_field,
     latest_first, append_pages, insert_at, reorder, remove_pages, extract_pages, rotate_pages, flatten, hit_test, last_stamp, has_widget,
     remove_stamp, place_stamp, thumb_fit, grid, bbox, strokes, drag_path, anchored_batches,
-    scan_pages, hit_on_page, remove_by_identity, drag_latch, tracked_touch, discarded_strokes, save_with_gaps, shown_page, grid_from_below, tag_lookup,
+    scan_pages, hit_on_page, remove_by_identity, drag_latch, tracked_touch, discarded_strokes, save_with_gaps, shown_page, grid_from_below, tag_lookup, ink_after_clear,
 )
 
 
@@ -308,6 +320,33 @@ def _edit(rows: str, order: str) -> str:
     return f"WITH p AS ({_CONV}) " + _NUMBERED.format(rows=rows, order=order)
 
 
+#: From each beginning to the next: the first stop says whether the stroke is finished; its points lie before it.
+_STROKES = """WITH e AS (SELECT user_id, event_id, event_type AS k, event_id % 2 AS touch, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+    b AS (SELECT user_id, i AS b, touch, row_number() OVER (PARTITION BY user_id ORDER BY i) AS stroke, coalesce(lead(i) OVER (PARTITION BY user_id ORDER BY i), 1000000000000000) AS next FROM e WHERE k = 'signup'),
+    f AS (SELECT b.user_id, b, stroke, b.touch, min(i) AS stop, arg_min(k, i) AS what FROM b JOIN e ON e.user_id = b.user_id AND i > b AND i < next AND k IN {stops} GROUP BY ALL),
+    p AS (SELECT e.user_id, e.event_id, stroke, i FROM f JOIN e ON e.user_id = f.user_id AND i >= b AND i < stop AND {same} WHERE what = 'error'),
+    drawn AS (SELECT * FROM p QUALIFY count(*) OVER (PARTITION BY user_id, stroke) > 1)"""
+
+#: One event after the other: the stroke that is drawn (n points and extent), and what is finished since the last clear.
+_INK = """WITH RECURSIVE e AS (SELECT user_id, event_type AS k, event_id % 2 AS touch, value AS x, (event_id % 100)::DOUBLE AS y, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+    s AS (SELECT user_id, 0::BIGINT AS i, NULL::BIGINT AS held, 0::BIGINT AS n, NULL::DOUBLE AS a, NULL::DOUBLE AS b, NULL::DOUBLE AS c, NULL::DOUBLE AS d,
+                 0::BIGINT AS m, NULL::DOUBLE AS x0, NULL::DOUBLE AS y0, NULL::DOUBLE AS x1, NULL::DOUBLE AS y1 FROM (SELECT DISTINCT user_id FROM e)
+          UNION ALL
+          SELECT user_id, i, CASE k WHEN 'signup' THEN touch WHEN 'error' THEN NULL ELSE held END,
+                 CASE WHEN k = 'signup' THEN 1 WHEN k IN ('error', 'purchase') THEN 0 WHEN on_ THEN n + 1 ELSE n END,
+                 CASE WHEN k = 'signup' THEN x WHEN k IN ('error', 'purchase') THEN NULL WHEN on_ THEN least(a, x) ELSE a END,
+                 CASE WHEN k = 'signup' THEN y WHEN k IN ('error', 'purchase') THEN NULL WHEN on_ THEN least(b, y) ELSE b END,
+                 CASE WHEN k = 'signup' THEN x WHEN k IN ('error', 'purchase') THEN NULL WHEN on_ THEN greatest(c, x) ELSE c END,
+                 CASE WHEN k = 'signup' THEN y WHEN k IN ('error', 'purchase') THEN NULL WHEN on_ THEN greatest(d, y) ELSE d END,
+                 CASE WHEN k = 'purchase' THEN 0 WHEN done THEN m + 1 ELSE m END,
+                 CASE WHEN k = 'purchase' THEN NULL WHEN done THEN least(x0, a) ELSE x0 END, CASE WHEN k = 'purchase' THEN NULL WHEN done THEN least(y0, b) ELSE y0 END,
+                 CASE WHEN k = 'purchase' THEN NULL WHEN done THEN greatest(x1, c) ELSE x1 END, CASE WHEN k = 'purchase' THEN NULL WHEN done THEN greatest(y1, d) ELSE y1 END
+          FROM (SELECT s.* EXCLUDE (i), e.i, e.k, e.touch, e.x, e.y, coalesce(s.held = e.touch, false) AND e.k NOT IN ('signup', 'error', 'purchase') AS on_, e.k = 'error' AND s.n > 1 AS done
+                FROM s JOIN e ON e.user_id = s.user_id AND e.i = s.i + 1))
+    SELECT user_id, m AS n_strokes, x0 - 10 AS x, y0 - 10 AS y, CASE WHEN m > 0 THEN greatest(1.0::DOUBLE, x1 - x0 + 20) END AS w, CASE WHEN m > 0 THEN greatest(1.0::DOUBLE, y1 - y0 + 20) END AS h
+    FROM s QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY i DESC) = 1"""
+
+
 SQL = {
     "natural_order": "SELECT p_brand, row_number() OVER (ORDER BY upper(regexp_extract(p_brand, '^[^0-9]*')), regexp_extract(p_brand, '[0-9]+')::INT, p_brand) - 1 AS position FROM (SELECT DISTINCT p_brand FROM part)",
     "ext_filter": "SELECT page_id, kind FROM (SELECT page_id, lower(regexp_extract(url, '^[a-zA-Z]+://[^/]+/([a-zA-Z]{2})/', 1)) AS kind FROM pages) WHERE kind IN ('en', 'de')",
@@ -351,9 +390,7 @@ SQL = {
     "grid": "SELECT p_partkey, i + 1 AS label, i // 3 AS row, i % 3 AS col, 12 + (i % 3) * 182 AS x FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS i FROM part)",
     "bbox": """SELECT label, x0 - 10 AS x, y0 - 10 AS y, greatest(1.0::DOUBLE, x1 - x0 + 20) AS w, greatest(1.0::DOUBLE, y1 - y0 + 20) AS h
         FROM (SELECT label, min(embedding[1]::DOUBLE) AS x0, max(embedding[1]::DOUBLE) AS x1, min(embedding[2]::DOUBLE) AS y0, max(embedding[2]::DOUBLE) AS y1 FROM embeddings GROUP BY 1)""",
-    "strokes": """WITH b AS (SELECT *, sum((event_type = 'signup')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS stroke FROM events),
-        e AS (SELECT *, coalesce(sum((event_type = 'error')::INT) OVER (PARTITION BY user_id, stroke ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended FROM b WHERE stroke > 0)
-        SELECT user_id, stroke::BIGINT AS stroke, count(*) AS n, arg_min(event_id, (ts, event_id)) AS first_event FROM e WHERE ended = 0 GROUP BY 1, 2 HAVING count(*) > 1""",
+    "strokes": f"{_STROKES.format(stops="('error')", same='TRUE')} SELECT user_id, stroke, count(*) AS n, arg_min(event_id, i) AS first_event FROM drawn GROUP BY 1, 2",
     "drag_path": "SELECT event_id, user_id, sum(value::DECIMAL(18, 2)) OVER (PARTITION BY user_id ORDER BY ts, event_id)::DOUBLE AS at FROM events",
     "anchored_batches": f"""WITH RECURSIVE t AS (SELECT user_id, epoch_us(ts) AS t FROM events),
         a AS (SELECT user_id, min(t) AS anchor FROM t GROUP BY 1
@@ -372,18 +409,9 @@ SQL = {
         e AS (SELECT *, coalesce(sum((event_type = 'error')::INT) OVER (PARTITION BY user_id, s ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended,
                 first_value(CASE WHEN value > 20 THEN event_id % 100 END) OVER (PARTITION BY user_id, s ORDER BY ts, event_id) AS held FROM b)
         SELECT event_id, CASE WHEN s > 0 AND ended = 0 THEN held END AS latch FROM e""",
-    "tracked_touch": """WITH RECURSIVE e AS (SELECT user_id, event_id, event_type AS k, event_id % 2 AS touch, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
-        s AS (SELECT user_id, 0::BIGINT AS i, NULL::BIGINT AS held, 0::BIGINT AS n, NULL::BIGINT AS event_id, false AS inside FROM (SELECT DISTINCT user_id FROM e)
-              UNION ALL
-              SELECT user_id, i, CASE WHEN inside AND k = 'error' THEN NULL ELSE cur END, n, event_id, inside
-              FROM (SELECT e.user_id, e.i, e.k, e.event_id, CASE WHEN s.held IS NULL AND e.k = 'signup' THEN e.touch ELSE s.held END AS cur,
-                           s.n + CASE WHEN s.held IS NULL AND e.k = 'signup' THEN 1 ELSE 0 END AS n, coalesce(cur = e.touch, false) AS inside
-                    FROM s JOIN e ON e.user_id = s.user_id AND e.i = s.i + 1))
-        SELECT event_id, n AS stroke FROM s WHERE inside""",
-    "discarded_strokes": """WITH b AS (SELECT *, sum((event_type = 'signup')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS stroke FROM events),
-        e AS (SELECT *, coalesce(sum((event_type = 'error')::INT) OVER (PARTITION BY user_id, stroke ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended,
-                max((event_type = 'purchase')::INT) OVER (PARTITION BY user_id, stroke) AS gone FROM b)
-        SELECT event_id, stroke::BIGINT AS stroke FROM e WHERE stroke > 0 AND ended = 0 AND gone = 0""",
+    "tracked_touch": f"{_STROKES.format(stops="('error')", same='e.touch = f.touch')} SELECT event_id, stroke FROM drawn",
+    "discarded_strokes": f"{_STROKES.format(stops="('error', 'purchase')", same='TRUE')} SELECT event_id, stroke FROM drawn",
+    "ink_after_clear": _INK,
     "save_with_gaps": f"SELECT conv_id, i AS place, turn FROM ({_CONV}) JOIN (SELECT conv_id, turn, role FROM conversations) USING (conv_id, turn) WHERE role <> 'system'",
     "shown_page": f"SELECT conv_id, coalesce(max(turn) FILTER (i = conv_id % 8), max(turn) FILTER (i = 0)) AS turn FROM ({_CONV}) GROUP BY conv_id",
     "grid_from_below": "SELECT p_partkey, greatest(250, (n + 2) // 3 * 92 + 12) - (i // 3 + 1) * 92 AS y FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS i, count(*) OVER () AS n FROM part)",

@@ -9,6 +9,7 @@ not at hand, so the quality setting of the desktop tool has no counterpart.
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
 
 import numpy as np
@@ -16,6 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.operators.ordinals import steady
+from quire.workers import ship
+
 LONG_EDGE = 1600
 
 
@@ -56,6 +60,7 @@ def orientation(content: bytes | None) -> int | None:
 
 def with_orientation(files: DataFrame) -> DataFrame:
     """Add orientation to files with content."""
+    ship(files.sparkSession)
 
     def read(batches):
         for batch in batches:
@@ -125,6 +130,7 @@ def combined(images: DataFrame, document: str, order: str, edge: int = LONG_EDGE
     Rasters are scaled before the shuffle, in Arrow batches; what a document
     gathers is its own pages.
     """
+    ship(images.sparkSession)
     has_turn = "orientation" in images.columns
     base = images.where("width is not null").select(document, order, "width", "height", "channels", "data", *(["orientation"] if has_turn else []))
 
@@ -158,20 +164,49 @@ def combined(images: DataFrame, document: str, order: str, edge: int = LONG_EDGE
 
 
 def write_documents(documents: DataFrame, folder: str, name: str) -> DataFrame:
-    """Write content to a file for each row, by the name column: rows (file, length). A file that cannot be written fails its task."""
+    """Write content to a file for each row, by the name column: rows (file, length), once all are there.
+
+    Each attempt of a task writes under names of its own; the rows of those that
+    succeeded are written down, and their files then get their last names, by a
+    rename each. So a task that fails leaves nothing under a last name, one that
+    runs twice does no harm, and a failing write ends with an error and no files.
+    Names should be distinct; of rows with one name the last to be renamed stays.
+    """
+    spark = documents.sparkSession
+    staging = f"{folder.rstrip('/')}/.writing-{uuid.uuid4().hex}"
 
     def write(batches):
         from pyarrow import fs
 
-        store, inner = fs.FileSystem.from_uri(folder)
+        store, inner = fs.FileSystem.from_uri(staging)
         store.create_dir(inner, recursive=True)
         for batch in batches:
-            done = []
+            rows = []
             for r in batch.to_pylist():
-                with store.open_output_stream(f"{inner}/{r['name']}") as out:
+                part = uuid.uuid4().hex
+                with store.open_output_stream(f"{inner}/{part}") as out:
                     out.write(r["content"])
-                done.append((f"{folder}/{r['name']}", len(r["content"])))
-            files, sizes = zip(*done, strict=True) if done else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(files, pa.string()), pa.array(sizes, pa.int64())], ["file", "length"])
+                rows.append((part, r["name"], len(r["content"])))
+            parts, names, sizes = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.string()), pa.array(names, pa.string()), pa.array(sizes, pa.int64())], ["part", "name", "length"])
 
-    return documents.select(F.col(name).alias("name"), "content").mapInArrow(write, "file string, length long")
+    def rename(batches):
+        from pyarrow import fs
+
+        store, inner = fs.FileSystem.from_uri(staging)
+        last = inner.rpartition("/")[0]
+        for batch in batches:
+            for r in batch.to_pylist():
+                # A task that runs twice finds its file moved already.
+                if store.get_file_info(f"{inner}/{r['part']}").type == fs.FileType.File:
+                    store.move(f"{inner}/{r['part']}", f"{last}/{r['name']}")
+            files = [f"{folder.rstrip('/')}/{x}" for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(files, pa.string()), batch.column(2)], ["file", "length"])
+
+    top = spark._jvm.org.apache.hadoop.fs.Path(staging)
+    store = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        written = steady(documents.select(F.col(name).alias("name"), "content").mapInArrow(write, "part string, name string, length long"))
+        return steady(written.mapInArrow(rename, "file string, length long"))
+    finally:
+        store.delete(top, True)

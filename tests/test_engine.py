@@ -1,5 +1,6 @@
 """Sequences, stamps, gestures, files and images."""
 
+import random
 import struct
 import time
 import zlib
@@ -71,12 +72,59 @@ def test_put_on_top(spark):
     assert {(r.page, r.z) for r in got} == {(1, 4), (1, 5), (2, 0)}
 
 
-def test_strokes(spark):
-    phases = ["moved", "began", "moved", "ended", "moved", "began", "began", "moved", "switch", "began", "cancelled"]
+def fold_strokes(events):
+    """(surface, i) of the points of finished strokes and (surface, epoch, n) of strokes, read one event after the other."""
+    out, strokes = {}, []
+    for surface in {e[0] for e in events}:
+        held, current, epoch, begun = None, [], 0, 0
+        for _, i, phase, touch in sorted(e for e in events if e[0] == surface):
+            if phase == "began":
+                held, current, begun = (touch,), [i], begun + 1
+            elif phase == "moved" and held == (touch,):
+                current.append(i)
+            elif phase in ("ended", "cancelled", "discard"):
+                if len(current) > 1 and phase != "discard":
+                    strokes.append((surface, begun, epoch, len(current)))
+                    out |= {(surface, j): begun for j in current}
+                held, current = None, []
+            elif phase == "clear":
+                epoch, current = epoch + 1, []
+    return out, strokes
+
+
+def pointer_events(n, seed):
+    rng = random.Random(seed)
+    phases = ["began", "moved", "moved", "moved", "ended", "cancelled", "discard", "clear"]
+    return [(rng.choice("ab"), i, rng.choice(phases), rng.choice(["l", "r"])) for i in range(n)]
+
+
+def marked_strokes(df):
+    p = F.col("phase")
+    return gestures.strokes(df, "surface", ["i"], p == "began", p.isin("ended", "cancelled"), moves=p == "moved", touch=F.col("touch"), discards=p == "discard", clears=p == "clear")
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_strokes(spark, seed):
+    events = pointer_events(400, seed)
+    got = marked_strokes(spark.createDataFrame(events, "surface string, i long, phase string, touch string")).collect()
+    points, strokes = fold_strokes(events)
+    assert {(r.surface, r.i): r.stroke for r in got if r.stroke is not None} == points
+    assert {(r.surface, r.stroke, r.epoch) for r in got if r.stroke is not None} == {s[:3] for s in strokes}
+
+
+def test_strokes_need_an_end_and_two_points(spark):
+    phases = ["began", "ended", "began", "moved", "began", "moved", "moved", "ended", "moved"]
     df = spark.createDataFrame([("s", i, p) for i, p in enumerate(phases)], "surface string, i int, phase string")
     p = F.col("phase")
-    got = gestures.strokes(df, "surface", ["i"], p == "began", p.isin("ended", "cancelled"), p == "switch").orderBy("i").collect()
-    assert [r.stroke for r in got] == [None, 1, 1, 1, None, 2, None, None, None, 4, 4]
+    got = gestures.strokes(df, "surface", ["i"], p == "began", p == "ended").orderBy("i").collect()
+    assert [r.stroke for r in got] == [None] * 4 + [3, 3, 3, None, None] and "epoch" not in got[0].asDict()
+
+
+def test_ink_of_surfaces(spark):
+    rows = [("a", 0, "began"), ("a", 1, "moved"), ("a", 5, "ended"), ("a", 3, "moved"), ("b", 0, "began"), ("b", 2, "moved"), ("b", 4, "ended"), ("b", 9, "clear"), ("c", 0, "moved")]
+    df = spark.createDataFrame([(*r, None) for r in rows], "surface string, i long, phase string, touch string")
+    got = {r.surface: (r.n_strokes, r.x0, r.x1) for r in gestures.ink(marked_strokes(df), "surface", F.col("i"), F.col("i")).collect()}
+    assert got == {"a": (1, 0, 3), "b": (0, None, None), "c": (0, None, None)}
 
 
 def test_anchored_batches(spark):
@@ -84,6 +132,17 @@ def test_anchored_batches(spark):
     df = spark.createDataFrame([("k", t) for t in times], "k string, t long")
     got = sorted((r.anchor, r.n) for r in gestures.anchored_batches(df, "k", F.col("t"), 10).collect())
     assert got == [(0, 3), (10, 3), (20, 1), (35, 1)]
+    rng = random.Random(4)
+    events = [(rng.choice(["a", "a", None]), rng.choice([None, rng.randrange(3000)])) for _ in range(900)]
+    want = {}
+    for key in ("a", None):
+        anchor = None
+        for t in sorted(t for k, t in events if k == key and t is not None):
+            anchor = t if anchor is None or t >= anchor + 7 else anchor
+            want[key, anchor] = want.get((key, anchor), 0) + 1
+    df = spark.createDataFrame(events, "k string, t long")
+    assert {(r.k, r.anchor): r.n for r in gestures.anchored_batches(df, "k", F.col("t"), 7).collect()} == want
+    assert gestures.anchored_batches(df.limit(0), "k", F.col("t"), 7).count() == 0
 
 
 def test_routes(spark):
@@ -122,7 +181,17 @@ def test_images_to_pdf(spark, folder):
     row = made.first()
     assert row.n_pages == 2 and images.pdf_pages(bytes(row.content)) == [(8, 4), (1600, 8)]
     written = images.write_documents(made.withColumn("name", F.lit("out.pdf")), f"file://{folder}/out", "name").collect()
-    assert (folder / "out" / "out.pdf").stat().st_size == written[0].length
+    assert (folder / "out" / "out.pdf").stat().st_size == written[0].length and [p.name for p in (folder / "out").iterdir() if not p.name.startswith(".")] == ["out.pdf"]
+
+
+def test_a_failing_write_leaves_nothing(spark, tmp_path):
+    rows = spark.createDataFrame([("a.pdf", b"a"), ("b.pdf", b"b")], "name string, content binary").coalesce(1)
+    fails = rows.withColumn("content", F.when(F.col("name") == "b.pdf", F.raise_error(F.lit("no")).cast("binary")).otherwise(F.col("content")))
+    with pytest.raises(Exception, match="no"):
+        images.write_documents(fails, f"file://{tmp_path}/out", "name")
+    assert not [p for p in (tmp_path / "out").rglob("*") if p.is_file()] if (tmp_path / "out").exists() else True
+    assert sorted(r.file for r in images.write_documents(rows, f"file://{tmp_path}/out", "name").collect()) == [f"file://{tmp_path}/out/a.pdf", f"file://{tmp_path}/out/b.pdf"]
+    assert sorted(p.name for p in (tmp_path / "out").rglob("*") if p.is_file()) == ["a.pdf", "b.pdf"]
 
 
 def test_orientation_tag():
@@ -135,15 +204,26 @@ def test_orientation_tag():
     assert images.upright(p, 2)[0, 0, 0] == 2 and images.upright(p, 3)[0, 0, 0] == 5 and images.upright(p, 8)[0, 0, 0] == 2
 
 
-def test_stroke_stream(spark, tmp_path):
+def test_stroke_stream_equals_batch(spark, tmp_path):
+    """Events in any order within the delay, over several batches, give the strokes of the batch operator."""
     from quire.streaming import batches
 
-    rows = [("s", p, float(i), 0.0) for i, p in enumerate(["began", "moved", "ended", "began", "ended", "began", "cancelled", "moved"])]
-    spark.createDataFrame(rows, "surface string, phase string, x double, y double").coalesce(1).write.parquet(str(tmp_path / "in"))
-    events = spark.readStream.schema("surface string, phase string, x double, y double").parquet(str(tmp_path / "in"))
-    query = batches.stroke_stream(events).writeStream.format("memory").queryName("strokes_out").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    query.awaitTermination(120)
-    assert [(r.surface, r.n) for r in spark.table("strokes_out").collect()] == [("s", 2)]
+    events = pointer_events(240, 7)
+    kind = "surface string, i long, phase string, touch string"
+    rows = spark.createDataFrame([*events, ("z", 100_000, "began", "l")], kind).selectExpr("*", "timestamp_seconds(i) as at", "i as seq", "i % 17 as x", "i % 13 as y")
+    rng = random.Random(3)
+    order = sorted(range(240), key=lambda i: i + rng.uniform(0, 20))
+    for n, part in enumerate([order[:90], order[90:170], order[170:], [100_000]]):
+        rows.where(F.col("i").isin(part)).orderBy(F.rand(n)).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+        time.sleep(0.05)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    query = batches.stroke_stream(stream, "60 seconds").writeStream.format("memory").queryName("strokes_out").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination(240)
+    got = spark.table("strokes_out").collect()
+    marked = marked_strokes(rows.where("surface <> 'z'"))
+    want = marked.where("stroke is not null").groupBy("surface", "stroke", "epoch").agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1")).collect()
+    assert sorted(tuple(r) for r in got if r.stroke is not None) == sorted(tuple(r) for r in want) and want
+    assert sum(r.stroke is None for r in got) == sum(e[2] == "clear" for e in events)
 
 
 def test_anchored_stream(spark, tmp_path):
