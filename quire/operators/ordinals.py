@@ -39,8 +39,8 @@ def global_ordinal(df: DataFrame, name: str, *order) -> DataFrame:
     return joined.withColumn(name, F.col("_q_start") + F.col("_q_id").bitwiseAND((1 << 33) - 1)).drop("_q_id", "_q_part", "_q_start")
 
 
-def carry(df: DataFrame, key: str, order: list[Column], value: str, name: str) -> DataFrame:
-    """Add the last value that is not null of a key's rows up to each row, in an order.
+def carry(df: DataFrame, key: str, order: list[Column], value: str, name: str, after: str | None = None) -> DataFrame:
+    """Add the last value that is not null of a key's rows up to each row, in an order, and as after the first one that follows.
 
     Rows are sorted by range, so a key of very many rows lies in several parts.
     Within a part a window carries the value; across parts it is carried over one
@@ -48,14 +48,23 @@ def carry(df: DataFrame, key: str, order: list[Column], value: str, name: str) -
     """
     ranged = steady(df.repartitionByRange(F.col(key).asc(), *order).sortWithinPartitions(F.col(key).asc(), *order).withColumn("_q_id", F.monotonically_increasing_id()))
     ranged = ranged.withColumn("_q_part", F.shiftright("_q_id", 33))
-    ends = ranged.where(F.col(value).isNotNull()).groupBy(F.col(key).alias("_q_key"), "_q_part").agg(F.max_by(value, "_q_id").alias("_q_last"))
-    parts = ranged.groupBy(F.col(key).alias("_q_key"), "_q_part").agg(F.lit(1).alias("_q_one")).drop("_q_one")
-    parts = parts.join(ends.withColumnsRenamed({"_q_key": "_q_k", "_q_part": "_q_p"}), F.col("_q_key").eqNullSafe(F.col("_q_k")) & (F.col("_q_part") == F.col("_q_p")), "left")
-    before = Window.partitionBy("_q_key").orderBy("_q_part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select("_q_key", F.col("_q_part").alias("_q_of"), F.last("_q_last", ignorenulls=True).over(before).alias("_q_before")).where("_q_before is not null")
-    inside = F.last(value, ignorenulls=True).over(Window.partitionBy(key, "_q_part").orderBy("_q_id").rowsBetween(Window.unboundedPreceding, 0))
-    joined = ranged.withColumn("_q_seen", inside).join(parts, F.col(key).eqNullSafe(F.col("_q_key")) & (F.col("_q_part") == F.col("_q_of")), "left")
-    return joined.withColumn(name, F.coalesce("_q_seen", "_q_before")).drop("_q_id", "_q_part", "_q_key", "_q_of", "_q_seen", "_q_before")
+    held = F.when(F.col(value).isNotNull(), F.col("_q_id"))
+    parts = ranged.groupBy(F.col(key).alias("_q_key"), F.col("_q_part").alias("_q_of")).agg(F.max_by(value, held).alias("_q_last"), F.min_by(value, held).alias("_q_first"))
+    over = Window.partitionBy("_q_key").orderBy("_q_of")
+    parts = parts.select(
+        "_q_key", "_q_of", F.last("_q_last", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("_q_before"),
+        F.first("_q_first", ignorenulls=True).over(over.rowsBetween(1, Window.unboundedFollowing)).alias("_q_after"),
+    )
+    inside = Window.partitionBy(key, "_q_part").orderBy("_q_id")
+    seen = ranged.withColumn("_q_seen", F.last(value, ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    if after:
+        # What follows, found going backwards: windows that only grow take one step a row.
+        backwards = Window.partitionBy(key, "_q_part").orderBy(F.col("_q_id").desc())
+        seen = seen.withColumn("_q_next", F.last(value, ignorenulls=True).over(backwards.rowsBetween(Window.unboundedPreceding, -1)))
+    joined = seen.join(parts, F.col(key).eqNullSafe(F.col("_q_key")) & (F.col("_q_part") == F.col("_q_of")), "left").withColumn(name, F.coalesce("_q_seen", "_q_before"))
+    if after:
+        joined = joined.withColumn(after, F.coalesce("_q_next", "_q_after")).drop("_q_next")
+    return joined.drop("_q_id", "_q_part", "_q_key", "_q_of", "_q_seen", "_q_before", "_q_after")
 
 
 def local_ordinal(df: DataFrame, name: str, keys: list[str], *order) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.operators.ordinals import carry
+
 
 def flattened(pages: DataFrame, stamps: DataFrame, keys: list[str], order: list[str], value: Column, name: str = "stamps") -> DataFrame:
     """Every page with the values of its stamps in z order; a page without stamps has an empty array.
@@ -29,6 +31,26 @@ def under_point_of_page(points: DataFrame, rectangles: DataFrame, page: list[str
     return met.groupBy(*point_key).agg(F.max(F.when(fits, top)).alias(name))
 
 
+def nearest_page(points: DataFrame, pages: DataFrame, document: str, at: Column, begin: Column, size: Column, page: str, name: str = "nearest") -> DataFrame:
+    """Add to each point the page of its document that is nearest along the strip of pages, and distance, 0 on the page.
+
+    Pages take begin up to begin + size, that end not included; they lie one after
+    the other. Ties go to the lower page. A point of a document without pages, or
+    without a place, has null. Points and pages are sorted together, so a point
+    meets the page before it and the one after it, and a document of very many
+    points is dealt over tasks.
+    """
+    box = F.struct(begin.cast("double").alias("begin"), (begin + size).cast("double").alias("end"), F.col(page).alias("page"))
+    boxes = pages.select(F.col(document).alias("_doc"), begin.cast("double").alias("_at"), box.alias("_box"), F.lit(None).cast(points.select(F.struct("*")).schema[0].dataType).alias("_point"))
+    asked = points.select(F.col(document).alias("_doc"), at.cast("double").alias("_at"), F.lit(None).cast(boxes.schema["_box"].dataType).alias("_box"), F.struct("*").alias("_point"))
+    placed = carry(boxes.where("_at is not null").unionByName(asked), "_doc", [F.col("_at").asc(), F.col("_box").isNull().asc()], "_box", "_before", "_after").where("_box is null")
+    here = F.col("_at")
+    gap = lambda b: F.when(here < b["begin"], b["begin"] - here).when(here >= b["end"], here - b["end"]).otherwise(F.lit(0.0))
+    choice = lambda b: F.when(b.isNotNull() & here.isNotNull(), F.struct(gap(b).alias("distance"), b["page"].alias("page")))
+    best = placed.withColumn("_best", F.least(choice(F.col("_before")), choice(F.col("_after"))))
+    return best.select("_point.*", F.col("_best.page").alias(name), F.col("_best.distance").alias("distance"))
+
+
 def removed_by_identity(stamps: DataFrame, gone: DataFrame, identity: list[str]) -> DataFrame:
     """Stamps without those that are named; what names no stamp changes nothing."""
     return stamps.join(gone.select(*identity).distinct(), identity, "left_anti")

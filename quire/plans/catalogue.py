@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import geometry as G
 from quire.functions import naming as N
-from quire.operators import gestures, ordinals, sequence, stamps
+from quire.operators import gestures, ordinals, sequence, sessions, stamps
 from quire.sources import files
 
 DELAY = 6 * 3600 * 1_000_000
@@ -300,11 +300,45 @@ def tag_lookup(spark, sf_dir):
     return ordinals.at_place(library, "i", tags, "tag").select("s_suppkey", "p_partkey")
 
 
+def nearest_page(spark, sf_dir):
+    """Orders as pages of 20 long documents, lines as points, some of them before, between and after all pages."""
+    pages = _t(spark, sf_dir, "orders").select((F.col("o_orderkey") % 20).alias("doc"), "o_orderkey")
+    points = _t(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 20).alias("doc"), "l_orderkey", "l_linenumber", "l_partkey", (F.col("l_partkey") * 80 + F.col("l_quantity") - 100).alias("place"))
+    out = stamps.nearest_page(points, pages, "doc", F.col("place"), F.col("o_orderkey") * 10, F.col("o_orderkey") % 150 + 4, "o_orderkey")
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", "place", F.col("nearest").alias("page"), "distance")
+
+
+def stamp_selection(spark, sf_dir):
+    """Events as a log: sign-ups add a stamp on one of three pages, clicks are on an earlier stamp or on nothing, errors remove."""
+    events = _t(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type")
+    kind = F.col("event_type")
+    action = F.when(kind == "signup", "add").when(kind == "click", "click").when(kind == "error", "remove")
+    added = gestures.path_sum(events.withColumn("action", action), "user_id", ["ts", "event_id"], (kind == "signup").cast("long"), "n")
+    which = F.when(kind == "signup", F.col("n")).otherwise(F.col("event_id") % (F.col("n") + 1))
+    out = sessions.selection(added.withColumn("stamp", which).withColumn("page", (which % 3).cast("int")), "user_id", ["ts", "event_id"], "action", "stamp", "page")
+    return out.select("event_id", "selected", "removed", "n_live")
+
+
+def drag_stamps(spark, sf_dir):
+    """Events as a pointer over five overlapping stamps of each user; later events meet them where earlier ones have left them."""
+    events = _t(spark, sf_dir, "events")
+    kind = F.col("event_type")
+    phase = F.when(kind == "signup", "down").when(kind == "error", "up").otherwise("drag")
+    none = F.lit(None).cast("double")
+    pointer = events.select("user_id", (F.unix_micros(F.col("ts").cast("timestamp"))).alias("at"), "event_id", phase.alias("phase"), F.lit(None).cast("int").alias("stamp"), F.lit(0).alias("page"), F.col("value").alias("x"), (F.col("event_id") % 50).cast("double").alias("y"), none.alias("w"), none.alias("h"))
+    users = events.select("user_id").distinct().withColumn("stamp", F.explode(F.sequence(F.lit(0), F.lit(4))))
+    x, y = F.col("stamp") * 12.0 + F.col("user_id") % 10, F.col("stamp") * 6.0
+    placed = users.select("user_id", F.lit(-(1 << 62)).alias("at"), F.col("stamp").cast("long").alias("event_id"), F.lit("place").alias("phase"), "stamp", F.lit(0).alias("page"), x.alias("x"), y.alias("y"), F.lit(25.0).alias("w"), F.lit(20.0).alias("h"))
+    out = sessions.drags(placed.unionByName(pointer), "user_id", ["at", "event_id"], "phase", "stamp", "page").where("phase <> 'place'")
+    return out.select("event_id", "held", "at_x", "at_y")
+
+
 QUERIES = (
     natural_order, ext_filter, non_blank, route, load_pages, resize, orient, quarantine, report, output_name, signed_name, version_newer, json_field,
     latest_first, append_pages, insert_at, reorder, remove_pages, extract_pages, rotate_pages, flatten, hit_test, last_stamp, has_widget,
     remove_stamp, place_stamp, thumb_fit, grid, bbox, strokes, drag_path, anchored_batches,
     scan_pages, hit_on_page, remove_by_identity, drag_latch, tracked_touch, discarded_strokes, save_with_gaps, shown_page, grid_from_below, tag_lookup, ink_after_clear,
+    nearest_page, stamp_selection, drag_stamps,
 )
 
 
@@ -412,6 +446,31 @@ SQL = {
     "tracked_touch": f"{_STROKES.format(stops="('error')", same='e.touch = f.touch')} SELECT event_id, stroke FROM drawn",
     "discarded_strokes": f"{_STROKES.format(stops="('error', 'purchase')", same='TRUE')} SELECT event_id, stroke FROM drawn",
     "ink_after_clear": _INK,
+    "nearest_page": """WITH p AS (SELECT row_number() OVER () AS r, l_orderkey, l_linenumber, l_partkey, l_partkey * 80 + l_quantity - 100 AS place FROM lineitem),
+        d AS (SELECT r, o_orderkey AS page, greatest(o_orderkey * 10 - place, place - (o_orderkey * 10 + o_orderkey % 150 + 4), 0) AS d FROM p JOIN orders ON o_orderkey % 20 = l_orderkey % 20)
+        SELECT l_orderkey, l_linenumber, l_partkey, place, page, distance FROM p JOIN (SELECT r, min((d, page))[1] AS distance, min((d, page))[2] AS page FROM d GROUP BY r) USING (r)""",
+    "stamp_selection": """WITH RECURSIVE e AS (SELECT user_id, event_id, event_type AS k, row_number() OVER w AS i, sum((event_type = 'signup')::INT) OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+        s AS (SELECT user_id, 0::BIGINT AS i, NULL::BIGINT AS event_id, NULL::BIGINT AS sel, NULL::BIGINT AS removed, []::BIGINT[] AS live FROM (SELECT DISTINCT user_id FROM e)
+              UNION ALL
+              SELECT user_id, i, event_id, CASE WHEN k = 'signup' THEN code WHEN k = 'click' AND list_contains(live, code) THEN code WHEN k = 'error' THEN list_max(left_) ELSE sel END,
+                     CASE WHEN k = 'error' THEN gone END, CASE WHEN k = 'signup' THEN list_append(live, code) WHEN k = 'error' THEN left_ ELSE live END
+              FROM (SELECT *, list_filter(live, lambda x: gone IS NULL OR x <> gone) AS left_
+                    FROM (SELECT s.user_id, e.i, e.event_id, e.k, s.sel, s.live, coalesce(s.sel, list_max(s.live)) AS gone,
+                                 CASE WHEN e.k = 'signup' THEN e.n % 3 * 1000000 + e.n ELSE e.event_id % (e.n + 1) % 3 * 1000000 + e.event_id % (e.n + 1) END::BIGINT AS code
+                          FROM s JOIN e ON e.user_id = s.user_id AND e.i = s.i + 1)))
+        SELECT event_id, sel % 1000000 AS selected, removed % 1000000 AS removed, len(live)::BIGINT AS n_live FROM s WHERE i > 0""",
+    "drag_stamps": """WITH RECURSIVE e AS (SELECT user_id, event_id, event_type AS k, value AS px, (event_id % 50)::DOUBLE AS py, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+        s AS (SELECT user_id, 0::BIGINT AS i, NULL::BIGINT AS event_id, NULL::INT AS held, NULL::INT AS shown, NULL::DOUBLE AS lx, NULL::DOUBLE AS ly,
+                     list_transform(range(5), lambda z: {'x': z * 12.0::DOUBLE + user_id % 10, 'y': z * 6.0::DOUBLE}) AS b FROM (SELECT DISTINCT user_id FROM e)
+              UNION ALL
+              SELECT user_id, i, event_id, CASE WHEN k = 'signup' THEN coalesce(hit, held) WHEN k = 'error' THEN NULL ELSE held END,
+                     CASE WHEN k = 'signup' THEN hit ELSE held END,
+                     CASE WHEN k <> 'signup' AND held IS NOT NULL OR hit IS NOT NULL THEN px ELSE lx END, CASE WHEN k <> 'signup' AND held IS NOT NULL OR hit IS NOT NULL THEN py ELSE ly END,
+                     CASE WHEN k NOT IN ('signup', 'error') AND held IS NOT NULL THEN list_transform(b, lambda v, z: CASE WHEN z - 1 = held THEN {'x': v.x + (px - lx), 'y': v.y + (py - ly)} ELSE v END) ELSE b END
+              FROM (SELECT s.user_id, e.i, e.event_id, e.k, e.px, e.py, s.held, s.lx, s.ly, s.b,
+                           CASE WHEN e.k = 'signup' THEN list_max(list_filter(range(5), lambda z: e.px >= s.b[z + 1].x AND e.px < s.b[z + 1].x + 25 AND e.py >= s.b[z + 1].y AND e.py < s.b[z + 1].y + 20)) END::INT AS hit
+                    FROM s JOIN e ON e.user_id = s.user_id AND e.i = s.i + 1))
+        SELECT event_id, shown AS held, b[shown + 1].x AS at_x, b[shown + 1].y AS at_y FROM s WHERE i > 0""",
     "save_with_gaps": f"SELECT conv_id, i AS place, turn FROM ({_CONV}) JOIN (SELECT conv_id, turn, role FROM conversations) USING (conv_id, turn) WHERE role <> 'system'",
     "shown_page": f"SELECT conv_id, coalesce(max(turn) FILTER (i = conv_id % 8), max(turn) FILTER (i = 0)) AS turn FROM ({_CONV}) GROUP BY conv_id",
     "grid_from_below": "SELECT p_partkey, greatest(250, (n + 2) // 3 * 92 + 12) - (i // 3 + 1) * 92 AS y FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS i, count(*) OVER () AS n FROM part)",

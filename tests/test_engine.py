@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quire.operators import gestures, ordinals, sequence, stamps
+from quire.operators import gestures, ordinals, sequence, sessions, stamps
 from quire.sources import files, images
 
 CASES = [([0, 1, 2, 3, 4, 5], [0, 2], 4), ([], [], 0), ([7], [0], 5), ([1, 2, 3], [0, 1, 2], 1), ([1, 2, 3], [2], -4), ([1, 2, 3], [0], 99), ([1, 2, 3, 4], [1, 3, 9], 2), ([1, 2], [], 1)]
@@ -66,6 +66,53 @@ def test_flatten_keeps_bare_pages(spark):
     assert got == {1: ["a", "b"], 2: []}
 
 
+def test_nearest_page(spark):
+    pages = spark.createDataFrame([("a", 0.0, 10.0, 0), ("a", 12.0, 8.0, 1), ("a", 30.0, 1.0, 2), ("b", 0.0, 1.0, 0), ("a", None, 1.0, 9)], "doc string, y double, h double, page int")
+    at = [-5.0, 0.0, 9.5, 10.0, 11.0, 11.5, 12.0, 25.0, 25.5, 99.0]
+    points = spark.createDataFrame([("a", y, "x") for y in at] + [("c", 1.0, None), ("a", None, None), (None, 1.0, None)], "doc string, y double, page string")
+    got = stamps.nearest_page(points.withColumnRenamed("y", "py"), pages, "doc", F.col("py"), F.col("y"), F.col("h"), "page").collect()
+    assert len(got) == len(at) + 3 and {r.py: (r.nearest, r.distance) for r in got if r.doc == "a"} == {
+        -5.0: (0, 5.0), 0.0: (0, 0.0), 9.5: (0, 0.0), 10.0: (0, 0.0), 11.0: (0, 1.0), 11.5: (1, 0.5), 12.0: (1, 0.0), 25.0: (1, 5.0), 25.5: (2, 4.5), 99.0: (2, 68.0), None: (None, None),
+    }
+    assert all(r.nearest is None for r in got if r.doc != "a")
+
+
+def test_selection_by_brute_force(spark):
+    rng = random.Random(11)
+    log = [(rng.choice(["d", "e", None]), i, rng.choice(["add", "add", "click", "remove", "scroll", None]), rng.choice([None, *range(12)]), rng.choice([None, 0, 1, 2])) for i in range(600)]
+    df = spark.createDataFrame(log, "doc string, i int, action string, stamp int, page int")
+    got = {r.i: (r.selected, r.removed, r.n_live) for r in sessions.selection(df, "doc", ["i"], "action", "stamp", "page").collect()}
+    for doc in ("d", "e", None):
+        pages, selected = {}, None  # page: stamps, oldest first
+        last = lambda: next((pages[p][-1] for p in sorted(pages, reverse=True) if pages[p]), None)  # noqa: B023, E731
+        for _, i, action, stamp, page in (e for e in log if e[0] == doc):
+            gone, alive = None, [s for own in pages.values() for s in own]
+            if action == "add" and stamp is not None:
+                for own in pages.values():
+                    own[:] = [s for s in own if s != stamp]
+                pages.setdefault(page or 0, []).append(stamp)
+                selected = stamp
+            elif action == "click" and stamp in alive:
+                selected = stamp
+            elif action == "remove":
+                gone = last() if selected is None else selected
+                for own in pages.values():
+                    own[:] = [s for s in own if s != gone]
+                selected = last()
+            assert got[i] == (selected, gone, sum(map(len, pages.values())))
+
+
+def test_drags_meet_boxes_where_they_are(spark):
+    placed = [("d", 0, "place", "low", 0, 0.0, 0.0, 10.0, 10.0), ("d", 1, "place", "top", 0, 5.0, 5.0, 10.0, 10.0), ("d", 2, "place", "far", 1, 0.0, 0.0, 10.0, 10.0)]
+    moves = [("drag", 6, 6), ("down", 6, 6), ("drag", 26, 6), ("up", 0, 0), ("down", 6, 6), ("drag", 7, 8), ("down", 99, 99), ("drag", 8, 8), ("up", 0, 0), ("down", 10, 11), ("drag", None, 1), ("down", 26, 6), ("up", 0, 0), ("up", 0, 0)]
+    log = placed + [("d", 3 + i, phase, None, 0, None if x is None else float(x), float(y), None, None) for i, (phase, x, y) in enumerate(moves)]
+    df = spark.createDataFrame(log, "doc string, i int, phase string, stamp string, page int, x double, y double, w double, h double")
+    got = [(r.held, r.at_x, r.at_y) for r in sessions.drags(df, "doc", ["i"], "phase", "stamp", "page").where("i > 2").orderBy("i").collect()]
+    assert got == [
+        (None, None, None), ("top", 5, 5), ("top", 25, 5), ("top", 25, 5), ("low", 0, 0), ("low", 1, 2), (None, None, None), ("low", 2, 2), ("low", 2, 2), ("low", 2, 2), ("top", 25, 5), ("top", 25, 5), (None, None, None),
+    ]
+
+
 def test_put_on_top(spark):
     kind = "page int, z int, image string"
     got = stamps.put_on_top(spark.createDataFrame([(1, 4, "a")], kind), spark.createDataFrame([(1, 0, "b"), (2, 0, "c")], kind), ["page"]).collect()
