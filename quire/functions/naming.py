@@ -54,19 +54,23 @@ def is_blank(text: Column) -> Column:
     return F.coalesce(trimmed(text) == "", F.lit(True))
 
 
-def natural_key(name: Column) -> Column:
+def natural_key(name: Column, collation: str | None = None) -> Column:
     """Sort key under which numbers within names compare by value and letters without case.
 
     The name falls into text and digit runs in turn, beginning with a text that
     may be empty. Ordering by this array compares run by run and puts the
     shorter name first. Add the input's ordinal as a last key to keep ties stable.
+    With a collation (such as UNICODE_CI, or a language's) texts compare by it
+    instead, so accents and cases stand where a reader looks for them.
     """
     parts = F.split(F.regexp_replace(F.coalesce(name, F.lit("")), "([0-9]+)", "\u0001$1\u0001"), "\u0001", -1)
 
+    text = lambda c: c if collation is None else F.collate(c, collation)
+
     def key(part: Column) -> Column:
         digits = F.regexp_replace(part, "^0+(?=[0-9])", "")
         number = part.rlike("^[0-9]+$")
-        return F.struct(F.when(number, F.length(digits)).otherwise(0).alias("n"), F.when(number, digits).otherwise(F.upper(part)).alias("s"))
+        return F.struct(F.when(number, F.length(digits)).otherwise(0).alias("n"), text(F.when(number, digits).otherwise(F.upper(part) if collation is None else part)).alias("s"))
 
     return F.transform(parts, key)
 

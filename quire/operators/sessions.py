@@ -42,6 +42,91 @@ def replay(events: DataFrame, document: str, order: list[str], made: str, begin:
     return sorted_events.mapInArrow(read, schema)
 
 
+def _picked(pages: list, wanted: list | None) -> list[int]:
+    """Places that are there, each once, ascending."""
+    return sorted({i for i in wanted or () if i is not None and 0 <= i < len(pages)})
+
+
+class Tray:
+    """The pages of a new document while it is edited, and what is being dragged. A page is [place in the source, rotation]."""
+
+    def __init__(self):
+        self.source, self.pages = 0, []
+        self.dragged: dict[str, list[int] | None] = {"source": None, "tray": None}
+
+    def step(self, op: str, sel: list[int] | None, target: int | None, n: int | None) -> None:
+        if op == "file":
+            self.source += max(n or 0, 0)
+        elif op == "add":
+            self.pages += self._copies(sel)
+        elif op == "add_all":
+            self.pages += self._copies(range(self.source))
+        elif op in ("drag_source", "drag_tray"):
+            self.dragged[op[5:]] = sel
+        elif op == "drop_source":
+            self._insert(self._copies(self.dragged["source"]), target)
+            self.dragged["source"] = None
+        elif op == "drop_tray":
+            taken = _picked(self.pages, self.dragged["tray"])
+            moving = [self.pages[i] for i in taken]
+            gone = set(taken)
+            self.pages = [p for i, p in enumerate(self.pages) if i not in gone]
+            self._insert(moving, (target or 0) - sum(i < (target or 0) for i in taken))
+            self.dragged["tray"] = None
+        elif op == "rotate":
+            for i in _picked(self.pages, sel):
+                self.pages[i] = [self.pages[i][0], (self.pages[i][1] + 90) % 360]
+        elif op == "remove":
+            gone = set(_picked(self.pages, sel))
+            self.pages = [p for i, p in enumerate(self.pages) if i not in gone]
+
+    def _copies(self, wanted) -> list[list[int]]:
+        return [[i, 0] for i in _picked(range(self.source), wanted)]
+
+    def _insert(self, pages: list, target: int | None) -> None:
+        at = min(max(target or 0, 0), len(self.pages))
+        self.pages[at:at] = pages
+
+
+def edited(log: DataFrame, document: str, order: list[str]) -> DataFrame:
+    """The pages that a session of edits leaves: (document, page_ord, source_ord, rotation), a row for each.
+
+    The log has op, sel (array of places), target and n. file: n more pages in the
+    source. add, add_all: copies of source pages at the end of the tray.
+    drag_source, drag_tray: remembers sel; drop_source, drop_tray: puts copies of
+    what was remembered, or moves it, before target, which counts pages before the
+    move and is brought into 0 to n; then nothing is remembered. rotate, remove:
+    the pages at sel. Places that are not there are passed over, null counts as
+    none or 0, other ops change nothing. A document whose tray is empty has no row.
+    """
+    ship(log.sparkSession)
+    kind = log.schema[document].dataType
+    own = log.select(F.col(document).alias("_doc"), *order, F.col("op"), F.col("sel").cast("array<int>").alias("sel"), F.col("target").cast("int").alias("target"), F.col("n").cast("int").alias("n"))
+    sorted_log = own.repartition(F.col("_doc")).sortWithinPartitions("_doc", *order)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, tray, names = object(), None, []
+
+        def finished(doc):
+            for begin in range(0, len(tray.pages), 10_000):
+                part = tray.pages[begin : begin + 10_000]
+                columns = [pa.array([doc] * len(part), names[0]), pa.array(range(begin, begin + len(part)), pa.int64()), pa.array([p[0] for p in part], pa.int64()), pa.array([p[1] for p in part], pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, ["document", "page_ord", "source_ord", "rotation"])
+
+        for batch in batches:
+            names = [batch.schema.field(0).type]
+            for e in batch.to_pylist():
+                if tray is None or e["_doc"] != at:
+                    if tray is not None:
+                        yield from finished(at)
+                    at, tray = e["_doc"], Tray()
+                tray.step(e["op"], e["sel"], e["target"], e["n"])
+        if tray is not None:
+            yield from finished(at)
+
+    return sorted_log.mapInArrow(read, f"document {kind.simpleString()}, page_ord long, source_ord long, rotation int").withColumnRenamed("document", document)
+
+
 class LiveStamps:
     """Stamps of a document by page and age: put, remove and last in time that grows with the logarithm of their number."""
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -333,12 +335,23 @@ def drag_stamps(spark, sf_dir):
     return out.select("event_id", "held", "at_x", "at_y")
 
 
+def edit_session(spark, sf_dir):
+    """Events as edits of each user's document: files, added pages, drags of source pages and within the tray, removals."""
+    events = _t(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type")
+    kind, i = F.col("event_type"), F.col("event_id")
+    named = lambda **ops: reduce(lambda c, x: c.when(kind == x[0], F.lit(x[1])), ops.items(), F.when(F.lit(False), F.lit("")))
+    two = F.array(i % 5, i % 3)
+    dragged = events.where(kind.isin("view", "purchase")).select("user_id", "ts", "event_id", F.lit(0).alias("step"), named(view="drag_source", purchase="drag_tray").alias("op"), two.alias("sel"), F.lit(None).cast("long").alias("target"), F.lit(None).cast("long").alias("n"))
+    done = events.select("user_id", "ts", "event_id", F.lit(1).alias("step"), named(signup="file", click="add", view="drop_source", purchase="drop_tray", error="remove").alias("op"), two.alias("sel"), (i % 7).alias("target"), (i % 4).alias("n"))
+    return sessions.edited(dragged.unionByName(done), "user_id", ["ts", "event_id", "step"]).select("user_id", "page_ord", "source_ord")
+
+
 QUERIES = (
     natural_order, ext_filter, non_blank, route, load_pages, resize, orient, quarantine, report, output_name, signed_name, version_newer, json_field,
     latest_first, append_pages, insert_at, reorder, remove_pages, extract_pages, rotate_pages, flatten, hit_test, last_stamp, has_widget,
     remove_stamp, place_stamp, thumb_fit, grid, bbox, strokes, drag_path, anchored_batches,
     scan_pages, hit_on_page, remove_by_identity, drag_latch, tracked_touch, discarded_strokes, save_with_gaps, shown_page, grid_from_below, tag_lookup, ink_after_clear,
-    nearest_page, stamp_selection, drag_stamps,
+    nearest_page, stamp_selection, drag_stamps, edit_session,
 )
 
 
@@ -459,6 +472,18 @@ SQL = {
                                  CASE WHEN e.k = 'signup' THEN e.n % 3 * 1000000 + e.n ELSE e.event_id % (e.n + 1) % 3 * 1000000 + e.event_id % (e.n + 1) END::BIGINT AS code
                           FROM s JOIN e ON e.user_id = s.user_id AND e.i = s.i + 1)))
         SELECT event_id, sel % 1000000 AS selected, removed % 1000000 AS removed, len(live)::BIGINT AS n_live FROM s WHERE i > 0""",
+    "edit_session": """WITH RECURSIVE e AS (SELECT user_id, event_id AS v, event_type AS k, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+        s AS (SELECT user_id, 0::BIGINT AS i, 0::BIGINT AS src, []::BIGINT[] AS tray FROM (SELECT DISTINCT user_id FROM e)
+              UNION ALL
+              SELECT user_id, i, CASE WHEN k = 'signup' THEN src + v % 4 ELSE src END,
+                     CASE k WHEN 'click' THEN list_concat(tray, copies) WHEN 'view' THEN list_concat(tray[1:spot], copies, tray[spot + 1:])
+                            WHEN 'purchase' THEN list_concat(rest[1:mt], moving, rest[mt + 1:]) WHEN 'error' THEN rest ELSE tray END
+              FROM (SELECT *, least(v % 7, len(tray)) AS spot, least(v % 7 - len(list_filter(inside, lambda x: x < v % 7)), len(rest)) AS mt
+                    FROM (SELECT *, list_filter(picked, lambda x: x < src) AS copies, list_filter(picked, lambda x: x < len(tray)) AS inside,
+                                 list_transform(list_filter(picked, lambda x: x < len(tray)), lambda x: tray[x + 1]) AS moving,
+                                 list_transform(list_filter(range(len(tray)), lambda x: NOT list_contains(picked, x)), lambda x: tray[x + 1]) AS rest
+                          FROM (SELECT s.user_id, e.i, e.k, e.v, s.src, s.tray, list_sort(list_distinct([e.v % 5, e.v % 3])) AS picked FROM s JOIN e ON e.user_id = s.user_id AND e.i = s.i + 1))))
+        SELECT user_id, unnest(range(len(tray))) AS page_ord, unnest(tray) AS source_ord FROM (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY i DESC) = 1)""",
     "drag_stamps": """WITH RECURSIVE e AS (SELECT user_id, event_id, event_type AS k, value AS px, (event_id % 50)::DOUBLE AS py, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
         s AS (SELECT user_id, 0::BIGINT AS i, NULL::BIGINT AS event_id, NULL::INT AS held, NULL::INT AS shown, NULL::DOUBLE AS lx, NULL::DOUBLE AS ly,
                      list_transform(range(5), lambda z: {'x': z * 12.0::DOUBLE + user_id % 10, 'y': z * 6.0::DOUBLE}) AS b FROM (SELECT DISTINCT user_id FROM e)
