@@ -11,6 +11,8 @@ to spare. Documents take the places that the fillings have for their length.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -205,8 +207,28 @@ def _search(counts: dict[int, int], capacity: int, bins: int, budget: list[int])
 
 
 def fillings(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, list[int]]]:
-    """(how many bins, lengths in each) that hold all pieces. Size follows the number of lengths, not of pieces."""
+    """(how many bins, lengths in each) that hold all pieces. Size follows the number of lengths, not of pieces.
+
+    Where one search does not meet the lower bound, the counts are also divided by
+    what divides them all, and by what leaves few enough pieces to be searched:
+    the small packing is repeated, and what the division leaves is packed by
+    itself. The fewest bins of these count.
+    """
     left = {x: n for x, n in counts.items() if n}
+    best = _fillings(left, capacity)
+    least, total = least_bins(left, capacity), sum(left.values())
+    for scale in sorted({math.gcd(*left.values()), total // TAIL, 4 * total // TAIL, 16 * total // TAIL} - {0, 1}, reverse=True) if left else ():
+        if sum(n for n, _ in best) == least:
+            break
+        small = {x: n // scale for x, n in left.items() if n >= scale}
+        rest = {x: n % scale for x, n in left.items() if n % scale}
+        found = [(scale * n, filling) for n, filling in _fillings(small, capacity)] + (_fillings(rest, capacity) if rest else [])
+        best = min(best, found, key=lambda f: sum(n for n, _ in f))
+    return best
+
+
+def _fillings(left: dict[int, int], capacity: int) -> list[tuple[int, list[int]]]:
+    """fillings() by one search: what is common is repeated, the rest is searched."""
     if left and (max(left) > capacity or min(left) < 1):
         raise ValueError("lengths must lie between 1 and the capacity")
     found = best_fit(left, capacity)
