@@ -20,9 +20,22 @@ def flattened(pages: DataFrame, stamps: DataFrame, keys: list[str], order: list[
     return joined.withColumn(name, F.coalesce(name, F.array()))
 
 
-def under_point(points: DataFrame, rectangles: DataFrame, fits: Column, point_key: list[str], top: Column) -> DataFrame:
-    """For each point the topmost rectangle that holds it. rectangles: few, and broadcast if Spark finds them small."""
-    return points.join(rectangles, fits).groupBy(*point_key).agg(F.max(top).alias("hit"))
+def under_point(points: DataFrame, rectangles: DataFrame, at: tuple[Column, Column], box: tuple[Column, Column, Column, Column], cell: tuple[float, float], point_key: list[str], top: Column) -> DataFrame:
+    """For each point that lies in any rectangle the topmost one, as hit.
+
+    The plane is cut into cells of a width and height; a rectangle has a row for
+    each cell that it touches and a point meets those of its own cell, so the
+    cells are the keys of the join. Choose cells about as large as rectangles.
+    Least edges belong to a rectangle, greatest do not; null coordinates meet none.
+    """
+    (px, py), (x, y, w, h) = at, box
+    place = lambda v, size: F.floor(v.cast("double") / size).cast("long")
+    span = lambda v, length, size: F.explode(F.sequence(place(v, size), place(v + length, size)))
+    whole = rectangles.where(x.isNotNull() & y.isNotNull() & (w >= 0) & (h >= 0))
+    cells = whole.withColumn("_cx", span(x, w, cell[0])).withColumn("_cy", span(y, h, cell[1]))
+    asked = points.withColumn("_px", place(px, cell[0])).withColumn("_py", place(py, cell[1]))
+    met = asked.join(cells, (F.col("_px") == F.col("_cx")) & (F.col("_py") == F.col("_cy"))).where((px >= x) & (px < x + w) & (py >= y) & (py < y + h))
+    return met.groupBy(*point_key).agg(F.max(top).alias("hit"))
 
 
 def under_point_of_page(points: DataFrame, rectangles: DataFrame, page: list[str], fits: Column, point_key: list[str], top: Column, name: str = "hit") -> DataFrame:

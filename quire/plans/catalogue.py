@@ -159,8 +159,8 @@ def hit_test(spark, sf_dir):
     points = _t(spark, sf_dir, "lineitem").select(*key, F.col("l_quantity").alias("px"), F.col("l_discount").alias("py"))
     r = F.col("r_regionkey")
     boxes = _t(spark, sf_dir, "region").select(r.alias("z"), (r * 10.0).alias("x"), (r * 0.01).alias("y"), F.lit(20.0).alias("w"), F.lit(0.05).alias("h"))
-    fits = G.contains(*map(F.col, ("px", "py", "x", "y", "w", "h")))
-    return stamps.under_point(points, boxes, fits, key, F.col("z")).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "hit")
+    at, box = [tuple(map(F.col, names)) for names in (("px", "py"), ("x", "y", "w", "h"))]
+    return stamps.under_point(points, boxes, at, box, (20.0, 0.05), key, F.col("z")).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "hit")
 
 
 def last_stamp(spark, sf_dir):

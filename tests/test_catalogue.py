@@ -47,3 +47,9 @@ def test_entry(spark):
 def test_large_tables_are_scanned_by_column(spark):
     plan = catalogue.last_stamp(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "l_extendedprice" not in plan and "partial_max_by" in plan
+
+
+@pytest.mark.parametrize("name", ["hit_test", "nearest_page", "hit_on_page"])
+def test_places_meet_by_keys(spark, name):
+    plan = catalogue.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
