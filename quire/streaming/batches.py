@@ -77,8 +77,10 @@ class Strokes(StatefulProcessor):
     def _read(self, key, timerValues) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs()
         events = sorted((tuple(e) for e in self.waiting.get()), key=lambda e: e[:2])
-        due = [e for e in events if e[0] // 1000 < passed]
+        due = [e for e in events if e[0] <= passed * 1000]  # what comes later than this is later in time
         later = events[len(due) :]
+        if later:
+            self.handle.registerTimer(-(-later[0][0] // 1000))
         if due:
             self.waiting.put(later) if later else self.waiting.clear()
             old = tuple(self.surface.get()) if self.surface.exists() else (0, 0, False, None, 0, None, None, None, None)
@@ -86,8 +88,6 @@ class Strokes(StatefulProcessor):
             self.surface.update(new)
             if done:
                 yield pd.DataFrame([(key[0], *d) for d in done], columns=[f.split()[0] for f in STROKE.split(", ")])
-        if later:
-            self.handle.registerTimer(later[0][0] // 1000)
 
     def close(self) -> None:
         pass

@@ -141,7 +141,7 @@ def fold_strokes(events):
 
 def pointer_events(n, seed):
     rng = random.Random(seed)
-    phases = ["began", "moved", "moved", "moved", "ended", "cancelled", "discard", "clear"]
+    phases = ["began", "began", *["moved"] * 9, "ended", "cancelled", "discard", "clear"]
     return [(rng.choice("ab"), i, rng.choice(phases), rng.choice(["l", "r"])) for i in range(n)]
 
 
@@ -257,10 +257,11 @@ def test_stroke_stream_equals_batch(spark, tmp_path):
 
     events = pointer_events(240, 7)
     kind = "surface string, i long, phase string, touch string"
-    rows = spark.createDataFrame([*events, ("z", 100_000, "began", "l")], kind).selectExpr("*", "timestamp_seconds(i) as at", "i as seq", "i % 17 as x", "i % 13 as y")
+    # Another surface's late events bring the watermark past all others.
+    rows = spark.createDataFrame([*events, ("z", 100_000, "began", "l"), ("z", 200_000, "began", "l")], kind).selectExpr("*", "timestamp_seconds(i + 1000) as at", "i as seq", "i % 17 as x", "i % 13 as y")
     rng = random.Random(3)
     order = sorted(range(240), key=lambda i: i + rng.uniform(0, 20))
-    for n, part in enumerate([order[:90], order[90:170], order[170:], [100_000]]):
+    for n, part in enumerate([order[:90], order[90:170], order[170:], [100_000], [200_000]]):
         rows.where(F.col("i").isin(part)).orderBy(F.rand(n)).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
         time.sleep(0.05)
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
@@ -269,7 +270,7 @@ def test_stroke_stream_equals_batch(spark, tmp_path):
     got = spark.table("strokes_out").collect()
     marked = marked_strokes(rows.where("surface <> 'z'"))
     want = marked.where("stroke is not null").groupBy("surface", "stroke", "epoch").agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1")).collect()
-    assert sorted(tuple(r) for r in got if r.stroke is not None) == sorted(tuple(r) for r in want) and want
+    assert sorted(tuple(r) for r in got if r.stroke is not None) == sorted(tuple(r) for r in want) and len(want) > 5
     assert sum(r.stroke is None for r in got) == sum(e[2] == "clear" for e in events)
 
 
