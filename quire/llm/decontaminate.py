@@ -4,7 +4,8 @@ A text's fingerprints are the hashes of 7-word grams that are the least of any
 7 consecutive ones; whatever 13 words two texts share, they share a
 fingerprint within. Fingerprints of documents and items are joined; each hit
 is extended word by word, and counts if it reaches 13 words. Items of a bounded
-size are broadcast; beyond that, documents' fingerprints are shuffled.
+size are broadcast; beyond that, documents' fingerprints that pass a mask of
+the items' hashes are shuffled.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ GRAM = 7
 #: GRAM + SPAN - 1 = WINDOW: every window holds a whole span of grams, hence its least gram.
 SPAN = WINDOW - GRAM + 1
 REACH = WINDOW - GRAM
+#: Bits of the mask of items' hashes that is broadcast where items are too many: 4 MB, a power of two.
+MASK_BITS = 1 << 25
 
 
 def _tokens(df: DataFrame, text: Column) -> DataFrame:
@@ -75,7 +78,8 @@ def contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
     items leave all documents clean. An item with a null id contaminates like
     others, and is not among items. Items up to a bounded size are broadcast, and
     documents are not shuffled then: only hits and one short row for each
-    document are. Of a larger benchmark, fingerprints meet by a shuffle.
+    document are. Of a larger benchmark, a mask of its hashes is broadcast, and
+    fingerprints that pass it meet items by a shuffle, with the words around them.
     """
     rows, short, size = item_fingerprints(items, item_col=item_col, text_col=item_text_col)
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
@@ -128,26 +132,36 @@ def _hits(base: DataFrame, items: DataFrame, short: list[int]) -> DataFrame:
     return _extended(met, (F.col("need") < WINDOW) | _is_least(F.col("p")))
 
 
+def _masks(items: DataFrame) -> DataFrame:
+    """Which of MASK_BITS slots the items' hashes fall into: rows (word, mask) of 64 slots each, MASK_BITS / 64 of them at most, however many items there are."""
+    slot = _slot(F.col("v"))
+    return items.groupBy(F.shiftright(slot, 6).cast("int").alias("word")).agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), slot.bitwiseAND(63).cast("int"))).alias("mask"))
+
+
+def _slot(v: Column) -> Column:
+    return v.bitwiseAND(MASK_BITS - 1)
+
+
 def _hits_by_shuffle(base: DataFrame, items: DataFrame, short: list[int]) -> DataFrame:
-    """As _hits, for items too large to broadcast: places of fingerprints meet hashes by a shuffle, then the few that met one fetch their words."""
-    placed = lambda grams, k: F.transform(grams, lambda x, i: F.struct(x.alias("v"), i.alias("p"), F.lit(k).alias("k")))
-    least = C.let(C.let(base, _g=C.grams(F.col("_w"), GRAM)), _s=placed(F.col("_g"), GRAM))
-    # Winnowing by arrays, text by text: the least gram of each SPAN in a row, the first of equal ones.
-    spans = F.transform(F.sequence(F.lit(0), F.size("_s") - SPAN), lambda i: F.array_min(F.slice("_s", i + 1, SPAN)))
-    kept = F.when(F.size("_s") >= SPAN, F.array_distinct(spans)).otherwise(F.array().cast("array<struct<v:bigint,p:int,k:int>>"))
-    for k in short:
-        least = C.let(least, **{f"_g{k}": C.grams(F.col("_w"), k)})
-    kept = F.concat(kept, *[placed(F.col(f"_g{k}"), k) for k in short])
-    fp = least.select("doc_id", "_key", F.explode(kept).alias("_f")).select("doc_id", "_key", "_f.p", "_f.k", F.col("_f.v").alias("_v"))
-    hashes = items.select("v", "need_k").distinct()
-    places = fp.join(hashes, (F.col("_v") == F.col("v")) & (F.col("k") == F.col("need_k")), "left_semi")
-    own = places.groupBy(F.col("doc_id").alias("_id"), F.col("_key").alias("_of")).agg(F.collect_set(F.struct("p", "k", F.col("_v").alias("v"))).alias("own"))
-    held = base.join(own, base["doc_id"].eqNullSafe(own["_id"]) & base["_key"].eqNullSafe(own["_of"]))
-    each = held.select("doc_id", "_key", F.size("_w").cast("long").alias("n_words"), "_w", F.explode("own").alias("_f"))
-    at = F.greatest(F.col("_f.p") - REACH, F.lit(0))
-    near = each.select("doc_id", "_key", "n_words", F.col("_f.p").alias("p"), F.col("_f.k").alias("k"), F.col("_f.v").alias("_v"), at.alias("at"), F.slice("_w", at + 1, F.col("_f.k") + 2 * REACH).alias("_w"))
-    # Where seven is the length of a short item too, grams that are not the least are left in; they only find runs that the least ones find.
-    met = _extended(near.join(items, (F.col("_v") == F.col("v")) & (F.col("k") == F.col("need_k"))), F.lit(True))
+    """As _hits, for items too large to broadcast: what is broadcast is one bit for each slot that an item's hash falls into.
+
+    Grams whose slot is set, and which are the least of their span, go to the
+    shuffle with the words around them, so texts stay where they are. A hash that
+    more than one in 2,000 of these grams have is dealt over tasks.
+    """
+    masks = F.broadcast(_masks(items))  # MASK_BITS bits
+    slot = _slot(F.col("_v"))
+    met = _grams(base, short).where("_v is not null").join(masks, F.shiftright(slot, 6).cast("int") == F.col("word"))
+    # First a filter on the mask alone, so that only grams that pass are copied with their words.
+    met = met.where(F.expr("shiftrightunsigned(mask, cast(_v & 63 as int)) & 1") == 1)
+    # Where seven is the length of a short item too, grams that are not the least are let through; they only find runs that the least ones find.
+    met = met.where(F.when(F.col("k").isin(short), True).otherwise(_is_least(F.col("p")))) if short else met.where(_is_least(F.col("p")))
+    at = F.greatest(F.col("p") - REACH, F.lit(0))
+    near = C.materialize(met.select("doc_id", "_key", "n_words", "p", "k", "_v", at.alias("at"), F.slice("_w", at + 1, F.col("k") + 2 * REACH).alias("_w")), "near-items")
+    counts = near.groupBy("_v").agg(F.count("*").alias("n"))
+    total = near.count()
+    held = C.salted_join(near, items, "_v", "v", C.heavy_keys(counts, "_v", "n", total), ["doc_id", "_key", "p"]).where("k = need_k")
+    found = _extended(held, F.lit(True))
     nothing = F.lit(None)
     marks = base.select("doc_id", "_key", F.size("_w").cast("long").alias("n_words"), nothing.cast("array<string>").alias("owners"), nothing.cast("int").alias("begin"), nothing.cast("int").alias("end"))
-    return marks.unionByName(met.where("begin is not null"))
+    return marks.unionByName(found.where("begin is not null"))

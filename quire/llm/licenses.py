@@ -2,9 +2,10 @@
 
 The rolling word hashes of every text are joined to their positions in the
 templates; votes are summed by diagonal (place in the text less place in the
-template); neighbouring diagonals of one template, which a word more or less
-gives, are merged; those with too few votes are left out; and the words that
-voted are compared for the spans that remain.
+template); neighbouring diagonals of one template, which words more or less
+give, are merged in bands as wide as the template is long; those with too few
+votes are left out; and the words that voted are compared for the spans that
+remain.
 """
 
 from __future__ import annotations
@@ -17,10 +18,6 @@ from . import common as C
 #: Words of a gram: of phrases, which may have two words only, and of notices and licenses.
 PHRASE_GRAM = 2
 NOTICE_GRAM = 3
-#: Neighbouring diagonals no further apart than this are one candidate,
-DRIFT = 2
-#: and a candidate spans so many diagonals at most.
-SPREAD = 8
 #: Share of a notice's words that must stand in place for its label.
 AGREE = 0.7
 
@@ -102,6 +99,44 @@ NOTICES = (
         "you can obtain one at http mozilla org mpl 2 0",
         "mpl-2.0-header",
     ),
+    (
+        "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this "
+        "software without specific prior written permission",
+        "bsd-third-clause",
+    ),
+    (
+        "this is free and unencumbered software released into the public domain "
+        "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary "
+        "for any purpose commercial or non commercial and by any means "
+        "in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest in the "
+        "software to the public domain we make this dedication for the benefit of the public at large and to the detriment of our heirs and "
+        "successors we intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software "
+        "under copyright law",
+        "unlicense-text",
+    ),
+    (
+        "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation "
+        "covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works "
+        "of the software and to permit third parties to whom the software is furnished to do so all subject to the following",
+        "bsl-1.0-text",
+    ),
+    (
+        "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published "
+        "by the free software foundation",
+        "lgpl-header",
+    ),
+    (
+        "you should have received a copy of the gnu affero general public license along with this program",
+        "agpl-notice",
+    ),
+    (
+        "this work is licensed under a creative commons attribution 4 0 international license",
+        "cc-by-4.0",
+    ),
+    (
+        "this work is licensed under a creative commons attribution sharealike 4 0 international license",
+        "cc-by-sa-4.0",
+    ),
 )
 
 
@@ -149,29 +184,39 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", phr
 
     first and last: the places of a span's first and last word in the text, from
     0; agree: share of the template's words that stand in a run of a gram or
-    more in place, each counted once. Diagonals of a notice are one span if each
-    is at most DRIFT from the next, and cut into runs of SPREAD. A row without
-    spans has an empty array; null or empty text has no words; an empty table
-    gives no rows. Repeated rows each get a row. The templates are parameters
-    written out in code, so they are broadcast; texts are never shuffled, only
-    the words of grams that voted, however long a text is.
+    more in place, each counted once. Bands of diagonals are twice as wide as
+    their template is long and begin at every length of it, so wherever words
+    are put in or left out, a template stays whole in a band as long as the text
+    has no more foreign words between its parts than the template has words. Bands
+    next to one another that hold a template are one span, with the best agree of
+    them; a phrase is a span at each of its places. Diagonals in a tie need no
+    order, as all of a band count. A row without spans has an empty array; null
+    or empty text has no words; an empty table gives no rows. Repeated rows each
+    get a row. The templates are parameters written out in code, so they are
+    broadcast; texts are never shuffled, only the words of grams that voted,
+    however long a text is, and what is gathered for a band is bounded by its
+    template.
     """
     hits = _hits(docs, templates(docs.sparkSession, phrases, notices), id_col, text_col)
     # A gram stands once on a diagonal, so there are no more hits than the template has words (copies of a row: the same ones again).
     hit = F.when(F.col("t").isNotNull(), F.struct("q", "k", "gram", "read", (F.col("diagonal") + F.col("q")).alias("p")))
-    keys = ("doc_id", "text_key", "n_words", "t", "label", "exact", "size", "need")
+    row = ("doc_id", "text_key", "n_words")
+    keys = (*row, "t", "label", "exact", "size", "need")
     by_diagonal = hits.groupBy(*keys, "diagonal").agg(F.collect_set(hit).alias("hits"), F.sum(F.when(F.col("t").isNull(), 1)).alias("copies"))
-    # Merging looks at the diagonals of one template in one text, never at more.
-    order = Window.partitionBy("doc_id", "text_key", "t").orderBy("diagonal")
-    gap = F.col("diagonal") - F.lag("diagonal").over(order)
-    chained = by_diagonal.withColumn("_new", F.when(~F.col("exact") & (gap <= DRIFT), 0).otherwise(1)).withColumn("_chain", F.sum("_new").over(order))
-    run = F.expr(f"(diagonal - min(diagonal) OVER (PARTITION BY doc_id, text_key, t, _chain)) div {SPREAD}")
-    merged = chained.withColumn("_run", F.when(F.col("exact"), 0).otherwise(run)).groupBy(*keys, "_chain", "_run").agg(F.flatten(F.collect_list("hits")).alias("hits"), F.max("copies").alias("copies"))
-    # Votes decide which spans are looked at; then words are compared, hashes having been equal.
+    band = F.floor(F.col("diagonal") / F.col("size")).cast("int")
+    bands = F.when(F.col("exact"), F.array("diagonal")).otherwise(F.array(band, band - 1))
+    merged = by_diagonal.withColumn("band", F.explode(F.when(F.col("t").isNull(), F.array(F.lit(0))).otherwise(bands)))
+    merged = merged.groupBy(*keys, "band").agg(F.flatten(F.collect_list("hits")).alias("hits"), F.max("copies").alias("copies"))
+    # Votes decide which bands are looked at; then words are compared, hashes having been equal.
     elected = merged.where(F.col("t").isNull() | (F.size("hits") >= F.col("need"))).withColumn("hits", F.filter("hits", lambda h: h["gram"] == h["read"]))
     share = _covered(F.col("hits")) / F.col("size")
     at = F.array_min(F.transform("hits", lambda h: h["p"])), F.array_max(F.transform("hits", lambda h: h["p"] + h["k"] - 1))
-    span = F.struct("label", "exact", at[0].cast("long").alias("first"), at[1].cast("long").alias("last"), F.round(share, 4).alias("agree"))
-    held = F.col("t").isNotNull() & F.when(F.col("exact"), share == 1).otherwise(share >= AGREE)
-    out = elected.groupBy("doc_id", "text_key", "n_words").agg(F.max("copies").alias("_copies"), F.sort_array(F.collect_list(F.when(held, span))).alias("spans"))
+    held = elected.select(*keys, "band", "copies", at[0].cast("long").alias("first"), at[1].cast("long").alias("last"), F.round(share, 4).alias("agree"), F.when(F.col("exact"), share == 1).otherwise(share >= AGREE).alias("_held"))
+    held = held.where(F.col("t").isNull() | F.col("_held"))
+    order = Window.partitionBy(*row, "t").orderBy("band")
+    new = F.when(F.col("exact") | (F.col("band") - F.coalesce(F.lag("band").over(order), F.col("band") - 2) > 1), 1).otherwise(0)
+    spans = held.withColumn("_new", new).withColumn("_n", F.sum("_new").over(order)).groupBy(*keys, "_n")
+    spans = spans.agg(F.min("first").alias("first"), F.max("last").alias("last"), F.max("agree").alias("agree"), F.max("copies").alias("copies"))
+    span = F.struct("label", "exact", "first", "last", "agree")
+    out = spans.groupBy(*row).agg(F.max("copies").alias("_copies"), F.sort_array(F.collect_list(F.when(F.col("t").isNotNull(), span))).alias("spans"))
     return out.withColumn("_copies", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).drop("_copies")

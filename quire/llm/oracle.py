@@ -116,13 +116,10 @@ three AS (
   SELECT a.t, a.q, a.size, a.label, a.word || ' ' || b.word || ' ' || c.word AS g
   FROM words a JOIN words b ON b.t = a.t AND b.q = a.q + 1 JOIN words c ON c.t = a.t AND c.q = a.q + 2),
 met AS (SELECT doc_id, t, size, label, q, p - q AS diagonal FROM runs_of JOIN three ON runs_of.three = g),
-diagonals AS (SELECT DISTINCT doc_id, t, diagonal FROM met),
-parted AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY doc_id, t ORDER BY diagonal) <= {licenses.DRIFT} THEN 0 ELSE 1 END AS new FROM diagonals),
-chained AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, t ORDER BY diagonal) AS chain FROM parted),
-runs AS (SELECT *, (diagonal - min(diagonal) OVER (PARTITION BY doc_id, t, chain)) // {licenses.SPREAD} AS run FROM chained),
+bands AS (SELECT doc_id, t, size, label, q, unnest([floor(diagonal / size), floor(diagonal / size) - 1]) AS band FROM met),
 covered AS (
-  SELECT doc_id, t, size, label, chain, run, count(DISTINCT place) / size AS share
-  FROM (SELECT met.*, chain, run, unnest([q, q + 1, q + 2]) AS place FROM met JOIN runs USING (doc_id, t, diagonal)) GROUP BY doc_id, t, size, label, chain, run),
+  SELECT doc_id, t, size, label, band, count(DISTINCT place) / size AS share
+  FROM (SELECT *, unnest([q, q + 1, q + 2]) AS place FROM bands) GROUP BY doc_id, t, size, label, band),
 found AS (SELECT doc_id, label, 1.0::DOUBLE AS share, p FROM base UNION ALL SELECT doc_id, label, share, NULL FROM covered WHERE share >= {licenses.AGREE}),
 g AS (
   SELECT doc_id, count(p) AS n_base, min(p) AS first_word, max(p) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (p IS NOT NULL) AS base_labels,

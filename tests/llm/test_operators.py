@@ -3,6 +3,7 @@
 import collections
 import functools
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -638,33 +639,49 @@ def test_licenses(spark, docs, empty):
 
 
 def license_spans(text):
-    """Base places, and the notices of which seven tenths stand in runs of three words on diagonals next to one another: by word lists alone."""
+    """Base places, and the notices of which seven tenths stand in runs of three words, in bands of diagonals of twice the notice's length: by word lists alone."""
     w, found = words_of(text), []
     for phrase, label in licenses.PHRASES:
         x = phrase.split()
         found += [(label, True, i, i + len(x) - 1, 1.0) for i in range(len(w)) if w[i : i + len(x)] == x]
     for notice, label in licenses.NOTICES:
-        x, by = notice.split(), collections.defaultdict(list)
-        for q in range(len(x) - 2):
-            for p in range(len(w) - 2):
-                if w[p : p + 3] == x[q : q + 3]:
-                    by[p - q].append((q, p))
-        start = last = None
-        groups = []
-        for d in sorted(by):
-            if last is None or d - last > 2 or (d - start) // 8 != (last - start) // 8:
-                if last is None or d - last > 2:
-                    start = d
-                groups.append([])
-            groups[-1] += by[d]
-            last = d
-        for g in groups:
+        x = notice.split()
+        met = [(q, p) for q in range(len(x) - 2) for p in range(len(w) - 2) if w[p : p + 3] == x[q : q + 3]]
+        spans = []
+        for begin in range(-2 * len(x), len(w) + len(x), 1):
+            if begin % len(x):
+                continue
+            g = [(q, p) for q, p in met if begin <= p - q < begin + 2 * len(x)]
             share = len({q + j for q, _ in g for j in range(3)}) / len(x)
             if share >= 0.7:
-                found.append((label, False, min(p for _, p in g), max(p for _, p in g) + 2, round(share, 4)))
+                first, last = min(p for _, p in g), max(p for _, p in g) + 2
+                if spans and spans[-1][0] == begin - len(x):
+                    _, a, b, best = spans.pop()
+                    first, last, share = min(a, first), max(b, last), max(best, share)
+                spans.append((begin, first, last, share))
+        found += [(label, False, a, b, math.floor(share * 10000 + 0.5) / 10000) for _, a, b, share in spans]  # halves go up, as in SQL
     return sorted(found)
 
 
+def test_licenses_with_insertions(spark):
+    """Words put into a text, in one place or in many, and a clause more, take no label away; a third of the text taken out does, and so do foreign words for twice its length in one place."""
+    text = dict((label, notice.split()) for notice, label in licenses.NOTICES)
+    mit, bsd, third = text["mit-text"], text["bsd-2-clause-text"], text["bsd-third-clause"]
+    rows = {
+        1: mit[:80] + ["three", "more", "words"] + mit[80:],
+        2: [y for i, x in enumerate(mit) for y in ([x, "inserted"] if i % 12 == 11 else [x])],
+        3: bsd[:70] + third + bsd[70:],
+        4: mit[:80] + [f"x{i}" for i in range(len(mit) - 1)] + mit[80:],
+        5: mit[: len(mit) * 2 // 3 - 2],
+        6: mit[:80] + [f"x{i}" for i in range(2 * len(mit))] + mit[80:],
+    }
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows.items()], "doc_id int, text string")
+    got = {x.doc_id: {s.label: s for s in x.spans} for x in licenses.scan(df).collect()}
+    assert all("mit-text" in got[i] for i in (1, 2, 4)) and {"bsd-2-clause-text", "bsd-third-clause"} <= set(got[3])
+    assert "mit-text" not in got[5] and "mit-text" not in got[6]
+    assert (got[4]["mit-text"].first, got[4]["mit-text"].last, got[4]["mit-text"].agree) == (0, len(rows[4]) - 1, 1.0)
+
+
 def test_licenses_by_brute_force(spark):
     r = random.Random(17)
     rows = [None, "", "any person " * 10, "of this software " * 30, "the software is provided as is " * 8, "mit license " * 5]
