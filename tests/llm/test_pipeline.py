@@ -75,3 +75,28 @@ def test_pipeline_with_null_and_reused_ids(spark, tmp_path):
     for (i, n), times in want.items():
         total[i] += n * times
     assert sizes == total
+
+
+def test_pipeline_on_an_empty_table(spark, tmp_path):
+    pq.write_table(pa.Table.from_pylist([], SCHEMA), tmp_path / "documents.parquet")
+    pq.write_table(pa.table({"item_id": pa.array([], pa.int64()), "text": pa.array([], pa.string())}), tmp_path / "benchmark.parquet")
+    out = corpus_pipeline.run(spark, f"file://{tmp_path}")
+    assert out.count() == 0 and {"doc_id", "piece", "length", "ids"} <= set(out.columns)
+
+
+def test_pipeline_on_long_and_empty_texts_and_more_columns(spark, tmp_path):
+    """Texts of two megabytes, of one word, of nothing and null; the table has columns by names that the stages use within."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    long = " ".join(word() for _ in range(300_000))
+    plain = " ".join(word() for _ in range(50))
+    rows = [(1, long, "en", None, 0), (2, long + " end", "en", "s", None), (3, "", None, "s", 0), (4, None, "en", "s", None), (5, "x" * 100_000, "en", "s", 0), (6, plain, "en", "s", 0), (7, plain, "en", "s", 0), (8, f"{plain[:150]} {ITEM}", "de", "s", 0)]
+    table = pa.Table.from_pylist([dict(zip(SCHEMA.names, x, strict=True)) for x in rows], SCHEMA)
+    for name in ("_text", "key", "kept", "text_key", "_w", "piece", "component_key"):
+        table = table.append_column(name, pa.array(range(len(rows)), pa.int64()))
+    pq.write_table(table, tmp_path / "documents.parquet")
+    pq.write_table(pa.table({"item_id": [1], "text": [ITEM], "_w": [1], "doc_id": [3]}), tmp_path / "benchmark.parquet")
+    sizes = collections.Counter()
+    for p in corpus_pipeline.run(spark, f"file://{tmp_path}").collect():
+        sizes[p.doc_id] += p.length
+    assert sizes == {1: len(ids_of(long, 0)), 6: len(ids_of(plain, 0))}
