@@ -19,7 +19,7 @@ REST = COLUMNS[2:]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no rule rejects, neither their own nor their host's."""
+    """Documents that no rule rejects, neither their own nor their host's; null and empty texts have too few words and go."""
     return quality.judge(docs, keep=("text", *REST)).where("kept").select(*COLUMNS)
 
 
@@ -39,20 +39,20 @@ def _one_each(kept: DataFrame) -> DataFrame:
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the passages that occur elsewhere too."""
+    """All documents, without the passages that occur elsewhere too; a text of which nothing is left stays as an empty one."""
     out = substrings.remove_repeats(docs, keep=REST)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which benchmark passages are less than a twentieth."""
+    """Documents of which benchmark passages are less than a twentieth; those without words stay, and so do all where there are no items."""
     found = decontaminate.contamination(docs, C.table(spark, sf_dir, "benchmark")).where("contaminated")
     found = found.select(F.col("doc_id").alias("_id"), "text_key").distinct()
     return docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]) & (F.xxhash64(docs["text"]) == found["text_key"]), "left_anti").select(*COLUMNS)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of all documents in sequences of at most 2,048."""
+    """Token ids of all documents in sequences of at most 2,048; an empty text is its end id alone."""
     return packing.pack_documents(docs, vocabulary())
 
 
@@ -66,7 +66,13 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of a folder."""
+    """All stages over the documents of a folder.
+
+    Columns beyond those of documents are left out first, so their names clash
+    with nothing. Null ids are ids like others, and rows that share one are told
+    apart by their texts. Texts are read whole, however long. An empty table
+    gives no rows, with the columns of the last stage.
+    """
     docs = C.table(spark, sf_dir, "documents").select(*COLUMNS)
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

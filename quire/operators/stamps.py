@@ -90,6 +90,11 @@ def without(pages: DataFrame, stamps: DataFrame, on: Column) -> DataFrame:
     return pages.join(stamps, on, "left_anti")
 
 
+def only(annotations: DataFrame, kind: str, stamp: str = "stamp") -> DataFrame:
+    """The stamps among annotations of all kinds; one without a kind is none."""
+    return annotations.where(F.col(kind) == stamp)
+
+
 def put_on_top(stamps: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """New stamps above those of their page."""
     top = stamps.groupBy(*keys).agg(F.max("z").alias("_top"))

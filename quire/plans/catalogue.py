@@ -34,7 +34,7 @@ def natural_order(spark, sf_dir):
 
 def ext_filter(spark, sf_dir):
     lang = F.lower(F.regexp_extract("url", r"^[a-zA-Z]+://[^/]+/([a-zA-Z]{2})/", 1))
-    return _t(spark, sf_dir, "pages").where(lang.isin("en", "de")).select("page_id", lang.alias("kind"))
+    return _t(spark, sf_dir, "pages").where(files.is_image(F.concat(F.lit("page."), lang), ("en", "de"))).select("page_id", lang.alias("kind"))
 
 
 def non_blank(spark, sf_dir):
@@ -67,9 +67,7 @@ def orient(spark, sf_dir):
 
 def quarantine(spark, sf_dir):
     number = F.regexp_extract("url", r"[?&]page=([^&#]*)", 1).try_cast("int")
-    read = _t(spark, sf_dir, "pages").select("page_id", F.when(number.isNotNull(), "ok").otherwise("skipped").alias("status"))
-    names = F.array_join(F.transform(F.sort_array(F.collect_list("page_id")), lambda x: x.cast("string")), ", ")
-    return read.groupBy("status").agg(F.count("*").alias("n"), names.alias("names"))
+    return files.quarantined(_t(spark, sf_dir, "pages").select("page_id", number.isNotNull().alias("ok")), F.col("ok"), "page_id").select("page_id", "status", "place")
 
 
 def report(spark, sf_dir):
@@ -346,12 +344,83 @@ def edit_session(spark, sf_dir):
     return sessions.edited(dragged.unionByName(done), "user_id", ["ts", "event_id", "step"]).select("user_id", "page_ord", "source_ord")
 
 
+def _contents(spark, sf_dir) -> DataFrame:
+    """Documents as files: a third are PDFs with a page object for each line, a third PNGs, the others texts."""
+    page = F.concat(F.lit("<< /Type /Page /N "), F.length("text").cast("string"), F.lit(" >>\n"))
+    lines = F.size(F.split("text", "\n", -1))
+    pdf = F.concat(F.lit("%PDF-1.4\n<< /Type /Pages >>\n"), F.repeat(page, lines))
+    png = F.concat(F.unhex(F.lit("89504E470D0A1A0A")), F.encode("text", "UTF-8"))
+    content = F.when(F.col("doc_id") % 3 == 0, F.encode(pdf, "UTF-8")).when(F.col("doc_id") % 3 == 1, png).otherwise(F.encode("text", "UTF-8"))
+    return _t(spark, sf_dir, "documents").select("doc_id", content.alias("content"))
+
+
+def file_pages(spark, sf_dir):
+    pages = files.loaded(_contents(spark, sf_dir), ["doc_id"])
+    return ordinals.global_ordinal(pages, "position", "doc_id", "page_ord")
+
+
+def open_document(spark, sf_dir):
+    return files.opened(_contents(spark, sf_dir)).select("doc_id", "pages", F.col("message").isNotNull().alias("failed"))
+
+
+def saved_library(spark, sf_dir):
+    """Orders as saved files: those of a fifth of all customers are signatures, newest first over all."""
+    ext = F.when(F.col("o_custkey") % 5 == 0, "png").when(F.col("o_custkey") % 5 == 1, "PNG").otherwise("pdf")
+    listed = _t(spark, sf_dir, "orders").select("o_orderkey", F.format_string("%015d", "o_orderkey").alias("path"), ext.alias("ext"), F.col("o_orderdate").alias("mtime"))
+    return files.library(listed).select("o_orderkey", "rank")
+
+
+def existing_files(spark, sf_dir):
+    wanted = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("path"))
+    return files.existing(wanted, _t(spark, sf_dir, "part").where("p_size > 10").select(F.col("p_partkey").alias("path"))).select("l_orderkey", "l_linenumber", "path")
+
+
+def empty_guard(spark, sf_dir):
+    batches = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("batch"))
+    return files.guarded(batches, _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("batch")), "batch").select("batch", "n_files", "status")
+
+
+def stamp_on_top(spark, sf_dir):
+    """Lines as stamps of a page; every third order gets two more, above them."""
+    lines = _t(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("z"), "l_partkey")
+    orders = _t(spark, sf_dir, "orders").where("o_orderkey % 3 = 0")
+    new = orders.select(F.col("o_orderkey").alias("l_orderkey"), F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("z"), F.lit(-1).cast(lines.schema["l_partkey"].dataType).alias("l_partkey"))
+    return stamps.put_on_top(lines, new, ["l_orderkey"])
+
+
+def flatten_stamps(spark, sf_dir):
+    """Lines as annotations, of which the returned ones are stamps; only those are drawn onto their page."""
+    pages = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("page"))
+    kind = F.when(F.col("l_returnflag") == "R", "stamp").otherwise("note")
+    notes = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), "l_linenumber", "l_partkey", kind.alias("kind"))
+    out = stamps.flattened(pages, stamps.only(notes, "kind"), ["page"], ["l_linenumber", "l_partkey"], F.col("l_partkey").cast("string"))
+    return out.select("page", F.size("stamps").cast("long").alias("n_stamps"), F.array_join("stamps", ",").alias("drawn"))
+
+
+def drawn_ink(spark, sf_dir):
+    """Three strokes of one, two and three points from each line: the drawable ones, their box, and where they begin once moved to its corner."""
+    q, d, t = (F.col(c).cast("double") for c in ("l_quantity", "l_discount", "l_tax"))
+    point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    lines = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.array(F.array(point(d * 900, q)), F.array(point(q, t * 100), point(d * 100, q)), F.array(point(t * 100, q), point(q, d * 100), point(d * 100, t * 100))).alias("strokes"))
+    kept = lines.withColumn("strokes", G.drawable(F.col("strokes")))
+    boxed = kept.withColumn("box", G.ink_box(F.col("strokes")))
+    first = F.get(F.get(G.moved(F.col("strokes"), F.col("box.x"), F.col("box.y")), F.lit(0)), F.lit(0))
+    sized = [F.round(c, 6).alias(n) for c, n in ((F.col("box.x"), "x"), (F.col("box.y"), "y"), (F.col("box.w"), "w"), (F.col("box.h"), "h"), (first["x"], "first_x"), (first["y"], "first_y"))]
+    return boxed.select("l_orderkey", "l_linenumber", "l_partkey", F.size("strokes").alias("n_strokes"), *sized)
+
+
+def text_raster(spark, sf_dir):
+    w, h = G.text_raster(F.length("c_name") * 7.3, F.lit(23.4), 20)
+    return _t(spark, sf_dir, "customer").select("c_custkey", w.alias("w"), h.alias("h"))
+
+
 QUERIES = (
     natural_order, ext_filter, non_blank, route, load_pages, resize, orient, quarantine, report, output_name, signed_name, version_newer, json_field,
     latest_first, append_pages, insert_at, reorder, remove_pages, extract_pages, rotate_pages, flatten, hit_test, last_stamp, has_widget,
     remove_stamp, place_stamp, thumb_fit, grid, bbox, strokes, drag_path, anchored_batches,
     scan_pages, hit_on_page, remove_by_identity, drag_latch, tracked_touch, discarded_strokes, save_with_gaps, shown_page, grid_from_below, tag_lookup, ink_after_clear,
     nearest_page, stamp_selection, drag_stamps, edit_session,
+    file_pages, open_document, saved_library, existing_files, empty_guard, stamp_on_top, flatten_stamps, drawn_ink, text_raster,
 )
 
 
@@ -405,8 +474,8 @@ SQL = {
     "resize": """SELECT l_orderkey, l_linenumber, l_partkey, greatest(1, round_even(w * s, 0)::INT) AS new_w, greatest(1, round_even(h * s, 0)::INT) AS new_h
         FROM (SELECT *, least(1.0::DOUBLE, 1600.0::DOUBLE / greatest(w, h)) AS s FROM (SELECT *, floor(l_extendedprice / 10)::INT AS w, floor(l_quantity * 60)::INT AS h FROM lineitem))""",
     "orient": "SELECT p_partkey, CASE WHEN p_size % 9 BETWEEN 5 AND 8 THEN 300 ELSE 400 END AS w, CASE WHEN p_size % 9 BETWEEN 5 AND 8 THEN 400 ELSE 300 END AS h FROM part",
-    "quarantine": """SELECT CASE WHEN n IS NULL THEN 'skipped' ELSE 'ok' END AS status, count(*) AS n, string_agg(page_id, ', ' ORDER BY page_id) AS names
-        FROM (SELECT page_id, try_cast(nullif(regexp_extract(url, '[?&]page=([^&#]*)', 1), '') AS INT) AS n FROM pages) GROUP BY 1""",
+    "quarantine": """SELECT page_id, status, row_number() OVER (PARTITION BY status ORDER BY page_id) - 1 AS place
+        FROM (SELECT page_id, CASE WHEN try_cast(nullif(regexp_extract(url, '[?&]page=([^&#]*)', 1), '') AS INT) IS NULL THEN 'skipped' ELSE 'ok' END AS status FROM pages)""",
     "report": """SELECT page_id % 10 AS batch, count(n) AS n_ok, count(*) - count(n) AS n_skipped, coalesce(string_agg(page_id, ', ' ORDER BY page_id) FILTER (n IS NULL), '') AS skipped
         FROM (SELECT page_id, try_cast(nullif(regexp_extract(url, '[?&]page=([^&#]*)', 1), '') AS INT) AS n FROM pages) GROUP BY 1""",
     "output_name": "SELECT event_id, 'Photos_' || strftime(ts, '%Y-%m-%d_%H%M%S') || '.pdf' AS name FROM events",
@@ -499,6 +568,21 @@ SQL = {
     "save_with_gaps": f"SELECT conv_id, i AS place, turn FROM ({_CONV}) JOIN (SELECT conv_id, turn, role FROM conversations) USING (conv_id, turn) WHERE role <> 'system'",
     "shown_page": f"SELECT conv_id, coalesce(max(turn) FILTER (i = conv_id % 8), max(turn) FILTER (i = 0)) AS turn FROM ({_CONV}) GROUP BY conv_id",
     "grid_from_below": "SELECT p_partkey, greatest(250, (n + 2) // 3 * 92 + 12) - (i // 3 + 1) * 92 AS y FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS i, count(*) OVER () AS n FROM part)",
+    "file_pages": """SELECT doc_id, kind, page_ord::INT AS page_ord, row_number() OVER (ORDER BY doc_id, page_ord) - 1 AS position
+        FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'pdf' ELSE 'png' END AS kind, unnest(range(CASE doc_id % 3 WHEN 0 THEN len(string_split(text, chr(10))) ELSE 1 END)) AS page_ord FROM documents WHERE doc_id % 3 < 2 AND text IS NOT NULL)""",
+    "open_document": "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN len(string_split(text, chr(10)))::INT END AS pages, doc_id % 3 <> 0 OR text IS NULL AS failed FROM documents",
+    "saved_library": "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate DESC NULLS LAST, o_orderkey) - 1 AS rank FROM orders WHERE o_custkey % 5 = 0",
+    "existing_files": "SELECT l_orderkey, l_linenumber, l_partkey AS path FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 10)",
+    "empty_guard": "SELECT c_custkey AS batch, count(o_orderkey) AS n_files, CASE WHEN count(o_orderkey) > 0 THEN 'ok' ELSE 'empty' END AS status FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1",
+    "stamp_on_top": """WITH top AS (SELECT l_orderkey, max(l_linenumber) AS t FROM lineitem GROUP BY 1)
+        SELECT l_orderkey, l_linenumber::BIGINT AS z, l_partkey FROM lineitem
+        UNION ALL SELECT o_orderkey, coalesce(t + 1, 0) + z, -1 FROM (SELECT o_orderkey, unnest([0, 1]) AS z FROM orders WHERE o_orderkey % 3 = 0) LEFT JOIN top ON l_orderkey = o_orderkey""",
+    "flatten_stamps": """SELECT o_orderkey AS page, count(l_orderkey) AS n_stamps, coalesce(string_agg(l_partkey::VARCHAR, ',' ORDER BY l_linenumber, l_partkey) FILTER (l_orderkey IS NOT NULL), '') AS drawn
+        FROM orders LEFT JOIN (SELECT * FROM lineitem WHERE l_returnflag = 'R') ON o_orderkey = l_orderkey GROUP BY 1""",
+    "drawn_ink": """WITH v AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity::DOUBLE AS q, l_discount::DOUBLE * 100 AS d, l_tax::DOUBLE * 100 AS t FROM lineitem),
+        b AS (SELECT *, least(q, d, t) - 10 AS x, greatest(q, d, t) - least(q, d, t) + 20 AS e FROM v)
+        SELECT l_orderkey, l_linenumber, l_partkey, 2 AS n_strokes, round(x, 6) AS x, round(x, 6) AS y, round(e, 6) AS w, round(e, 6) AS h, round(q - x, 6) AS first_x, round(t - x, 6) AS first_y FROM b""",
+    "text_raster": "SELECT c_custkey, ceil(length(c_name) * 7.3::DOUBLE)::BIGINT + 40 AS w, 64::BIGINT AS h FROM customer",
     "tag_lookup": "SELECT s_suppkey, p_partkey FROM supplier JOIN (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey DESC) - 1 AS i FROM part) ON i = s_suppkey * 37",
 }
 

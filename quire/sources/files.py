@@ -9,7 +9,7 @@ from quire.functions import naming as N
 
 
 def scan(spark: SparkSession, path: str, glob: str | None = None, content: bool = True) -> DataFrame:
-    """Files under a folder: path, name, ext, mtime, length, content. Without content, Spark does not read the files."""
+    """Files under a folder: path, name, ext, mtime, length, content. Without content, Spark does not read the files. Spark lists no empty files: to report them, join what was chosen to what was found."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     files = (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
     columns = [F.col("path"), N.base_name(F.col("path")).alias("name"), N.raw_extension(F.col("path")).alias("ext"), F.col("modificationTime").alias("mtime"), "length"]
@@ -90,6 +90,47 @@ def pages_of_files(files: DataFrame, order: list[str], pages: Column) -> DataFra
     return files.select(*kept, F.posexplode(pages).alias("page_ord", "page"))
 
 
+def n_pages(content: Column) -> Column:
+    """Pages of a file by its content: of a PDF its page objects, 1 of an image of any known kind, null of what cannot be read.
+
+    Page objects are counted in the file as it is, so a PDF that packs its objects
+    into compressed streams shows none and counts as unreadable; Spark does not
+    parse PDFs. Null and empty contents are unreadable.
+    """
+    kind = content_kind(content)
+    pages = F.regexp_count(F.decode(content, "ISO-8859-1"), F.lit(r"/Type\s*/Page(?![A-Za-z])"))
+    return F.when(kind == "pdf", F.when(pages > 0, pages)).when(kind.isNotNull(), F.lit(1))
+
+
+def loaded(files: DataFrame, order: list[str], content: str = "content") -> DataFrame:
+    """Pages of files in file order, by what the files hold: order, page_ord and kind; files that cannot be read are dropped without a word."""
+    found = files.withColumn("_kind", content_kind(F.col(content))).withColumn("_n", n_pages(F.col(content))).where("_n is not null")
+    return found.select(*order, F.col("_kind").alias("kind"), F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("page_ord"))
+
+
+def opened(files: DataFrame, content: str = "content") -> DataFrame:
+    """A single document to be opened: pages, null where it is no PDF that can be read, and the message that is shown then."""
+    pages = F.when(content_kind(F.col(content)) == "pdf", n_pages(F.col(content)))
+    return files.withColumn("pages", pages).withColumn("message", F.when(pages.isNull(), "This document could not be opened."))
+
+
+def guarded(batches: DataFrame, files: DataFrame, batch: str) -> DataFrame:
+    """Each batch with the number of its files and a status: ok, or empty where there is nothing to work on. Files are counted before the join."""
+    counted = files.groupBy(batch).agg(F.count("*").alias("n_files"))
+    out = batches.join(counted, batch, "left").withColumn("n_files", F.coalesce("n_files", F.lit(0)))
+    return out.withColumn("status", F.when(F.col("n_files") > 0, "ok").otherwise("empty"))
+
+
+def quarantined(results: DataFrame, ok: Column, order: str) -> DataFrame:
+    """Each file with its status, ok or skipped, and its place in the list of those, from 0: a row for each file, so no list is gathered however many are skipped."""
+    from quire.operators.ordinals import global_ordinal
+
+    marked = results.withColumn("status", F.when(ok, "ok").otherwise("skipped"))
+    numbered = global_ordinal(marked, "_at", "status", order)
+    begins = numbered.groupBy("status").agg(F.min("_at").alias("_from"))  # two rows
+    return numbered.join(F.broadcast(begins), "status").withColumn("place", F.col("_at") - F.col("_from")).drop("_at", "_from")
+
+
 def pages_of_text(documents: DataFrame, key: str, text: str) -> DataFrame:
     """Lines of a text as pages of a document: key, page_ord, page."""
     return documents.select(key, F.posexplode(F.split(text, "\n", -1)).alias("page_ord", "page"))

@@ -231,6 +231,33 @@ def test_images_to_pdf(spark, folder):
     assert (folder / "out" / "out.pdf").stat().st_size == written[0].length and [p.name for p in (folder / "out").iterdir() if not p.name.startswith(".")] == ["out.pdf"]
 
 
+def test_files_become_pages(spark, tmp_path):
+    """From a folder to pages in the order that was chosen: a PDF all of its pages, an image one, others and broken ones none."""
+    rgb = bytes(3 * 2 * 2)
+    kinds = {"b2.PDF": images.pdf_document([(2, 2, rgb)] * 3), "b10.png": bytes.fromhex("89504E470D0A1A0A") + b"/Type /Page", "a.txt": b"/Type /Page", "c.pdf": b"", "d.pdf": b"%PDF-1.4 << /Type /Pages >>", "e.jpg": bytes.fromhex("FFD8FFE0")}
+    for name, content in kinds.items():
+        (tmp_path / name).write_bytes(content)
+    chosen = files.from_paths(spark, [f"file:{tmp_path}/{n}" for n in ("e.jpg", "c.pdf", "b2.PDF", "a.txt", "b10.png", "d.pdf", "gone.pdf")])
+    found = files.scan(spark, f"file://{tmp_path}")
+    pages = files.loaded(chosen.select("file_ord", "path").join(found.select("path", "content"), "path"), ["file_ord"])
+    assert sorted(tuple(r) for r in pages.select("file_ord", "page_ord", "kind").collect()) == [(0, 0, "jpeg"), (2, 0, "pdf"), (2, 1, "pdf"), (2, 2, "pdf"), (4, 0, "png")]
+    # Spark lists no empty files, so what is chosen is held against what was found.
+    assert {r["name"] for r in found.collect()} == set(kinds) - {"c.pdf"}
+    opened = {r["name"]: (r.pages, r.message is None) for r in files.opened(chosen.join(found.select("path", "content"), "path", "left")).collect()}
+    assert opened == {n: (3, True) if n == "b2.PDF" else (None, False) for n in (*kinds, "gone.pdf")}
+    assert files.loaded(found.limit(0), ["path"]).count() == 0 and files.opened(spark.createDataFrame([(None,)], "content binary")).first().pages is None
+
+
+def test_quarantine_and_guard(spark):
+    read = spark.createDataFrame([(i, None if i == 4 else i % 3 > 0) for i in range(7)], "id int, ok boolean")
+    got = {r.id: (r.status, r.place) for r in files.quarantined(read, F.col("ok"), "id").collect()}
+    assert got == {1: ("ok", 0), 2: ("ok", 1), 5: ("ok", 2), 0: ("skipped", 0), 3: ("skipped", 1), 4: ("skipped", 2), 6: ("skipped", 3)}
+    assert files.quarantined(read.limit(0), F.col("ok"), "id").count() == 0
+    some = spark.createDataFrame([(1, "a"), (1, "b"), (None, "c")], "batch int, path string")
+    guarded = files.guarded(spark.createDataFrame([(1,), (2,)], "batch int"), some, "batch").collect()
+    assert sorted(tuple(r) for r in guarded) == [(1, 2, "ok"), (2, 0, "empty")]
+
+
 def test_a_failing_write_leaves_nothing(spark, tmp_path):
     rows = spark.createDataFrame([("a.pdf", b"a"), ("b.pdf", b"b")], "name string, content binary").coalesce(1)
     fails = rows.withColumn("content", F.when(F.col("name") == "b.pdf", F.raise_error(F.lit("no")).cast("binary")).otherwise(F.col("content")))
