@@ -3,15 +3,17 @@
 Of every string of min_length bytes the gram with the least hash is its anchor;
 equal strings have equal anchors at equal places, so only strings around an
 anchor that occurs twice or more can repeat. The stretches of text around such
-anchors (contexts) meet by anchor; equal ones are counted before they travel.
-Blocks of contexts get a suffix order over symbols of q bytes, which says which
-suffix comes first but not how much neighbours share. The common prefixes are
-derived from its Burrows-Wheeler transform: intervals of suffixes that share a
-prefix are extended backward by a symbol, breadth first, so that boundaries
-appear by increasing common prefix, up to min_length and no further. Neighbours
-that no boundary then parts are the repeats. An anchor with more contexts than
-a block takes is dealt over several; what a string has not met in its own block
-is then looked up among the classes of the others.
+anchors (contexts) meet by anchor; equal ones are counted before they travel, and
+each goes to a block once, with its number as weight.
+Blocks of contexts get a suffix order over symbols of q bytes, as far as min_length,
+which says which suffix comes first but not how much neighbours share. The common
+prefixes are derived from its Burrows-Wheeler transform: intervals of suffixes that
+share a prefix are extended backward by a symbol, breadth first, so that boundaries
+appear by increasing common prefix, up to min_length and no further. Intervals that
+then weigh two or more are the repeats: every repeat within a block is found there,
+that of equal contexts too. An anchor with more contexts than a block takes is dealt
+over several; what weighs one in its own block is then looked up among the classes
+of the others.
 """
 
 from __future__ import annotations
@@ -104,18 +106,21 @@ def anchors(data: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
     return h[place], begin, size, place - begin, context
 
 
-def _ranks(rank: np.ndarray, *later: np.ndarray) -> np.ndarray:
-    """Ranks of the rows (rank, *later), equal rows alike."""
+def _keys(rank: np.ndarray, *later: np.ndarray) -> np.ndarray:
+    """Numbers that order the rows (rank, *later), equal rows alike."""
     for x in later:
         width = int(x.max()) + 1
         if (int(rank.max()) + 1) * width >= 1 << 62:
             rank = np.unique(rank, return_inverse=True)[1].astype(np.int64)
         rank = rank * width + x
-    return np.unique(rank, return_inverse=True)[1].astype(np.int64)
+    return rank
+
 
+def suffix_ranks(first: np.ndarray, q: int, levels: int | None = None) -> np.ndarray:
+    """Place of each suffix in the order of all, read in steps of q; first: ranks of the symbols. No two suffixes are equal: each ends in a symbol of its own.
 
-def suffix_ranks(first: np.ndarray, q: int) -> np.ndarray:
-    """Place of each suffix in the order of all, read in steps of q; first: ranks of the symbols. No two suffixes are equal: each ends in a symbol of its own."""
+    With levels, those that share so many symbols follow one another in any order.
+    """
     n, rank, have = len(first), first, 1
     while int(rank.max()) + 1 < n:  # each round compares three times as many symbols
         later = []
@@ -123,8 +128,12 @@ def suffix_ranks(first: np.ndarray, q: int) -> np.ndarray:
             x = np.zeros(n, np.int64)
             x[: max(n - ahead, 0)] = rank[ahead:] + 1
             later.append(x)
-        rank = _ranks(rank, *later)
-        have *= 3
+        key, have = _keys(rank, *later), have * 3
+        if levels is not None and have >= levels:
+            rank = np.empty(n, np.int64)
+            rank[np.argsort(key)] = np.arange(n)
+        else:
+            rank = np.unique(key, return_inverse=True)[1].astype(np.int64)
     return rank
 
 
@@ -149,8 +158,8 @@ def common_prefixes(order: np.ndarray, rank: np.ndarray, first: np.ndarray, q: i
     return common
 
 
-def repeats(contexts: list[bytes], sizes: np.ndarray, length: int) -> tuple[list[np.ndarray], list[np.ndarray], Prefixes, np.ndarray]:
-    """Of the first sizes[i] starts of each context: those whose string of length bytes starts twice or more in all contexts, and one start of each class of equal strings.
+def repeats(contexts: list[bytes], sizes: np.ndarray, weights: np.ndarray, length: int) -> tuple[list[np.ndarray], list[np.ndarray], Prefixes, np.ndarray]:
+    """Of the first sizes[i] starts of each context, which stands for weights[i] places: those whose string of length bytes starts twice or more in all, and one start of each class of equal strings.
 
     Also the hashes of substrings of all contexts, one after the other, and where each context begins.
     """
@@ -165,14 +174,16 @@ def repeats(contexts: list[bytes], sizes: np.ndarray, length: int) -> tuple[list
     symbol = T.mix(at.astype(U64) | U64(1 << 63))  # a symbol that would leave its context equals no other
     symbol[whole] = prefixes.of(at[whole], at[whole] + q)
     first = np.unique(symbol, return_inverse=True)[1].astype(np.int64)
-    rank = suffix_ranks(first, q)
+    levels = length // q
+    rank = suffix_ranks(first, q, levels)
     order = np.empty(n, np.int64)
     order[rank] = at
-    levels = length // q
-    shares = common_prefixes(order, rank, first, q, levels) >= levels
+    parted = common_prefixes(order, rank, first, q, levels) < levels
+    interval = np.cumsum(parted) - 1  # suffixes that share min_length bytes
+    weight = np.bincount(interval, weights=np.repeat(weights, room + 1)[order])
     twice, leader = np.empty(n, bool), np.empty(n, bool)
-    twice[order] = shares | np.append(shares[1:], False)
-    leader[order] = ~shares
+    twice[order] = weight[interval] >= 2
+    leader[order] = parted
     some = lambda marked: [np.flatnonzero(marked[b : b + s]) for b, s in zip(begins.tolist(), sizes.tolist(), strict=True)]
     return some(twice), some(leader), prefixes, begins
 
@@ -210,12 +221,12 @@ def _cut_contexts(wanted: DataFrame, length: int) -> DataFrame:
             for j in range(batch.num_rows):
                 raw = batch.column(0)[j].as_buffer()
                 own = batch.column(1)[j].values
-                a, c, s, n, part, parts = (own.field(i).to_numpy() for i in range(6))
+                a, c, s, n, part, parts, times = (own.field(i).to_numpy() for i in range(7))
                 view = memoryview(raw)
                 pieces = [bytes(view[x : x + y + length - 1]) for x, y in zip(s.tolist(), n.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(part), pa.array(c), pa.array(n), pa.array(parts), pa.array(pieces, pa.binary())], ["a", "part", "c", "n", "parts", "context"])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(part), pa.array(c), pa.array(n), pa.array(parts), pa.array(times), pa.array(pieces, pa.binary())], ["a", "part", "c", "n", "parts", "times", "context"])
 
-    return wanted.mapInArrow(cut, "a long, part int, c long, n int, parts int, context binary")
+    return wanted.mapInArrow(cut, "a long, part int, c long, n int, parts int, times int, context binary")
 
 
 def _runs(places: np.ndarray) -> list[tuple[int, int]]:
@@ -237,9 +248,9 @@ def _expand(contexts: DataFrame, length: int) -> DataFrame:
     classes_type = pa.list_(pa.struct([("p", pa.int32()), ("h", pa.int64()), ("alone", pa.bool_())]))
 
     def solve(held):
-        twice, leaders, prefixes, begins = repeats([x[5] for x in held], np.array([x[3] for x in held]), length)
+        twice, leaders, prefixes, begins = repeats([x[6] for x in held], np.array([x[3] for x in held]), np.array([x[5] for x in held]), length)
         rows = []
-        for (a, _, c, _, parts, _), starts, lead, begin in zip(held, twice, leaders, begins.tolist(), strict=True):
+        for (a, _, c, _, parts, _, _), starts, lead, begin in zip(held, twice, leaders, begins.tolist(), strict=True):
             classes = []
             if parts > 1 and len(lead):
                 h = prefixes.of(begin + lead, begin + lead + length).view(np.int64)
@@ -260,7 +271,7 @@ def _expand(contexts: DataFrame, length: int) -> DataFrame:
                     yield from solve(held)
                     held, size = [], 0
                 held.append(row)
-                size, last = size + len(row[5]), row[:2]
+                size, last = size + len(row[6]), row[:2]
         if held:
             yield from solve(held)
 
@@ -290,22 +301,19 @@ def repeated_starts(texts: DataFrame, length: int = MIN_LENGTH, k: int = GRAM) -
     places = C.materialize(again.groupBy("t1", "nb", "a", "c", "s", "n", "o").agg(F.count("*").alias("times"), F.min("d").alias("d")), "anchors-twice")
     C.release(found)
     contexts = C.materialize(places.groupBy("a", "c").agg(F.sum("times").alias("times"), F.min(F.struct("t1", "nb", "d", "s", "n")).alias("rep")), "contexts")
-    per_anchor = contexts.groupBy(F.col("a").alias("_a")).agg(F.count("*").alias("kinds"), F.sum(F.col("rep.n") + (length - 1)).alias("room")).where("kinds > 1")
+    per_anchor = contexts.groupBy(F.col("a").alias("_a")).agg(F.count("*").alias("kinds"), F.sum(F.col("rep.n") + (length - 1)).alias("room"))
     parts = F.greatest(F.ceil(F.col("kinds") / HOT), F.ceil(F.col("room") / BLOCK)).cast("int")
     mixed = C.salted_join(contexts, per_anchor, "a", "_a", common, ["c"]).withColumn("parts", parts)
-    piece = F.struct("a", "c", F.col("rep.s").alias("s"), F.col("rep.n").alias("n"), F.pmod(F.xxhash64("c"), F.col("parts")).cast("int").alias("part"), "parts")
+    piece = F.struct("a", "c", F.col("rep.s").alias("s"), F.col("rep.n").alias("n"), F.pmod(F.xxhash64("c"), F.col("parts")).cast("int").alias("part"), "parts", F.least("times", F.lit(2)).cast("int").alias("times"))
     wanted = mixed.groupBy(F.col("rep.t1").alias("_t1"), F.col("rep.nb").alias("_nb"), F.col("rep.d").alias("_d")).agg(F.collect_list(piece).alias("own"))
     keyed = texts.select(*_key("text"), "text")
     # One of the rows that have a text cuts its contexts (rows of one id and one text: each, and equal contexts are skipped later).
     holders = keyed.join(wanted, (keyed["t1"] == wanted["_t1"]) & (keyed["nb"] == wanted["_nb"]) & (keyed["d"] == wanted["_d"])).select(F.col("text").cast("binary").alias("text"), "own")
     solved = _solved(_cut_contexts(holders, length), length).select(F.col("a").alias("_a"), F.col("c").alias("_c"), "runs")
-    # A context that stands in several places repeats whole; others where their strings do.
-    kinds = contexts.join(solved, (contexts["a"] == solved["_a"]) & (contexts["c"] == solved["_c"]), "left").where("times > 1 or runs is not null")
+    kinds = contexts.join(solved, (contexts["a"] == solved["_a"]) & (contexts["c"] == solved["_c"]))
     kinds = C.materialize(kinds.select(F.col("a").alias("_ka"), F.col("c").alias("_kc"), F.col("times").alias("_all"), "runs"), "repeats")
     own = C.salted_join(places, kinds, "c", "_kc", C.heavy_keys(kinds, "_kc", "_all", total), ["t1", "s"], also=("a", "_ka"))
-    whole = F.array(F.struct(F.lit(0).alias("lo"), (F.col("n") - 1).alias("hi")))
-    runs = F.when(F.col("_all") > 1, whole).otherwise(F.col("runs"))
-    spans = F.transform(runs, lambda r: F.struct((F.col("s") + r["lo"]).alias("start"), (r["hi"] - r["lo"] + 1).alias("size")))
+    spans = F.transform("runs", lambda r: F.struct((F.col("s") + r["lo"]).alias("start"), (r["hi"] - r["lo"] + 1).alias("size")))
     return own.groupBy("t1", "nb").agg(F.sort_array(F.flatten(F.collect_list(spans))).alias("runs"), F.max("times").alias("copies"))
 
 

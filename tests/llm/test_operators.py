@@ -615,6 +615,34 @@ def test_common_prefixes_come_from_the_expansion_alone():
         assert substrings.common_prefixes(order, rank, first, q, levels).tolist() == want
 
 
+def test_the_transform_weighs_equal_contexts():
+    """A context that stands for several places goes in once: its strings repeat, and so do those of others that equal them."""
+    r = np.random.default_rng(7)
+    raw = r.choice([97, 98], 600).astype(np.uint8).tobytes()
+    for length in (12, 11, 4):
+        cuts = list(zip(r.integers(0, 500, 80).tolist(), r.integers(1, 60, 80).tolist(), strict=True))
+        contexts = [bytes([100 + i]) + raw[b : b + n + length - 2] if i % 3 == 0 else raw[b : b + n + length - 1] for i, (b, n) in enumerate(cuts)]
+        sizes, weights = np.array([n for _, n in cuts]), r.integers(1, 4, len(cuts))
+        twice, leaders, _, _ = substrings.repeats(contexts, sizes, weights, length)
+        seen = collections.Counter()
+        for c, n, w in zip(contexts, sizes.tolist(), weights.tolist(), strict=True):
+            for i in range(n):
+                seen[c[i : i + length]] += w
+        assert [x.tolist() for x in twice] == [[i for i in range(n) if seen[c[i : i + length]] > 1] for c, n in zip(contexts, sizes.tolist(), strict=True)]
+        assert sorted(c[i : i + length] for c, own in zip(contexts, leaders, strict=True) for i in own.tolist()) == sorted(seen)
+
+
+def test_an_order_as_far_as_the_expansion_goes():
+    """Suffixes that share all levels follow one another; those before and after them are smaller and greater."""
+    r = np.random.default_rng(3)
+    for levels in (1, 2, 4, 8):
+        first = np.concatenate([np.append(np.tile(r.integers(0, 2, 9), 12), 100 + i) for i in range(3)])
+        rank = substrings.suffix_ranks(first, 1, levels)
+        assert sorted(rank.tolist()) == list(range(len(first)))
+        read = [first[i : i + levels].tolist() for i in np.argsort(rank)]
+        assert read == sorted(read)
+
+
 def test_copies_and_a_common_passage(spark):
     """Many equal texts, one passage in all others, texts without ids: heavy keys and blocks of one anchor."""
     r = random.Random(31)
