@@ -135,7 +135,7 @@ def _hits(base: DataFrame, items: DataFrame, short: list[int]) -> DataFrame:
 def _masks(items: DataFrame) -> DataFrame:
     """Which of MASK_BITS slots the items' hashes fall into: rows (word, mask) of 64 slots each, MASK_BITS / 64 of them at most, however many items there are."""
     slot = _slot(F.col("v"))
-    return items.groupBy(F.shiftright(slot, 6).cast("int").alias("word")).agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), slot.bitwiseAND(63).cast("int"))).alias("mask"))
+    return items.groupBy(F.shiftright(slot, 6).cast("int").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(63).cast("int"))).alias("mask"))
 
 
 def _slot(v: Column) -> Column:
@@ -155,7 +155,9 @@ def _hits_by_shuffle(base: DataFrame, items: DataFrame, short: list[int]) -> Dat
     # First a filter on the mask alone, so that only grams that pass are copied with their words.
     met = met.where(F.expr("shiftrightunsigned(mask, cast(_v & 63 as int)) & 1") == 1)
     # Where seven is the length of a short item too, grams that are not the least are let through; they only find runs that the least ones find.
-    met = met.where(F.when(F.col("k").isin(short), True).otherwise(_is_least(F.col("p")))) if short else met.where(_is_least(F.col("p")))
+    # It is bound, as a filter on the text alone would be pushed below the join and asked of every gram.
+    least = F.when(F.col("k").isin(short), True).otherwise(_is_least(F.col("p"))) if short else _is_least(F.col("p"))
+    met = C.let(met, _ok=least).where("_ok")
     at = F.greatest(F.col("p") - REACH, F.lit(0))
     near = C.materialize(met.select("doc_id", "_key", "n_words", "p", "k", "_v", at.alias("at"), F.slice("_w", at + 1, F.col("k") + 2 * REACH).alias("_w")), "near-items")
     counts = near.groupBy("_v").agg(F.count("*").alias("n"))
