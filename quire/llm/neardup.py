@@ -73,16 +73,15 @@ def minwise(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def signed(docs: DataFrame, k: int, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, text, n_shingles, key (digest of the set; null if it is empty), sig, and the columns named in keep under _keep_."""
+def signed(docs: DataFrame, k: int) -> DataFrame:
+    """Rows (doc_id, t, nb, n_shingles, key, sig) of rows (doc_id, t, nb, text): key is the digest of the set, null if it is empty. The text itself is not kept."""
     C.ship(docs.sparkSession)
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"_keep_{c}") for c in keep])
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields] + ["n_shingles long", "key binary", "sig array<int>"]
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
 
     def sign(batches):
         for batch in batches:
             for rows in T.steps(batch, "text"):
-                tokens, at = shingles(*T.buffer_of(rows.column(1)), k)
+                tokens, at = shingles(*T.buffer_of(rows.column(3)), k)
                 full = np.flatnonzero(np.diff(at))
                 sets = [np.unique(tokens[at[i] : at[i + 1]]) for i in range(rows.num_rows)]
                 keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
@@ -91,9 +90,9 @@ def signed(docs: DataFrame, k: int, id_col: str, text_col: str, keep: tuple[str,
                     for i, s in zip(full.tolist(), minwise(tokens, np.append(at[full], len(tokens))), strict=True):
                         sigs[i] = s
                 more = [pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays([*rows.columns, *more], [*rows.schema.names, "n_shingles", "key", "sig"])
+                yield pa.RecordBatch.from_arrays([*(rows.column(i) for i in range(3)), *more], ["doc_id", "t", "nb", "n_shingles", "key", "sig"])
 
-    return base.mapInArrow(sign, ", ".join(fields))
+    return docs.select("doc_id", "t", "nb", "text").mapInArrow(sign, f"doc_id {kinds['doc_id']}, t long, nb int, n_shingles long, key binary, sig array<int>")
 
 
 def _children(node: Column, sig: Column) -> Column:
@@ -404,20 +403,27 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = P
     """
     if percent != PERCENT and percent < PERCENT:
         raise ValueError("signatures are sized for a similarity of 0.8 and more")
-    rows = C.materialize(signed(docs, shingle, id_col, text_col, keep), "sets")
-    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text").alias("t"))).alias("rep")
-    vertices = rows.where("key is not null").groupBy("key").agg(F.first("sig").alias("sig"), F.count("*").alias("copies"), F.max(F.octet_length("text")).alias("nb"), least)
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"_keep_{c}") for c in keep])
+    # What tells texts apart; steps are written with it, and without texts.
+    base = base.withColumns({"t": F.xxhash64("text"), "nb": F.coalesce(F.octet_length("text"), F.lit(-1))})
+    rows = C.materialize(signed(base, shingle), "sets")
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "t")).alias("rep")
+    vertices = rows.where("key is not null").groupBy("key").agg(F.first("sig").alias("sig"), F.count("*").alias("copies"), F.max("nb").alias("nb"), least)
     vertices = C.materialize(vertices, "vertices")
+    kinds = rows.groupBy(F.col("t").alias("_t"), F.col("nb").alias("_nb")).agg(F.first("n_shingles").alias("n_shingles"), F.first("key").alias("key"), F.count("*").alias("copies"))
+    kinds = C.materialize(kinds, "texts")
+    C.release(rows)
     members, taken, steps = nodes(vertices)
     pairs = C.materialize(_clustered(members, vertices, taken), "pairs")
     for x in steps:
         C.release(x)
     clusters = components(pairs).withColumnRenamed("comp", "cluster")
     chosen = C.materialize(clusters.join(vertices.select("key", "nb", "rep"), "key").select("cluster", "key", "nb", "rep"), "clustered")
-    needed = chosen.select(F.col("key").alias("_k"), F.col("rep.doc_id").alias("_id"), F.col("rep.t").alias("_t"))
-    same = (F.col("key") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_t"))
-    # Always by a shuffle: needed grows with the corpus.
-    texts = C.materialize(rows.join(needed.hint("merge"), same).select("key", "text").dropDuplicates(["key"]), "candidates")
+    needed = chosen.select("key", F.col("rep.doc_id").alias("_id"), F.col("rep.t").alias("_t"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("t") == F.col("_t"))
+    # Always by a shuffle, since needed grows with the corpus; of texts, those that pass a mask of the needed ones.
+    some = C.masked(base.select("doc_id", "t", "text"), "t", needed, "_t")
+    texts = C.materialize(some.join(needed.hint("merge"), same).select("key", "text").dropDuplicates(["key"]), "candidates")
     blocked = C.materialize(_blocks(chosen.select("cluster", "key", "nb")), "blocks")
     groups = blocked.select(F.xxhash64("cluster", "block").alias("group"), "key", F.col("key").alias("comp"), F.lit(True).alias("asks"))
     links = C.materialize(_confirmed(groups.join(texts, "key"), shingle, percent), "confirmed")
@@ -428,13 +434,20 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = P
     C.release(texts)
     # The least id of a component, from one row for each vertex; sets that are linked with no other name themselves.
     linked = C.materialize(vertices.select("key", F.col("rep.doc_id").alias("_least"), "copies").join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key")), "linked")
+    C.release(vertices)
     facts = linked.agg(F.count("*").alias("n"), F.sum("copies").alias("rows")).first()
     least = C.materialize(linked.groupBy(F.col("comp").alias("_comp")).agg(F.min("_least").alias("_component"), F.count("*").alias("n")), "components")
     of_key = C.salted_join(linked, least, "comp", "_comp", C.heavy_keys(least, "_comp", "n", facts["n"]), ["key"])
     of_key = of_key.select(F.col("key").alias("_key"), F.col("comp").alias("component_key"), "_component")
+    # One row for each different text; sets without words have no component but their own row.
+    worded = kinds.where("key is not null")
     copied = C.heavy_keys(linked, "key", "copies", facts["rows"] or 0)
-    out = C.salted_join(rows.where("key is not null"), of_key, "key", "_key", copied, ["doc_id", "text"]).withColumnRenamed("_component", "component_id")
-    alone = rows.where("key is null").withColumns({"component_key": F.lit(None).cast("binary"), "component_id": F.col("doc_id")})  # no join: they would all have one key
-    out = out.drop("_key").unionByName(alone)
+    of_text = C.salted_join(worded, of_key, "key", "_key", copied, ["_t"]).drop("_key")
+    of_text = of_text.unionByName(kinds.where("key is null").withColumns({"component_key": F.lit(None).cast("binary"), "_component": F.lit(None).cast(base.schema["doc_id"].dataType)}))
+    of_text = C.materialize(of_text, "of-texts")
+    C.release(kinds)
+    common = C.heavy_keys(of_text.groupBy("_t").agg(F.sum("copies").alias("n")), "_t", "n", of_text.agg(F.sum("copies")).first()[0] or 0)
+    out = C.salted_join(base, of_text, "t", "_t", common, ["doc_id", *[f"_keep_{c}" for c in keep]], also=("nb", "_nb"))
+    out = out.withColumn("component_id", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("_component")))
     kept = F.col("key").isNull() | F.col("doc_id").eqNullSafe(F.col("component_id"))
     return out.select("doc_id", "text", "n_shingles", "key", "component_key", "component_id", kept.alias("kept"), *[F.col(f"_keep_{c}").alias(c) for c in keep])

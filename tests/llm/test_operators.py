@@ -463,6 +463,24 @@ def test_near_duplicates(docs, empty):
     assert neardup.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_write_no_texts_but_candidates(spark, docs, monkeypatch):
+    """Steps are written without texts, except those of documents that have a candidate."""
+    written, real = {}, C.materialize
+    monkeypatch.setattr(C, "materialize", lambda df, name: written.setdefault(name, df.columns) and real(df, name))
+    rows = [(i, f"some words of number {i} and no other {i}", None, None, 0) for i in range(50)] + [(70 + i, None, None, None, 0) for i in range(3)] + [(80, " ", None, None, 0), (None, "a b c d", "en", None, 0), (None, "a b c d", None, None, 0)]
+    out = neardup.near_duplicates(spark.createDataFrame(rows, SCHEMA), shingle=4, keep=("lang",)).collect()
+    check_components(rows, out, 4)
+    assert counted((r.doc_id, r.text, r.lang) for r in out) == counted(r[:3] for r in rows)
+    assert [name for name, columns in written.items() if "text" in columns] == ["candidates"]
+
+
+def test_masked_rows(spark):
+    rows, wanted = spark.range(20000).withColumnRenamed("id", "a"), spark.range(0, 20000, 40).withColumnRenamed("id", "b")
+    got = {r.a for r in C.masked(rows, "a", wanted, "b").collect()}
+    assert got >= set(range(0, 20000, 40)) and len(got) < 600
+    assert C.masked(rows, "a", wanted.limit(0), "b").count() == 0
+
+
 def test_large_group_of_near_copies(spark, monkeypatch):
     """Nodes, chunks and blocks are made small, so that one group takes every path."""
     for name, n in (("SMALL", 6), ("CHUNK", 16), ("PIVOTS", 6), ("MEET", 16)):
