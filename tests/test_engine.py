@@ -192,6 +192,32 @@ def test_anchored_batches(spark):
     assert gestures.anchored_batches(df.limit(0), "k", F.col("t"), 7).count() == 0
 
 
+def test_anchored_batches_over_pieces(spark, monkeypatch):
+    """Pieces of few moments: keys go through many of them, delays over several, and each moment is read once."""
+    monkeypatch.setattr(gestures, "PIECE", 3)
+    rng = random.Random(3)
+    events = [(rng.choice(["a", "a", "a", "b", None]), rng.randrange(400)) for _ in range(300)] + [(f"k{i}", i) for i in range(20)]
+    for delay in (9, 150):
+        want = {}
+        for key in {k for k, _ in events}:
+            anchor = None
+            for t in sorted(t for k, t in events if k == key):
+                anchor = t if anchor is None or t >= anchor + delay else anchor
+                want[key, anchor] = want.get((key, anchor), 0) + 1
+        df = spark.createDataFrame(events, "k string, t long")
+        assert {(r.k, r.anchor): r.n for r in gestures.anchored_batches(df, "k", F.col("t"), delay).collect()} == want
+
+
+def test_anchored_batches_of_few_keys_take_few_jobs(spark):
+    """Jobs do not grow with the batches of a key, only with the pieces it lies in."""
+    jobs = lambda: spark.sparkContext.statusTracker().getJobIdsForGroup("anchored")
+    df = spark.range(0, 40000).select((F.col("id") % 40).alias("k"), F.col("id").alias("t"))
+    spark.sparkContext.setJobGroup("anchored", "anchored")
+    assert gestures.anchored_batches(df, "k", F.col("t"), 80).count() == 20000
+    spark.sparkContext.setJobGroup("", "")
+    assert len(jobs()) < 40
+
+
 def test_routes(spark):
     rows = [(1, "a.pdf"), (2, "a.pdf"), (2, "b.png"), (3, "a.pdf"), (3, "b.PDF"), (4, "x.jpg"), (5, "x.txt")]
     df = spark.createDataFrame(rows, "b int, path string")
