@@ -530,6 +530,34 @@ def test_components_of_paths_stars_and_random_links(spark):
     assert neardup.components(df.limit(0)).count() == 0
 
 
+def test_near_duplicates_of_single_blocks_find_components_of_pairs_only(spark, docs, monkeypatch):
+    """What a block's sets connect are components already: links that were confirmed take no further rounds where no cluster has several blocks."""
+    calls, real = [], neardup.components
+    monkeypatch.setattr(neardup, "components", lambda links: calls.append(1) or real(links))
+    check_components(corpus(), neardup.near_duplicates(docs, shingle=4).collect(), 4)
+    assert len(calls) == 1
+
+
+def test_components_over_many_parts_in_few_steps(spark, monkeypatch):
+    """Links of one component lie in other parts and steps; what is written stays a few steps for each round."""
+    monkeypatch.setattr(neardup, "LINKS", 7, raising=False)
+    digest = lambda x: hashlib.blake2b(str(x).encode(), digest_size=16).digest()
+    r = random.Random(3)
+    links = [(i, i + 1) for i in range(200)] + [("hub", f"s{i}") for i in range(300)] + [(f"c{i}", f"c{i % 25}") for i in range(150)]
+    group = {}
+    for a, b in links:
+        if a != b:
+            merged = group.get(a, {a}) | group.get(b, {b})
+            group |= dict.fromkeys(merged, merged)
+    r.shuffle(links)
+    df = spark.createDataFrame([(digest(a), digest(b)) for a, b in links], "a binary, b binary").repartition(13)
+    written, real = [], C.materialize
+    monkeypatch.setattr(C, "materialize", lambda df, name: written.append(name) or real(df, name))
+    got = {bytes(x.key): bytes(x.comp) for x in neardup.components(df).collect()}
+    assert got == {digest(k): min(map(digest, v)) for k, v in group.items()}
+    assert len(written) <= 3 * written.count("parents") and not {"degrees", "roots", "labels"} & set(written)
+
+
 def test_who_is_done_with_a_node_has_no_candidate_outside():
     r = np.random.default_rng(12)
     for tight in (8, 20, 40, 64):
