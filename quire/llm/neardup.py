@@ -227,7 +227,7 @@ def _edges(a: list[bytes], b: list[bytes]):
 def _clustered(members: DataFrame, vertices: DataFrame, taken: DataFrame | None = None) -> DataFrame:
     """Pairs (a, b) that connect, within each node, all whose signatures agree enough: not all pairs, but as many as connect them. taken: pairs known already."""
     near = _within_chunks(members, vertices)
-    near = C.materialize(_contracted(near if taken is None else near.unionByName(taken)), "pairs")
+    near = C.materialize(near if taken is None else near.unionByName(taken), "pairs")
     large = members.where(F.col("size") > CHUNK)
     if large.isEmpty():
         return near
@@ -419,9 +419,11 @@ def components(links: DataFrame) -> DataFrame:
         left = C.salted_join(step, ends, "a", "_key", hubs, ["b"]).select(F.col("_parent").alias("a"), "b", F.col("a").alias("_was"))
         # a is another vertex now, so the links of one b are dealt by what a was.
         moved = C.salted_join(left, ends, "b", "_key", hubs, ["_was"]).select("a", F.col("_parent").alias("b")).where("a != b")
-        after = C.materialize(_contracted(moved), "links")
-        C.release(step)
-        step = after
+        # Written before it is contracted: a task reads many small files, so it contracts more than the parts of a join would.
+        moved, before = C.materialize(moved, "moved"), step
+        step = C.materialize(_contracted(moved), "links")
+        C.release(before)
+        C.release(moved)
     out = step.select(F.col("a").alias("key"), F.col("b").alias("comp"))
     for i, gone in enumerate(reversed(rounds)):
         out = C.materialize(_followed(gone.select("key", F.col("parent").alias("comp")), out), "components") if i else gone.select("key", F.col("parent").alias("comp"))
@@ -472,7 +474,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = P
     # A key is in one block, so what a block's sets connect are components as they are; the least of each has no row.
     comps = C.materialize(_confirmed(groups.join(texts, "key"), shingle, percent), "confirmed").select(F.col("b").alias("key"), F.col("a").alias("comp"))
     if not blocked.where("blocks > 1").isEmpty():
-        joined = components(_confirmed(_left_over(blocked, comps).join(texts, "key"), shingle, percent))
+        joined = components(C.materialize(_confirmed(_left_over(blocked, comps).join(texts, "key"), shingle, percent), "confirmed"))
         if not joined.isEmpty():
             comps = _followed(comps, joined).unionByName(joined)
     C.release(texts)
