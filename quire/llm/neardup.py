@@ -6,7 +6,8 @@ chooses, so documents that share much take the same branches. Before a large
 node branches, its members meet a leader, and those that can have no candidate
 beyond the leader's cluster are done. Small nodes, and chunks of nodes that stay
 large at the last level, are compared exhaustively by signature; what a node's
-largest cluster has not taken in then meets all chunks of the node. What the comparisons connect is a cluster. The full sets of each
+largest cluster has not taken in then meets all chunks of the node. What the comparisons connect is a cluster. Clusters
+too large for one task are parted first, by the rarest tokens of their sets, one of which two linked sets always share. The full sets of each
 cluster meet once, in blocks, and only links confirmed on them count. Blocks of
 one cluster are then held against whatever its largest component has not taken
 in, so no pair of a node or a cluster goes unseen.
@@ -19,7 +20,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -46,6 +47,8 @@ MEET = 1024
 MEET_BYTES = 4 << 20
 #: Links that a task contracts at once.
 LINKS = 1 << 17
+#: Tokens of a batch that a task hands on.
+TOKENS = 1 << 16
 
 _STEP = T.mix(np.arange(1, 65, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
 _FLIP = T.mix(np.arange(101, 165, dtype=U64) * U64(0x9E3779B97F4A7C15))
@@ -298,8 +301,8 @@ def _across_chunks(groups: DataFrame) -> DataFrame:
 def _confirmed(groups: DataFrame, k: int, percent: int) -> DataFrame:
     """Components (a, b) within groups of rows (group, key, comp, asks, text) that are one, by links of full sets: 100 * intersection >= percent * union.
 
-    Each row that asks is held against all rows of other components, at once
-    by a lookup of its tokens. b is any but the least of those that a group's
+    Each row that asks is held against all rows that do not, or against all rows
+    where all ask, at once by a lookup of its tokens. b is any but the least of those that a group's
     links make one, a is the least; each b comes once from a group.
     """
 
@@ -316,6 +319,10 @@ def _confirmed(groups: DataFrame, k: int, percent: int) -> DataFrame:
             begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
             names, ids = np.unique(np.concatenate(sets), return_inverse=True)
             seen = np.zeros(len(names), np.int32)
+            # Who asks of others is among the others of its own block, too.
+            others = np.flatnonzero(~np.array(asks[lo:hi], bool))
+            others = others if len(others) else np.arange(m)
+            theirs, begins, held = ids[T.ranges(begin[others], sizes[others])], np.concatenate([[0], np.cumsum(sizes[others])[:-1]]), sizes[others]
             first: dict = {}
             parent = [first.setdefault(comps[lo + i], i) for i in range(m)]
             parts = len(first)
@@ -326,9 +333,9 @@ def _confirmed(groups: DataFrame, k: int, percent: int) -> DataFrame:
                     continue
                 own = ids[begin[i] : begin[i] + sizes[i]]
                 seen[own] = 1
-                both = np.add.reduceat(seen[ids], begin)
+                both = np.add.reduceat(seen[theirs], begins)
                 seen[own] = 0
-                for j in np.flatnonzero(100 * both >= percent * (sizes + sizes[i] - both)).tolist():
+                for j in others[100 * both >= percent * (held + sizes[i] - both)].tolist():
                     x, y = _root(parent, i), _root(parent, j)
                     if x != y:
                         parent[x] = y
@@ -341,13 +348,48 @@ def _confirmed(groups: DataFrame, k: int, percent: int) -> DataFrame:
 
 
 def _blocks(clusters: DataFrame) -> DataFrame:
-    """Rows (cluster, key, blocks, block) of rows (cluster, key, nb): each member once, in a block of its cluster of about MEET members and MEET_BYTES of text."""
-    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("size"), F.sum("nb").alias("bytes"))
+    """Rows (cluster, key, nb, blocks, block) of rows (cluster, key, nb): each member of a cluster of several once, in a block of its cluster of about MEET members and MEET_BYTES of text."""
+    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("size"), F.sum("nb").alias("bytes")).where("size > 1")
     blocks = F.greatest(F.ceil(F.col("size") / MEET), F.ceil(F.col("bytes") / MEET_BYTES)).cast("int")
     total = clusters.count()
     sizes = sizes.select(F.col("cluster").alias("_c"), "size", blocks.alias("blocks"))
     rows = C.salted_join(clusters, sizes, "cluster", "_c", C.heavy_keys(sizes, "_c", "size", total), ["key"])
-    return rows.select("cluster", "key", "blocks", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block"))
+    return rows.select("cluster", "key", "nb", "blocks", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block"))
+
+
+def _tokens(members: DataFrame, k: int) -> DataFrame:
+    """Rows (key, size, token) of rows (cluster, key, text): each token of a set once, under a name that other clusters do not have, with the size of the set."""
+
+    def spell(batches):
+        for batch in batches:
+            for rows in T.steps(batch, "text"):
+                tokens, at = shingles(*T.buffer_of(rows.column(2)), k)
+                clusters = rows.column(0).to_numpy().view(U64).tolist()
+                sets = [np.unique(tokens[at[i] : at[i + 1]]) ^ U64(c) for i, c in enumerate(clusters)]
+                sizes = np.array([len(s) for s in sets])
+                names, place = T.mix(np.concatenate(sets)).view(np.int64), np.repeat(np.arange(len(sets)), sizes)
+                for lo in range(0, len(names), TOKENS):
+                    of = place[lo : lo + TOKENS]
+                    yield pa.RecordBatch.from_arrays([rows.column(1).take(pa.array(of)), pa.array(sizes[of]), pa.array(names[lo : lo + TOKENS])], ["key", "size", "token"])
+
+    return members.select(F.xxhash64("cluster"), "key", "text").mapInArrow(spell, "key binary, size long, token long")
+
+
+def _parted(members: DataFrame, k: int, percent: int) -> DataFrame:
+    """Rows (key, cluster) of rows (cluster, key, text): clusters parted so that two members that a link can join stay together.
+
+    Tokens of a cluster are ordered by how many of its sets have them. Two linked
+    sets share percent of either's tokens, so the rarest one that they share is
+    among the tokens of both of which at most so many come after it. Members
+    that share one of these stay together; who has none with another member has no row.
+    A token has a row of a few bytes for each set of its cluster that has it, so at most as many as the cluster has members.
+    """
+    rows = _tokens(members, k).withColumn("n", F.count("*").over(Window.partitionBy("token"))).where("n > 1")
+    from_last = F.row_number().over(Window.partitionBy("key").orderBy(F.col("n").desc(), F.col("token").desc()))
+    rare = rows.withColumn("_place", from_last).where(F.col("_place") * 100 >= F.col("size") * percent)
+    # A token is a vertex beside the sets; its name is shorter than theirs.
+    links = C.materialize(rare.select(F.col("key").alias("a"), F.unhex(F.hex("token")).alias("b")), "rare")
+    return components(links).withColumnRenamed("comp", "cluster")
 
 
 def _left_over(blocked: DataFrame, comps: DataFrame) -> DataFrame:
@@ -364,8 +406,8 @@ def _left_over(blocked: DataFrame, comps: DataFrame) -> DataFrame:
     return both.select(F.xxhash64("cluster", "block", "part").alias("group"), "key", "comp", "asks")
 
 
-def _contracted(links: DataFrame) -> DataFrame:
-    """Links (a, b) that connect what the given ones do: each task makes stars around the least vertex of what it has read, LINKS links at a time."""
+def _contracted(links: DataFrame, loops: bool = False) -> DataFrame:
+    """Links (a, b) that connect what the given ones do: each task makes stars around the least vertex of what it has read, LINKS links at a time. loops: with a link of each least vertex to itself."""
 
     def forest(held):
         ends = pa.chunked_array([batch.column(i) for i in (0, 1) for batch in held]).combine_chunks().dictionary_encode()
@@ -377,7 +419,7 @@ def _contracted(links: DataFrame) -> DataFrame:
         for x, y in zip(a, b, strict=True):
             x, y = _root(parent, x), _root(parent, y)
             parent[max(x, y)] = min(x, y)
-        if b := [i for i, x in enumerate(parent) if x != i]:
+        if b := [i for i, x in enumerate(parent) if loops or x != i]:
             a = [_root(parent, i) for i in b]
             yield pa.RecordBatch.from_arrays([names.take(pa.array(a)), names.take(pa.array(b))], ["a", "b"])
 
@@ -399,7 +441,8 @@ def _contracted(links: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """Least vertex of each linked vertex's component: rows (key, comp).
 
-    Tasks contract the links they read. Then, in each round, every vertex goes to
+    Tasks contract the links they read. As soon as LINKS links or fewer are left,
+    one task contracts them all, which ends it. Until then, in each round, every vertex goes to
     the least of itself and its neighbours, and the links go with their ends: who
     was linked is linked still or the same vertex, and the least one of a
     component stays. What has gone where is written, and rounds are chained from
@@ -409,24 +452,30 @@ def components(links: DataFrame) -> DataFrame:
     """
     step = C.materialize(_contracted(links), "links")
     rounds = []
-    while not step.isEmpty():
+    while (n := step.count()) > LINKS:
         both = step.unionByName(step.select(F.col("b").alias("a"), F.col("a").alias("b")))
         gone = both.groupBy(F.col("a").alias("key")).agg(F.min("b").alias("parent"), F.count("*").alias("n")).withColumn("parent", F.least("key", "parent"))
         gone = C.materialize(gone, "parents")
         rounds.append(gone)
-        hubs = C.heavy_keys(gone, "key", "n", 2 * step.count())
+        hubs = C.heavy_keys(gone, "key", "n", 2 * n)
         ends = gone.select(F.col("key").alias("_key"), F.col("parent").alias("_parent"))
         left = C.salted_join(step, ends, "a", "_key", hubs, ["b"]).select(F.col("_parent").alias("a"), "b", F.col("a").alias("_was"))
         # a is another vertex now, so the links of one b are dealt by what a was.
         moved = C.salted_join(left, ends, "b", "_key", hubs, ["_was"]).select("a", F.col("_parent").alias("b")).where("a != b")
         # Written before it is contracted: a task reads many small files, so it contracts more than the parts of a join would.
         moved, before = C.materialize(moved, "moved"), step
-        step = C.materialize(_contracted(moved), "links")
+        if moved.count() > LINKS:
+            step = C.materialize(_contracted(moved), "links")
+            C.release(moved)
+        else:
+            step = moved
         C.release(before)
-        C.release(moved)
-    out = step.select(F.col("a").alias("key"), F.col("b").alias("comp"))
-    for i, gone in enumerate(reversed(rounds)):
-        out = C.materialize(_followed(gone.select("key", F.col("parent").alias("comp")), out), "components") if i else gone.select("key", F.col("parent").alias("comp"))
+    out = _contracted(step.coalesce(1), loops=True).select(F.col("b").alias("key"), F.col("a").alias("comp"))
+    if not rounds:
+        out = C.materialize(out, "components")
+    for gone in reversed(rounds):
+        out = C.materialize(_followed(gone.select("key", F.col("parent").alias("comp")), out), "components")
+    C.release(step)
     return out
 
 
@@ -470,6 +519,10 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = P
     some = C.masked(base.select("doc_id", "t", "text"), "t", needed, "_t")
     texts = C.materialize(some.join(needed.hint("merge"), same).select("key", "text").dropDuplicates(["key"]), "candidates")
     blocked = C.materialize(_blocks(chosen.select("cluster", "key", "nb")), "blocks")
+    large = blocked.where("blocks > 1")
+    if not large.isEmpty():
+        parts = _parted(large.select("cluster", "key").join(texts, "key"), shingle, percent)
+        blocked = blocked.where("blocks = 1").unionByName(C.materialize(_blocks(large.select("key", "nb").join(parts, "key")), "blocks"))
     groups = blocked.select(F.xxhash64("cluster", "block").alias("group"), "key", F.col("key").alias("comp"), F.lit(True).alias("asks"))
     # A key is in one block, so what a block's sets connect are components as they are; the least of each has no row.
     comps = C.materialize(_confirmed(groups.join(texts, "key"), shingle, percent), "confirmed").select(F.col("b").alias("key"), F.col("a").alias("comp"))

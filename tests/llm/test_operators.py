@@ -538,6 +538,59 @@ def test_near_duplicates_of_single_blocks_find_components_of_pairs_only(spark, d
     assert len(calls) == 1
 
 
+def test_few_links_are_contracted_by_one_task(spark, monkeypatch):
+    """Links that fit into one task take no rounds."""
+    written, real = [], C.materialize
+    monkeypatch.setattr(C, "materialize", lambda df, name: written.append(name) or real(df, name))
+    df = spark.createDataFrame([(f"p{i:03}".encode(), f"p{i + 1:03}".encode()) for i in range(90)], "a binary, b binary").repartition(9)
+    assert {(bytes(x.key), bytes(x.comp)) for x in neardup.components(df).collect()} == {(f"p{i:03}".encode(), b"p000") for i in range(91)}
+    assert "parents" not in written
+
+
+def test_large_cluster_of_half_alike_texts_is_parted(spark, monkeypatch):
+    """Short texts that share a line chain into one cluster of many blocks; only those that share rare words meet, and no linked pair is parted."""
+    for name, n in (("SMALL", 6), ("CHUNK", 16), ("MEET", 16)):
+        monkeypatch.setattr(neardup, name, n)
+    line, r = " ".join(f"line{i}" for i in range(23)), random.Random(2)
+    rows = [(i, " ".join(f"own{i}x{j}" for j in range(9)) + " " + line, None, None, 0) for i in range(150)]
+    rows += [(200 + i, rows[i][1] + (f" more{i}" if r.random() < 0.5 else ""), None, None, 0) for i in range(0, 150, 5)]
+    rows += [(400 + i, f"{line} tail{i % 3} {'x ' * (i % 4)}end", None, None, 0) for i in range(24)]
+    asked, real, parted, split = [], neardup._left_over, [], neardup._parted
+    monkeypatch.setattr(neardup, "_left_over", lambda blocked, comps: asked.append(blocked.where("blocks > 1").count()) or real(blocked, comps))
+
+    def seen(members, k, percent):
+        out = split(members, k, percent)
+        parted.append((members.count(), sorted(x["count"] for x in out.groupBy("cluster").count().collect())))
+        return out
+
+    monkeypatch.setattr(neardup, "_parted", seen)
+    check_components(rows, neardup.near_duplicates(spark.createDataFrame(rows, SCHEMA), shingle=4).collect(), 4)
+    assert parted and parted[0][0] > 150 and parted[0][1][-1] < 40 and max(asked, default=0) < 40
+
+
+def test_parted_clusters_keep_linked_sets_together(spark):
+    """Against brute force: members of two clusters that share texts, at several percentages."""
+    r = random.Random(4)
+    texts = {}
+    for i in range(160):
+        w = [f"w{j}" for j in range(r.choice([12, 30]))] if i % 2 else [f"v{r.randrange(40)}" for _ in range(14)]
+        for _ in range(r.randrange(6)):
+            w[r.randrange(len(w))] = f"z{r.randrange(30)}"
+        texts[" ".join(w)] = None
+    rows = [(f"cluster {c}".encode(), f"{c} {i}".encode(), t) for c in range(2) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "cluster binary, key binary, text string")
+    for percent in (50, 65, 80):
+        got = {bytes(x.key): bytes(x.cluster) for x in neardup._parted(df, 2, percent).collect()}
+        sets, linked_ = [set(zip(t.split(), t.split()[1:])) for t in texts], 0
+        for i, x in enumerate(sets):
+            for j, y in enumerate(sets[:i]):
+                if 100 * len(x & y) >= percent * len(x | y):
+                    linked_ += 1
+                    assert all(got[f"{c} {i}".encode()] == got[f"{c} {j}".encode()] for c in range(2))
+        names = [{v for k, v in got.items() if k.startswith(f"{c} ".encode())} for c in range(2)]
+        assert linked_ and not names[0] & names[1]
+
+
 def test_components_over_many_parts_in_few_steps(spark, monkeypatch):
     """Links of one component lie in other parts and steps; what is written stays a few steps for each round."""
     monkeypatch.setattr(neardup, "LINKS", 7, raising=False)
